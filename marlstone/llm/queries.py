@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import bpe
+from marlstone.llm import bpe, pii, secret_scan, spans
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,60 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each document being the one version of its path; the ledger starts empty."""
+    docs = documents(spark, sf_dir)
+    found = secret_scan.findings_by_path(docs, secret_scan.update_ledger(docs), ["doc_id"])
+    base = F.filter("findings", lambda s: s["rank"] <= 2)
+    return found.select(
+        "doc_id",
+        *(spans.count_of(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(spans.joined(base), 256).alias("base_sha256"),
+        spans.joined(F.col("findings")).alias("spans"),
+    )
+
+
+#: Ends of the matches of a plain pattern by the gaps between them; kinds as in RULES.
+OP6_SQL = r"""
+WITH rules(rank, kind, pattern, least) AS (VALUES
+    (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
+    (1, 'access', 'AKIA[A-Z0-9]+', 18),
+    (2, 'hex', '[0-9a-f]{16,}', 16),
+    (3, 'pem', '-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----', 1),
+    (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 1)),
+texts AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (
+    SELECT row_id, rank, kind, least, unnest(regexp_extract_all(text, pattern, 0)) AS m, unnest(regexp_extract_all(text, pattern, 2 * (rank = 0)::INT)) AS part,
+           unnest(string_split_regex(text, pattern)[:len(regexp_extract_all(text, pattern, 0))]) AS gap, generate_subscripts(regexp_extract_all(text, pattern, 0), 1) AS i
+    FROM texts, rules WHERE regexp_matches(text, pattern)),
+placed AS (
+    SELECT row_id, rank, kind, least, part, sum(length(gap) + length(m)) OVER (PARTITION BY row_id, rank ORDER BY i) AS stop, length(m) AS size FROM pairs),
+found AS (SELECT row_id, rank, kind, (stop - size)::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(part) >= least),
+per_row AS (
+    SELECT row_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+           coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank <= 2), '') AS base,
+           string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+    FROM found GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per_row USING (row_id)
+"""
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the spans of the fixed rules, and those that learned patterns add."""
+    found = pii.find_pii(documents(spark, sf_dir), ["doc_id"])
+    return found.select(
+        "doc_id",
+        *(spans.count_of(F.col("seeds"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(spans.joined(F.col("seeds")), 256).alias("base_sha256"),
+        spans.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe}
+    return {"op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secret_scan": OP6_SQL}
