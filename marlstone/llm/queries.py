@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, pii, quality_rules, secret_scan, spans
+from marlstone.llm import bpe, pii, quality_rules, secret_scan, simhash_dedup, spans
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage of every text and whether it is kept."""
     return quality_rules.judge(documents(spark, sf_dir), ["doc_id"])
@@ -77,7 +82,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op8_pii": op8_pii}
+    return {"op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
