@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, pii, quality_rules, secret_scan, simhash_dedup, spans
+from marlstone.llm import bpe, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,11 @@ FROM texts LEFT JOIN per_row USING (row_id)
 """
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: the spans of the fixed rules, and those that learned patterns add."""
     found = pii.find_pii(documents(spark, sf_dir), ["doc_id"])
@@ -82,7 +87,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op8_pii": op8_pii}
+    return {"op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
