@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans
+from marlstone.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item found in it."""
+    return decontamination.find_contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
@@ -87,7 +92,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii}
+    return {"op1_decontamination": op1_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
