@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontamination, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans, suffix_dedup
+from marlstone.llm import bpe, chat_rotation, decontamination, license_scan, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,32 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    return chat_rotation.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP5_SQL = r"""
+WITH turns AS (
+    SELECT row_number() OVER () AS row_id, conv_id, turn, coalesce(turn // 512, 0)::BIGINT AS part,
+           regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS role,
+           replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text
+    FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role NOT IN ('system', 'unknown')),
+said AS (
+    SELECT turns.conv_id, perspective, part, row_id, turn, role, text, role = perspective AS mine,
+           '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+           text || '<|im_end|>' AS body
+    FROM turns JOIN speakers ON turns.conv_id IS NOT DISTINCT FROM speakers.conv_id),
+placed AS (
+    SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text, row_id) AS stop FROM said)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text, row_id) AS rendered,
+       coalesce(string_agg((stop - 1 - length(body))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY turn NULLS FIRST, role, text, row_id) FILTER (mine), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, each document being the one version of its path; the ledger starts empty."""
     docs = documents(spark, sf_dir)
@@ -91,14 +118,39 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses declared in every document."""
+    return license_scan.find_licenses(documents(spark, sf_dir))
+
+
+#: Every window of every template over every document that has a shingle of it, without bands.
+OP9_SQL = (
+    "WITH templates(license_id, body) AS (VALUES "
+    + ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+    + r"""),
+tw AS (SELECT license_id, list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM templates),
+ts AS (SELECT license_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM tw),
+t AS (SELECT license_id, s, len(s) AS n, greatest(1, ceil(0.8 * len(s) - 1e-9))::BIGINT AS need, greatest(1, len(s) // 4) AS stride FROM ts),
+dw AS (SELECT row_number() OVER () AS row_id, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+d AS (SELECT row_id, doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS s FROM dw WHERE len(w) >= 5),
+starts AS (
+    SELECT row_id, doc_id, license_id, n, need, d.s AS ds, t.s AS ts, n + stride - 1 AS width, unnest(range(0, len(d.s), stride)) AS a
+    FROM d JOIN t ON list_has_any(d.s, t.s)),
+held AS (SELECT row_id, doc_id, license_id, n, need, a, len(list_intersect(list_distinct(ds[a + 1:a + width]), ts))::BIGINT AS held FROM starts)
+SELECT doc_id, license_id, max(held) AS held, max(held)::DOUBLE / n AS containment, arg_max(a, held * 1000000000 - a)::BIGINT AS first_word
+FROM held WHERE held >= need GROUP BY row_id, doc_id, license_id, n
+"""
+)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages of 400 bytes that occur again."""
     return suffix_dedup.summarize(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_decontamination": op1_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op5_chat_rotation": op5_chat_rotation, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_suffix_dedup": op10_suffix_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": OP6_SQL}
+    return {"op5_chat_rotation": OP5_SQL, "op6_secret_scan": OP6_SQL, "op9_license_scan": OP9_SQL}
