@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import count_tokens, sentences
 
 HEADER = r"^\*\*(\d+(?:\.\d+)*)\.?\s+([A-Z0-9][^\n*]+?)\s*\*\*[ \t]*$"
-CHUNKS = "array<struct<text:string,tokens:bigint>>"
 
 
 def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,31 +19,29 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("id", F.col("position").cast("long").alias("position"), F.regexp_extract("content", "(?m)" + HEADER, 1).alias("number"), F.trim(F.regexp_extract("content", "(?m)" + HEADER, 2)).alias("title"), "content")
 
 
-def _packed(pieces: Column, limit: int, text: Callable, alone: Callable, tokens: Callable) -> Column:
+def _packed(pieces: Column, limit: int, text: Callable, alone: Callable) -> Column:
     """Join pieces by blanks to chunks of at most ``limit`` tokens; those that stand alone are chunks of their own."""
-    start = F.struct(F.array().cast(CHUNKS).alias("out"), F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens"))
-    chunk = lambda t, n: F.struct(t.alias("text"), n.alias("tokens"))
-    flushed = lambda s: F.when(s["text"] == "", s["out"]).otherwise(F.array_append(s["out"], chunk(s["text"], s["tokens"])))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    flushed = lambda s: F.when(s["now"] == "", s["out"]).otherwise(F.array_append(s["out"], s["now"]))
 
     def step(s: Column, p: Column) -> Column:
-        n, t = tokens(p), text(p)
-        full = (s["text"] != "") & (s["tokens"] + n > limit)
-        own = F.struct(F.array_append(flushed(s), chunk(t, n)).alias("out"), F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens"))
-        joined = F.when(s["text"] == "", t).otherwise(F.concat(s["text"], F.lit(" "), t))
-        more = F.struct(F.when(full, flushed(s)).otherwise(s["out"]).alias("out"), F.when(full, t).otherwise(joined).alias("text"), F.when(full, n).otherwise(s["tokens"] + n).alias("tokens"))
-        return F.when(alone(p), own).otherwise(more)
+        t = text(p)
+        joined = F.when(s["now"] == "", t).otherwise(F.concat(s["now"], F.lit(" "), t))
+        own = F.struct(F.array_append(flushed(s), t).alias("out"), F.lit("").alias("now"))
+        full = F.struct(flushed(s).alias("out"), t.alias("now"))
+        return F.when(alone(p), own).when(count_tokens(joined) > limit, full).otherwise(F.struct(s["out"].alias("out"), joined.alias("now")))
 
     return F.aggregate(pieces, start, step, flushed)
 
 
 def chunks(text: Column, limit: int = 500) -> Column:
-    """Chunks (text, tokens) of whole sentences; a sentence beyond the limit is cut at blanks and shares no chunk with others."""
+    """Chunks (text, tokens) of whole sentences; a sentence beyond the limit is cut at blanks and shares no chunk with others. A longer word stays whole."""
     never = lambda _: F.lit(False)
-    words = lambda s: _packed(F.split(s, " "), limit, lambda w: w, never, lambda w: count_tokens(F.concat(w, F.lit(" "))))
+    words = lambda s: _packed(F.split(s, " "), limit, lambda w: w, never)
     piece = lambda t, alone: F.struct(t.alias("text"), F.lit(alone).alias("alone"))
-    parts = lambda s: F.when(count_tokens(s) > limit, F.transform(words(s), lambda c: piece(c["text"], True))).otherwise(F.array(piece(s, False)))
+    parts = lambda s: F.when(count_tokens(s) > limit, F.transform(words(s), lambda c: piece(c, True))).otherwise(F.array(piece(s, False)))
     pieces = F.flatten(F.transform(sentences(text), parts))
-    return _packed(pieces, limit, lambda p: p["text"], lambda p: p["alone"], lambda p: count_tokens(p["text"]))
+    return F.transform(_packed(pieces, limit, lambda p: p["text"], lambda p: p["alone"]), lambda c: F.struct(c.alias("text"), count_tokens(c).alias("tokens")))
 
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str, limit: int = 500, repo_link: str = "") -> DataFrame:

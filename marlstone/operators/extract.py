@@ -144,7 +144,7 @@ def rst_code(text: Column) -> Column:
     """Code of ``code-block`` directives and of literal blocks, each once, in order."""
     block = r"(?m)^(?:\.\. (?:code-block|code|sourcecode)::[^\n]*|[^\n]*::)\n(?:[ \t]+:[^\n]*\n)*\n((?:(?:[ \t]+[^\n]*)?\n?)+?)(?=^\S|\z)"
     found = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(block), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda c: F.trim(F.regexp_replace(c, r"(?m)^[ \t]{1,4}", ""))), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda c: F.regexp_replace(F.regexp_replace(c, r"(?m)^[ \t]{1,4}", ""), r"^\n+|\s+$", "")), lambda c: c != ""))
 
 
 def notebook_cells(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -187,7 +187,7 @@ def task_files(text: Column) -> Column:
     """(name, content) of the parts that ``### [FILENAME: x]`` lines open."""
     names = F.regexp_extract_all(text, F.lit(r"### \[FILENAME: ([^\]]+)\]"), F.lit(1))
     bodies = F.slice(F.split(text, r"### \[FILENAME: [^\]]+\]"), F.lit(2), F.size(names))
-    return F.zip_with(names, bodies, lambda n, b: F.struct(F.trim(n).alias("name"), F.trim(b).alias("content")))
+    return F.zip_with(names, bodies, lambda n, b: F.struct(F.trim(n).alias("name"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("content")))
 
 
 def needs_script(html: Column) -> Column:

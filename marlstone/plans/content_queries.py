@@ -106,15 +106,14 @@ query("TXT-06")(lambda s, d: table(s, d, "part").select("p_partkey", F.round(fuz
 
 # ---- tables, made of line items: a document for each customer bucket, a table for each order
 
-HEADERS = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("Part"), F.lit("Qty"))).otherwise(F.array(F.lit("part"), F.lit("QTY"), F.lit("price")))
-
 
 def _tables(s, d):
+    headers = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("Part"), F.lit("Qty"))).otherwise(F.array(F.lit("part"), F.lit("QTY"), F.lit("price")))
     items = table(s, d, "lineitem").filter("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("items"))
     body = F.transform("items", lambda i: F.array(i["l_partkey"].cast("string"), i["l_quantity"].cast("int").cast("string")))
     key = F.col("o_orderkey")
     return table(s, d, "orders").join(items, F.col("l_orderkey") == key).select(
-        (key % 7).alias("doc"), F.floor(key / 400).alias("page"), key.alias("number"), HEADERS.alias("header"), body.alias("body"),
+        (key % 7).alias("doc"), F.floor(key / 400).alias("page"), key.alias("number"), headers.alias("header"), body.alias("body"),
         (F.lit(60.0) + key % 40).alias("accuracy"), (key % 30).cast("double").alias("whitespace"), F.array(*(x.cast("double") for x in (key % 5, key % 3, key % 5 + 4, key % 3 + 2))).alias("bbox"),
     )
 
