@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import content_queries, core_queries
+from marlstone.plans import content_queries, core_queries, more_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(core_queries.QUERIES | content_queries.QUERIES)
+NAMES = sorted(core_queries.QUERIES | content_queries.QUERIES | more_queries.QUERIES)
 
 
 @pytest.fixture(scope="module")
