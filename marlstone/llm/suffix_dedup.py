@@ -32,6 +32,8 @@ from marlstone.llm.common import materialize, slices
 WINDOW, GRAM = 400, 32
 #: Different contexts of a hash that a block may hold, and bytes of a block of several hashes.
 HOT, BLOCK = 2000, 1_000_000
+#: Codes that are compared at once.
+STEP = 7
 _RNG = np.random.default_rng(20240401)
 _BYTE = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _A, _B = ([np.uint64(int(x) | 1) for x in _RNG.integers(0, 2**64, 2, dtype=np.uint64)] for _ in range(2))
@@ -110,31 +112,32 @@ def smaller_than_next(codes: np.ndarray) -> np.ndarray:
     return (run_end == n - 1) | (codes[nxt] > codes)
 
 
-def words_at(codes: np.ndarray) -> np.ndarray:
-    """The four codes from each place on as one number of that order; zeros follow the end."""
-    long = np.concatenate((codes, np.zeros(4, np.uint16))).astype(np.uint64)
+def words_at(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The STEP codes (of 9 bits) from each place on as one number of that order; zeros follow the end for ``depth`` places."""
     n = len(codes)
-    return long[:n] << np.uint64(48) | long[1 : n + 1] << np.uint64(32) | long[2 : n + 2] << np.uint64(16) | long[3 : n + 3]
+    long = np.concatenate((codes, np.zeros(depth + STEP, np.uint16))).astype(np.uint64)
+    words = np.zeros(n + depth, np.uint64)
+    for k in range(STEP):
+        words = words << np.uint64(9) | long[k : k + n + depth]
+    return words
 
 
 def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """``places`` sorted by the ``depth`` codes from them on; only what is still tied is looked at again."""
     order = places[np.argsort(words[places], kind="stable")]
-    tied = np.arange(len(order))  # places in ``order`` that belong to ties
-    group = _groups(words[order])
-    for k in range(4, depth, 4):
-        size = np.bincount(group)
-        on = size[group] > 1
-        tied, group = tied[on], group[on]
+    tied, group, split = np.arange(len(order)), _groups(words[order]), True  # places in ``order`` that belong to ties, and to which
+    for k in range(STEP, depth, STEP):
+        if split:
+            on = np.bincount(group)[group] > 1
+            tied, group = tied[on], _groups(group[on])
+            begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         if not len(tied):
             break
-        group = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
-        word = words[np.minimum(order[tied] + k, len(words) - 1)]
-        word[order[tied] + k >= len(words)] = 0
-        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        split = np.minimum.reduceat(word, begin) != np.maximum.reduceat(word, begin)
-        if split.any():
-            part = np.flatnonzero(split[group])
+        word = words[order[tied] + k]
+        differ = np.minimum.reduceat(word, begin) != np.maximum.reduceat(word, begin)
+        split = differ.any()
+        if split:
+            part = np.flatnonzero(differ[group])
             by = np.lexsort((word[part], group[part]))
             order[tied[part]] = order[tied[part]][by]
             word[part] = word[part][by]
@@ -146,10 +149,18 @@ def _groups(sorted_values: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate(([0], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, np.int64)
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """All places sorted by the ``depth`` codes from them on, by two-stage sorting."""
-    smaller = smaller_than_next(codes)
-    direct = sort_directly(np.flatnonzero(smaller), words_at(codes), depth)
+def suffix_array(codes: np.ndarray, words: np.ndarray, depth: int, last: np.ndarray | None = None) -> np.ndarray:
+    """All places sorted by the ``depth`` codes from them on, by two-stage sorting.
+
+    ``last`` gives for each place the last one that is asked for in its part of
+    the text: what stands behind the first direct suffix from there on induces
+    nothing that is asked for and is left out.
+    """
+    direct = np.flatnonzero(smaller_than_next(codes))
+    if last is not None:
+        before = np.concatenate(([-1], direct[:-1]))
+        direct = direct[before < last[direct]]
+    direct = sort_directly(direct, words, depth)
     first = codes[direct]
     n_codes = int(codes.max()) + 1
     cut = np.searchsorted(first, np.arange(n_codes + 1))
@@ -180,8 +191,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 def common_prefix_reaches(a: np.ndarray, b: np.ndarray, words: np.ndarray, codes: np.ndarray, depth: int) -> np.ndarray:
     """Whether the suffixes at a and b have ``depth`` codes in common."""
     alive = np.arange(len(a))
-    whole = depth - depth % 4
-    for k in range(0, whole, 4):
+    whole = depth - depth % STEP
+    for k in range(0, whole, STEP):
         alive = alive[words[a[alive] + k] == words[b[alive] + k]]
     for k in range(whole, depth):
         alive = alive[codes[a[alive] + k] == codes[b[alive] + k]]
@@ -201,10 +212,11 @@ def repeated_starts(contexts: list[bytes], window: int) -> list[np.ndarray]:
     body[begin + size] = False
     codes[body] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.uint16) + 1
     context = np.repeat(np.arange(len(contexts)), size + 1)
-    owned = np.arange(len(codes)) + window <= (begin + size)[context]
-    ordered = suffix_array(codes, window)
-    ordered = ordered[owned[ordered]]
-    equal = common_prefix_reaches(ordered[:-1], ordered[1:], words_at(codes), codes, window)
+    last = (begin + size - window)[context]
+    words = words_at(codes, window)
+    ordered = suffix_array(codes, words, window, last)
+    ordered = ordered[ordered <= last[ordered]]
+    equal = common_prefix_reaches(ordered[:-1], ordered[1:], words, codes, window)
     hit = np.zeros(len(ordered), dtype=bool)
     hit[:-1] |= equal
     hit[1:] |= equal

@@ -195,7 +195,7 @@ def test_suffix_array_equals_sorting():
         text = bytes(rnd.choices(rnd.choice([b"ab", b"abc", b"abcdefgh"]), k=rnd.randint(1, 70)))
         codes = np.append(np.frombuffer(text, np.uint8).astype(np.uint16) + 1, np.uint16(0))
         depth = rnd.choice((4, 7, 100))
-        order = suffix_dedup.suffix_array(codes, depth).tolist()
+        order = suffix_dedup.suffix_array(codes, suffix_dedup.words_at(codes, depth), depth).tolist()
         prefixes = [tuple(codes[i : i + depth].tolist()) for i in order]
         assert sorted(order) == list(range(len(codes))) and prefixes == sorted(prefixes)
 
