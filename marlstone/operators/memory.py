@@ -11,6 +11,8 @@ from marlstone.functions import vector
 from marlstone.functions.text import collection_of, shorten
 from marlstone.operators.graph import traverse
 
+#: New memories that are compared with the known ones at once.
+MOST_NEW = 10_000
 SORTABLE = ("created_at", "timestamp", "turn", "role", "_key")
 
 
@@ -87,9 +89,11 @@ def memory_edges(conversations: DataFrame) -> DataFrame:
 def similarity_edges(new: DataFrame, known: DataFrame, threshold: float = 0.7, strong: float = 0.85, top_n: int = 5, kind: str = "similar") -> DataFrame:
     """Edges from new memories to their nearest known ones: (_from, _to, type, score, rationale).
 
-    ``new`` is what a call stores, a bounded set that is sent to the known ones;
-    each pair is scored where the known row is.
+    ``new`` is what a call stores, MOST_NEW rows at most (else ValueError), and is
+    sent to the known ones; each pair is scored where the known row is.
     """
+    if new.limit(MOST_NEW + 1).count() > MOST_NEW:
+        raise ValueError(f"more than {MOST_NEW} new memories: store them in batches")
     pairs = known.alias("k").join(F.broadcast(new.alias("n")), F.col("k._key") != F.col("n._key"))
     score = vector.cosine(F.col("n.embedding"), F.col("k.embedding"))
     scored = pairs.select(F.col("n._key").alias("_from"), F.col("k._key").alias("_to"), score.alias("score")).filter(F.col("score") > threshold)
