@@ -2,8 +2,8 @@
 
 Statistics of a text are standardized and mapped to cosines of random
 projections, whose products approximate a Gaussian kernel. Each task sums the
-normal equations over its labelled rows; the sums of FIT_TASKS tasks are added
-and solved for ridge weights. Raw scores of labelled rows that had no part in
+normal equations over its labelled rows; FIT_TASKS tasks add up those sums, and
+the driver solves them for ridge weights. Raw scores of labelled rows that had no part in
 the fit are counted in bins, and pooled adjacent violators make them a
 nondecreasing probability.
 
@@ -31,8 +31,8 @@ from marlstone.llm.common import materialize
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 THRESHOLD = 0.3
 FEATURES, RIDGE, SEED = 256, 1e-3, 7
-#: Tasks that sum normal equations (what reaches the driver is this many matrices), and bins of raw scores.
-FIT_TASKS, BINS = 16, 1000
+#: Tasks that add up the sums of all others (what reaches the driver is this many matrices), and bins of raw scores.
+FIT_TASKS, BINS = 4, 1000
 EQUATIONS = "n long, gram binary, moment binary"
 
 LETTERS = re.compile(r"[^\W\d_]")
@@ -114,7 +114,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """A model of ``labels`` from the rows of ``stats`` (id, stats) outside the held-out fold."""
     target = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
     known = stats.select(id_col, "stats", fold_of(id_col).alias("fold")).filter(F.col("fold") != HELD_OUT).join(target, id_col).select("stats", "fold", "y")
-    known = materialize(known.repartition(FIT_TASKS), "labelled")
+    known = materialize(known, "labelled")
     moments = known.agg(*(f(F.get("stats", F.lit(i))) for i in range(N_STATISTICS) for f in (F.avg, F.stddev_pop))).first()
     moments = np.array([0.0 if x is None else x for x in moments]).reshape(-1, 2)
     rng = np.random.default_rng(SEED)
@@ -128,7 +128,16 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
             n, gram, moment = n + len(y), gram + z.T @ z, moment + z.T @ y
         yield pd.DataFrame({"n": [n], "gram": [gram.tobytes()], "moment": [moment.tobytes()]})
 
-    sums = known.filter(F.col("fold") != CALIBRATE).select("stats", "y").coalesce(FIT_TASKS).mapInPandas(equations, EQUATIONS).collect()
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, gram, moment = 0, np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1)
+        for batch in batches:
+            for row in batch.itertuples():
+                n, gram, moment = n + row.n, gram + np.frombuffer(row.gram), moment + np.frombuffer(row.moment)
+        yield pd.DataFrame({"n": [n], "gram": [gram.tobytes()], "moment": [moment.tobytes()]})
+
+    # every task sums its own rows; FIT_TASKS tasks add those sums, one after another, and send one row each
+    sums = known.filter(F.col("fold") != CALIBRATE).select("stats", "y").mapInPandas(equations, EQUATIONS)
+    sums = sums.repartition(FIT_TASKS).mapInPandas(added, EQUATIONS).collect()
     n = sum(row.n for row in sums)
     if not n:
         return model

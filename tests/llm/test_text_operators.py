@@ -136,6 +136,7 @@ def test_pii_seeds_equal_brute_force(spark):
     rnd = random.Random(4)
     bits = ["a.b@c.d", "a@b", "x_@y-z.com..q@r.s", "1.2.3.4", "256.1.1.1", "001.02.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111  11111111", "4111111111111111", "+1 (743) 555-3824", "+12", "é", " ", "-", ".", "12", "@", "+49 30 1234567.", "\n"]
     texts = ["".join(rnd.choices(bits, k=rnd.randint(1, 9))) for _ in range(400)]
+    texts += ["a@" + "b." * 20_000 + "c", "1 " * 20_000, "1.2.3.4." * 5_000, "x" * 50_000 + "@y.z", "+" * 20_000 + "1 2" * 5]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in df.select("doc_id", spans.joined(pii.seeds(F.col("text"))).alias("s")).collect():
         assert r.s == brute_pii(texts[r.doc_id]), texts[r.doc_id]
