@@ -26,6 +26,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(texts: Iterable[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Cut a batch of texts to slices of about ``limit`` characters, at least one text each.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import spans
-from marlstone.llm.common import materialize
+from marlstone.llm.common import free_name, materialize
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: The lookbehind and possessive forms find what the plain patterns do, in linear time and without recursion on long
@@ -159,7 +159,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span of personal data replaced by its kind in brackets; null texts stay null. All rows and columns stay."""
     found = materialize(entities(df.select(text_col), [], text_col), "pii-entities")
     learned = materialize(learned_spans(found, learn_patterns(found)), "pii-learned")
-    text = F.col(text_col)
+    text, key, more = F.col(text_col), free_name(df, "_pii_key"), free_name(df, "_pii_learned")
 
     def cut(state: Column, s: Column) -> Column:
         free = s["start"] >= state["at"]
@@ -167,8 +167,8 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(free, F.concat(state["out"], added)).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    all_spans = spans.by_start(F.concat(seeds(text), F.coalesce("_pii_learned", spans.no_spans())))
+    all_spans = spans.by_start(F.concat(seeds(text), F.coalesce(more, spans.no_spans())))
     clean = F.aggregate(all_spans, start, cut, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    keyed = df.withColumn("_pii_key", text_key(text))
-    with_learned = keyed.join(learned.select(F.col("text_key").alias("_pii_key"), F.col("learned").alias("_pii_learned")), "_pii_key", "left")
+    keyed = df.withColumn(key, text_key(text))
+    with_learned = keyed.join(learned.select(F.col("text_key").alias(key), F.col("learned").alias(more)), key, "left")
     return with_learned.withColumn(text_col, F.when(text.isNotNull(), clean)).select(*df.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, slices
+from marlstone.llm.common import free_name, materialize, slices
 from marlstone.llm.components import connected_components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -196,4 +196,5 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     placed = materialize(near_duplicates(df, id_col, text_col, [digest.alias("_row")]), "near-duplicates")
     # a component of nulls alone has no id: its fingerprint tells it apart, as the null text does
     first = placed.groupBy(F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("component")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")).alias("first"))
-    return df.withColumn("_row", digest).join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = free_name(df, "_row")
+    return df.withColumn(row, digest).join(first.select(F.col("first._row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*df.columns)

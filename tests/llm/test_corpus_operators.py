@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marlstone.llm import components, decontamination, quality_classifier, simhash_dedup, suffix_dedup
+from marlstone.llm import components, decontamination, pii, quality_classifier, simhash_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp int, root string, cover string"
 EDGES = [(1, None, 1, "x", "y"), (None, "", 1, "x", "y"), (None, "z" * 100_000, 1, "x", "y"), (4, "tie tie", 1, "x", "y"), (4, "tie tie", 1, "x", "y"), (5, "a b c d " * 20_000, None, None, None)]
@@ -237,3 +237,14 @@ def test_repeats_edge_cases(spark, edges):
     rows = suffix_dedup.summarize(edges).collect()
     assert len(rows) == len(EDGES) and {r.n_bytes for r in rows if r.doc_id == 4} == {7}
     assert suffix_dedup.summarize(edges.limit(0)).count() == 0
+
+
+def test_helper_columns_do_not_clash(spark):
+    schema = "doc_id long, text string, _ROW string, _pii_key string, _pii_learned string"
+    rows = [(1, "mail x@y.com now", "a", "b", "c"), (2, "mail x@y.com now", "d", "e", "f"), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    kept = simhash_dedup.deduplicate(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+    clean = pii.redact(df)
+    assert clean.columns == df.columns
+    assert sorted(map(tuple, clean.collect())) == [(i, t and "mail [EMAIL] now", *rest) for i, t, *rest in rows]
