@@ -6,8 +6,14 @@ is set. Two windows at a small edit distance fall into step again soon, so their
 walks agree in most places (the CGK embedding: edit distance becomes Hamming
 distance). Tables sample a few places of the walk; windows of an item's size
 that agree with the item in all samples of any table are candidates. Number and
-width of the tables give the target recall. Each candidate is verified by the
-exact edit distance between the whole item and the text around the window.
+width of the tables give the target recall.
+
+Walks over words do not see items in which many words have a changed letter.
+So runs of letters are seeds besides: every run of SEED_LETTERS bytes of an item
+is looked up at every place of a text, and a band of diagonals (places in the
+text less places in the item) that holds enough seeds is a candidate too. Each
+candidate is verified by the exact edit distance between the whole item and the
+text around the window or the band.
 
 Edge cases: a null or empty text has no hits. Words are runs of letters, digits
 and characters beyond ASCII, in lower case; items of fewer than MIN_WORDS words
@@ -37,6 +43,14 @@ WIDEST, SEED = 40, 20240229
 #: Bytes of items that a task searches for at once; more are taken in blocks.
 ITEM_BYTES = 16_000_000
 HITS = "hits array<struct<item_id:long,edit_distance:int,similarity:double>>"
+#: Bytes of a seed by the bytes of its item: short items have few runs without an edit.
+SEED_LETTERS, SHORT, SHORT_LETTERS = 8, 120, 6
+#: A band needs one seed, and one more for so many bytes of the item; edits of a fifth leave a multiple of that.
+BYTES_A_SEED = 28
+#: Items' seeds held in one table, and matches of seeds taken at once.
+SEEDS, MATCHES = 1 << 19, 1 << 21
+#: Candidates verified at once.
+PAIRS = 1 << 15
 #: Windows walked at once, to stay in cache.
 CHUNK = 1 << 15
 
@@ -64,7 +78,7 @@ class Words:
         on = _IS_WORD[codes].view(np.int8)
         edge = np.diff(on, prepend=np.int8(0))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        text_end = np.cumsum([len(t.lower().encode()) + 1 for t in texts])
+        self.text_end = text_end = np.cumsum([len(t.lower().encode()) + 1 for t in texts], dtype=np.int64)
         owner = np.searchsorted(text_end, start, side="right")
         place = np.arange(len(start)) + owner  # a pad for each text before
         size = end - start
@@ -80,6 +94,18 @@ class Words:
         self.count = np.bincount(owner, minlength=len(texts))
         self.first = np.cumsum(self.count + 1) - self.count - 1
 
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all words, a space before each word and a line end after each text, and where each text begins."""
+        codes = np.frombuffer(self.raw, dtype=np.uint8)
+        keep, out = _IS_WORD[codes], codes.copy()
+        before = self.start[self.place]
+        before = before[before > 0] - 1
+        keep[before], out[before] = True, 32
+        keep[self.text_end - 1], out[self.text_end - 1] = True, 10
+        out = out[keep]
+        stop = np.flatnonzero(out == 10) + 1
+        return out, np.concatenate(([0], stop))
+
     def bits(self, walk: int, half: int) -> np.ndarray:
         """64 random bits of each word; those of a pad are 0."""
         return np.where(self.hash == 0, np.uint64(0), _mixed(self.hash, _MIX[2 * walk + half])).view(np.int64)
@@ -131,6 +157,123 @@ def edit_distance_within(item: bytes, text: bytes) -> int:
     return best
 
 
+def distances(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """``edit_distance_within`` of many pairs of an item and a text: the same steps on words of 64 bits, all pairs of a batch at once."""
+    out = np.zeros(len(pairs), dtype=np.int64)
+    groups: dict[int, list[int]] = {}
+    for i, (item, text) in enumerate(pairs):
+        if item not in text:
+            groups.setdefault((len(item) + 63) // 64, []).append(i)
+    for width, rows in groups.items():
+        rows.sort(key=lambda i: len(pairs[i][1]))
+        a = 0
+        while a < len(rows):
+            n = min(4096, max(1, (1 << 22) // (256 * width)))
+            while n > 1 and n * len(pairs[rows[min(len(rows), a + n) - 1]][1]) > 1 << 23:
+                n //= 2
+            part = rows[a : a + n]
+            out[part] = _distances([pairs[i] for i in part], width)
+            a += n
+    return out
+
+
+def _distances(pairs: list[tuple[bytes, bytes]], width: int) -> np.ndarray:
+    one = np.uint64(1)
+    number: dict[bytes, int] = {}
+    base = np.array([number.setdefault(item, len(number)) for item, _ in pairs]) * 256
+    match = np.zeros((width, len(number) * 256), dtype=np.uint64)
+    for item, k in number.items():
+        i = np.arange(len(item))
+        np.bitwise_or.at(match, (i // 64, np.frombuffer(item, np.uint8).astype(np.int64) + k * 256), one << (i % 64).astype(np.uint64))
+    m = np.array([len(item) for item, _ in pairs])
+    longest = max(len(text) for _, text in pairs)
+    # a text is filled up with line ends, which no item has: they never make a distance less
+    texts = np.frombuffer(b"".join(text.ljust(longest, b"\n") for _, text in pairs), np.uint8).reshape(len(pairs), longest).T
+    plus, minus = [np.full(len(pairs), ~np.uint64(0)) for _ in range(width)], [np.zeros(len(pairs), np.uint64) for _ in range(width)]
+    top = ((m - 1) % 64).astype(np.uint64)
+    score, best = m.copy(), m.copy()
+    for j in range(longest):
+        at = base + texts[j]
+        carry = up_in = down_in = np.uint64(0)
+        for w in range(width):
+            x, p, q = match[w].take(at), plus[w], minus[w]
+            total = (x & p) + p
+            over = total < p
+            if w:
+                total += carry
+                over |= total < carry
+            zero = (total ^ p) | x | q
+            up, down = q | ~(zero | p), p & zero
+            if w == width - 1:
+                score += (up >> top & one).view(np.int64)
+                score -= (down >> top & one).view(np.int64)
+            else:
+                carry = over.astype(np.uint64)
+            up_out, down_out = up >> np.uint64(63), down >> np.uint64(63)
+            up, down = up << one | up_in, down << one | down_in
+            plus[w], minus[w] = down | ~(zero | up), up & zero
+            up_in, down_in = up_out, down_out
+        np.minimum(best, score, out=best)
+    return best
+
+
+def _runs(letters: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number; the last places are filled up with line ends."""
+    x = np.concatenate((letters, np.full(7, 10, np.uint8))).astype(np.uint64)
+    for width in (1, 2, 4):
+        x = x[:-width] | x[width:] << np.uint64(8 * width)
+    return x
+
+
+class Seeds:
+    """Runs of letters of some items, and the bands of texts that hold enough of them."""
+
+    def __init__(self, items: list[tuple[int, bytes]], size: int):
+        self.mask = np.uint64((1 << 8 * size) - 1)
+        lengths = np.array([len(item) for _, item in items])
+        self.number, self.length = np.array([k for k, _ in items]), lengths
+        # bands overlap by half; a match whose letters drift further than half a band is spread over two
+        self.half = np.maximum(8, lengths // 8)
+        keys = np.concatenate([_runs(np.frombuffer(item, np.uint8))[: len(item) - size + 1] for _, item in items]) & self.mask
+        count = lengths - size + 1
+        owner = np.repeat(np.arange(len(items)), count)
+        offset = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.offset = keys[order], owner[order], offset[order]
+        self.shift = np.uint64(64 - min(26, max(16, len(keys).bit_length() + 3)))
+        self.likely = np.zeros(1 << 64 - int(self.shift), dtype=bool)
+        self.likely[self.keys * _PLACE[0] >> self.shift] = True
+
+    def bands(self, runs: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, number of the item, first and last (exclusive) diagonal of each band in order, places counted from the text's begin."""
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, len(runs), CHUNK * 8):
+            run = runs[a : a + CHUNK * 8] & self.mask
+            maybe = np.flatnonzero(self.likely[run * _PLACE[0] >> self.shift])
+            lo = np.searchsorted(self.keys, run[maybe], "left")
+            n = np.searchsorted(self.keys, run[maybe], "right") - lo
+            maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
+            text = np.searchsorted(begins, maybe + a, side="right") - 1
+            place, total = maybe + a - begins[text], np.cumsum(n)
+            for k in range(0, int(total[-1]) if len(total) else 0, MATCHES):
+                match = np.arange(k, min(k + MATCHES, int(total[-1])))
+                row = np.searchsorted(total, match, side="right")
+                seed = (lo - total + n)[row] + match
+                item = self.owner[seed]
+                half = (place[row] - self.offset[seed] + self.length[item]) // self.half[item]
+                key, count = np.unique(text[row] << 46 | item << 26 | half, return_counts=True)
+                keys.append(key)
+                counts.append(count)
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate(counts), minlength=len(key))
+        count[:-1] += count[1:] * (key[1:] == key[:-1] + 1)  # a band is a half and the next
+        item = key >> 26 & ((1 << 20) - 1)
+        enough = count >= 1 + self.length[item] // BYTES_A_SEED
+        key, item = key[enough], item[enough]
+        first = (key & ((1 << 26) - 1)) * self.half[item] - self.length[item]
+        yield from zip((key >> 46).tolist(), self.number[item].tolist(), first.tolist(), (first + 2 * self.half[item]).tolist(), strict=True)
+
+
 class Searcher:
     """Tables of the items' windows, and the search of texts for them."""
 
@@ -164,6 +307,19 @@ class Searcher:
                     tables.append((ps, likely, key[order], order))
                 self.classes.append((walk, steps, seen, len(self.windows), tables))
             self.windows += rows
+        self.seeds: list[Seeds] = []
+        for size, short in ((SHORT_LETTERS, True), (SEED_LETTERS, False)):
+            part: list[tuple[int, bytes]] = []
+            held = 0
+            for k, (_, item, n) in enumerate(self.items):
+                if n >= MIN_WORDS and len(item) >= size and (len(item) < SHORT) == short:
+                    part.append((k, item))
+                    held += len(item)
+                    if held > SEEDS:
+                        self.seeds.append(Seeds(part, size))
+                        part, held = [], 0
+            if part:
+                self.seeds.append(Seeds(part, size))
 
     @staticmethod
     def _class(n: int) -> int:
@@ -194,24 +350,61 @@ class Searcher:
                             found.update(zip(at[row[near]].tolist(), (item[near] + number).tolist(), strict=True))
         return found
 
+    def _stretches(self, words: Words) -> Iterator[tuple[int, int, bytes]]:
+        """Text, number of the item and the stretch of letters around bands; bands that overlap make one stretch."""
+        letters, begins = words.letters()
+        runs, raw = _runs(letters), letters.tobytes()
+        for seeds in self.seeds:
+            last: tuple[int, int, int, int] | None = None
+            for text, k, first, stop in seeds.bands(runs, begins):
+                m = len(self.items[k][1])
+                slack = int((1 - self.similarity) * m) + 1
+                a, b = max(0, first - slack), stop + m + slack
+                if last and last[:2] == (text, k) and a <= last[3] and b - last[2] <= 4 * m + 64:
+                    last = (text, k, last[2], max(b, last[3]))
+                    continue
+                if last:
+                    yield last[0], last[1], self._cut(raw, begins, *last)
+                last = (text, k, a, b)
+            if last:
+                yield last[0], last[1], self._cut(raw, begins, *last)
+
+    @staticmethod
+    def _cut(raw: bytes, begins: np.ndarray, text: int, k: int, a: int, b: int) -> bytes:
+        begin, end = int(begins[text]), int(begins[text + 1]) - 1
+        return raw[begin + a : min(end, begin + b)].strip()
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
         """For each text its hits by item: id, least edit distance, similarity."""
         words = Words(texts)
         tried: set[tuple[int, int, int]] = set()
         best: list[dict[int, int]] = [{} for _ in texts]
+        pairs: list[tuple[int, int, bytes]] = []
         for at, number in sorted(self.candidates(words)):
             k, offset = self.windows[number]
-            text, (_, item, n) = int(words.text[at]), self.items[k]
+            text, (_, _, n) = int(words.text[at]), self.items[k]
             slack = n // 2 + 2
             begin = (at - offset) // slack * slack  # places near each other are verified once, with room on both sides
-            if (text, k, begin) not in tried and best[text].get(k) != 0:
+            if (text, k, begin) not in tried:
                 tried.add((text, k, begin))
                 low, high = int(words.first[text]), int(words.first[text] + words.count[text])
-                d = edit_distance_within(item, words.text_of(max(low, begin - slack), min(high, begin + n + 2 * slack)))
-                if 1 - d / len(item) >= self.similarity:
-                    best[text][k] = min(d, best[text].get(k, d))
+                pairs.append((text, k, words.text_of(max(low, begin - slack), min(high, begin + n + 2 * slack))))
+            if len(pairs) >= PAIRS:
+                self._verify(pairs, best)
+        for pair in self._stretches(words):
+            pairs.append(pair)
+            if len(pairs) >= PAIRS:
+                self._verify(pairs, best)
+        self._verify(pairs, best)
         return [[(self.items[k][0], d, 1 - d / len(self.items[k][1])) for k, d in sorted(hits.items())] for hits in best]
 
+    def _verify(self, pairs: list[tuple[int, int, bytes]], best: list[dict[int, int]]) -> None:
+        """Keep the least distance of each text and item that is near enough, and empty the list."""
+        for (text, k, _), d in zip(pairs, distances([(self.items[k][1], part) for _, k, part in pairs]).tolist(), strict=True):
+            if 1 - d / len(self.items[k][1]) >= self.similarity:
+                best[text][k] = min(d, best[text].get(k, d))
+        pairs.clear()
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
     """The items in blocks of ITEM_BYTES, the size that a task is sent; a benchmark is small beside a corpus."""

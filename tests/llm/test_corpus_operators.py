@@ -159,6 +159,43 @@ def test_decontamination_recall(spark, edges):
     assert decontamination.find_contaminated(edges, bench).count() == 0 and decontamination.remove_contaminated(edges, bench.limit(0)).count() == len(EDGES)
 
 
+def _edited(rnd, text, kind, share):
+    """``text`` with that share of its letters, or of its words' letters by one a word, or of its words replaced."""
+    other = lambda: rnd.choice("qrstuvwxyz")
+    if kind == "letters":
+        return "".join(other() if c != " " and rnd.random() < share else c for c in text)
+    words = text.split()
+    for k, word in enumerate(words):
+        if rnd.random() < share:
+            i = rnd.randrange(len(word))
+            words[k] = word[:i] + other() + word[i + 1 :] if kind == "one a word" else "".join(other() for _ in word)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("kind, shares", [("letters", (0.05, 0.12, 0.16)), ("one a word", (0.4, 0.8, 1.0)), ("words", (0.05, 0.12, 0.16))])
+def test_decontamination_recall_by_kind_of_edit(kind, shares):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.choice((8, 12, 20, 40))))) for i in range(80)]
+    around = lambda: " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 60)))
+    texts = [(i, f"{around()} {_edited(rnd, text, kind, share)} {around()}") for i, text in items for share in shares]
+    hits = decontamination.Searcher(items).search([t for _, t in texts])
+    near = {0.9: [0, 0], 0.8: [0, 0]}
+    for (i, text), found in zip(texts, hits, strict=True):
+        similarity = 1 - decontamination.edit_distance_within(items[i][1].encode(), text.strip().encode()) / len(items[i][1])
+        assert {k for k, _, _ in found} <= {i}
+        if similarity >= 0.8:
+            near[0.9 if similarity >= 0.9 else 0.8][0] += 1
+            near[0.9 if similarity >= 0.9 else 0.8][1] += any(k == i for k, _, _ in found)
+    assert all(n >= 40 and found >= 0.97 * n for n, found in near.values()), near
+
+
+def test_edit_distances_at_once():
+    rnd = random.Random(9)
+    pairs = [(bytes(rnd.choices(b"abcd", k=rnd.choice((1, 63, 64, 65, 128, 130, 200)))), bytes(rnd.choices(b"abcd", k=rnd.randint(0, 300)))) for _ in range(300)]
+    assert decontamination.distances(pairs).tolist() == [decontamination.edit_distance_within(a, b) for a, b in pairs]
+
+
 # ---- classifier
 
 
