@@ -12,9 +12,11 @@ Edge cases: turns are ordered by number (null first, and in part 0), then role,
 then text; repeated rows are repeated turns. A null text is an empty turn. A turn
 without a role is said by ``unknown``, which is nobody's perspective. A
 conversation of system turns alone has no perspective and so no rows; a null
-conversation id is a conversation. Marks inside a text are broken up by a space,
-and role names are reduced to letters, digits, ``_`` and ``-``. Other columns are
-not read.
+conversation id is a conversation. Marks inside a text are broken up by a space.
+Speakers are told apart by their roles as they are. In a rendered name, letters
+and digits of any script, ``_`` and ``-`` stay, and any other character becomes
+``%``, its code point in hexadecimal and ``;``, so that names stay different.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,19 @@ def _safe(text: Column) -> Column:
     return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(START), F.lit("<| im_start|>")), F.lit(END), F.lit("<| im_end|>"))
 
 
+def _name(role: Column) -> Column:
+    """The role as it is rendered; nothing but letters, marks and digits, ``_``, ``-``, ``%`` and ``;``."""
+    shown = r"[\p{L}\p{M}\p{N}_-]"
+    escaped = F.transform(F.regexp_extract_all(role, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(shown), c).otherwise(F.concat(F.lit("%"), F.hex(F.ascii(c)), F.lit(";"))))
+    return F.when(role.rlike(rf"^{shown}*\z"), role).otherwise(F.array_join(escaped, ""))
+
+
 def render(perspective: Column, turns: Column) -> Column:
-    """The text and mask of sorted turns (turn, role, text), as a struct (rendered, mask); places count code points."""
+    """The text and mask of sorted turns (turn, role, text, name), as a struct (rendered, mask); places count code points."""
 
     def step(state: Column, t: Column) -> Column:
         mine = t["role"] == perspective
-        tag = F.when(mine, "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), t["role"]))
+        tag = F.when(mine, "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), t["name"]))
         head = F.concat(F.lit(START), tag, F.lit("\n"))
         said = F.concat(t["text"], F.lit(END))
         begin = F.length(state["rendered"]) + F.length(head)
@@ -47,11 +56,11 @@ def render(perspective: Column, turns: Column) -> Column:
 
 def rotate(df: DataFrame, conversation_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each conversation, perspective and part: n_turns, rendered, mask (begin:end of what the assistant says, comma-joined)."""
-    role = F.regexp_replace(F.coalesce(role_col, F.lit(UNKNOWN)), "[^A-Za-z0-9_-]", "_")
-    turns = df.select(F.col(conversation_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), _safe(F.col(text_col)).alias("text"))
+    role = F.coalesce(role_col, F.lit(UNKNOWN))
+    turns = df.select(F.col(conversation_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), _safe(F.col(text_col)).alias("text"), _name(role).alias("name"))
     part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long")
     # a hot conversation is spread by part before its rows meet, and its parts are spread again by the join
-    parts = turns.groupBy("conv", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = turns.groupBy("conv", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "name"))).alias("turns"))
     speakers = turns.filter(~F.col("role").isin(SYSTEM, UNKNOWN)).select("conv", F.col("role").alias("perspective")).distinct()
     both = parts.alias("p").join(speakers.alias("s"), F.col("p.conv").eqNullSafe(F.col("s.conv")))
     shown = both.select(F.col("p.conv").alias(conversation_col), "perspective", "part", F.size("turns").cast("long").alias("n_turns"), render(F.col("perspective"), F.col("turns")).alias("r"))

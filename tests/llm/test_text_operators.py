@@ -204,5 +204,17 @@ def test_chat_rotation(spark):
     assert got[1, "bob", 0].mask.count(":") == 2 and chat_rotation.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_rotation_tells_names_of_any_script_apart(spark):
+    roles = ["小明", "小红", "Ann B", "Ann_B", "Ann%20;B", "a\n", "😀"]
+    df = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = {r.perspective: r for r in chat_rotation.rotate(df).collect()}
+    assert set(got) == set(roles)
+    for i, role in enumerate(roles):
+        begin, stop = map(int, got[role].mask.split(":"))
+        assert got[role].rendered[begin:stop] == f"t{i}<|im_end|>"
+    names = {line.split("name=")[1] for r in got.values() for line in r.rendered.split("\n") if "name=" in line}
+    assert names == {"小明", "小红", "Ann%20;B", "Ann_B", "Ann%25;20%3B;B", "a%A;", "%1F600;"}
+
+
 def test_sql_is_json_free():
     assert json.dumps(sorted(queries.oracle_sql())) == json.dumps(["op5_chat_rotation", "op6_secret_scan", "op9_license_scan"])
