@@ -46,8 +46,8 @@ def _places(text: str, patterns: Sequence[tuple[str, re.Pattern]]) -> list[tuple
     return sorted(out, key=lambda x: x[1])
 
 
-def find_terms(df: DataFrame, terms: Sequence[str], text_col: str = "text", limit: int | None = 10_000) -> Column:
-    """A column with the matches of ``terms`` in the first ``limit`` characters (None: in all), in order of place.
+def find_terms(df: DataFrame, terms: Sequence[str], text_col: str = "text", limit: int | None = None) -> Column:
+    """A column with the matches of ``terms`` in the whole text, or in its first ``limit`` characters, in order of place.
 
     The terms are a glossary, small and part of the function that is sent out.
     """
@@ -63,13 +63,14 @@ def find_terms(df: DataFrame, terms: Sequence[str], text_col: str = "text", limi
     return matches(F.col(text_col))
 
 
-def unique_terms(matches: Column, top_n: int = 100) -> Column:
-    """The terms found, each once, in order of their lower-case form."""
+def unique_terms(matches: Column, top_n: int | None = None) -> Column:
+    """The terms found (the first ``top_n``, if that is given), each once, in order of their lower-case form."""
     pairs = F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.struct(F.lower(m["term"]).alias("low"), m["term"].alias("term")))))
-    return F.slice(F.transform(pairs, lambda p: p["term"]), 1, top_n)
+    terms = F.transform(pairs, lambda p: p["term"])
+    return terms if top_n is None else F.slice(terms, 1, top_n)
 
 
-def highlight(text: Column, matches: Column, begin: str = "**", stop: str = "**", limit: int | None = 10_000) -> Column:
+def highlight(text: Column, matches: Column, begin: str = "**", stop: str = "**", limit: int | None = None) -> Column:
     """The text (its first ``limit`` characters, if that is given) with marks around the matches."""
 
     def step(state: Column, m: Column) -> Column:

@@ -52,7 +52,7 @@ query("TXT-05", "SELECT item_id::VARCHAR AS _key, 1.0::DOUBLE AS keyword_score F
     lambda s, d: search.keyword_search(table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("_key"), "text"), "the", 100.0, 20, ["text"]).select("_key", "keyword_score")
 )
 query("DDL-07")(lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(stems(text.tokens("text")), " ").alias("stems")))
-query("TXT-11", None)(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(glossary.unique_terms(glossary.find_terms(table(s, d, "benchmark"), ["the", "and", "eren"]), 2)).alias("terms")))
+query("TXT-11", None)(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(glossary.unique_terms(glossary.find_terms(table(s, d, "benchmark"), ["the", "and", "eren"]))).alias("terms")))
 query("TXT-17", None)(lambda s, d: (b := table(s, d, "benchmark")).select("item_id", "text", glossary.find_terms(b, ["the", "and", "eren"]).alias("m")).select("item_id", glossary.highlight(F.col("text"), F.col("m")).alias("marked"), F.size("m").alias("n")))
 query("TXT-16", "SELECT 13::BIGINT AS terms")(lambda s, d: glossary.glossary(s).agg(F.count("*").alias("terms")))
 query("VEC-12", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(

@@ -125,3 +125,14 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         ingest.store(ingest.read(spark, str(tmp_path / "in"), "_key string, content string"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_glossary_reads_whole_texts(spark):
+    words = [f"w{i:03}" for i in range(150)]
+    body = "x " * 6000 + " ".join(words) + " end"
+    df = one(spark, body)
+    found = df.select("text", glossary.find_terms(df, words).alias("m"))
+    r = found.select(glossary.unique_terms(F.col("m")).alias("t"), glossary.highlight(F.col("text"), F.col("m")).alias("h"), glossary.highlight(F.col("text"), F.col("m"), limit=None).alias("n")).first()
+    assert r.t == words and r.h == r.n == "x " * 6000 + " ".join(f"**{w}**" for w in words) + " end"
+    assert df.select(glossary.find_terms(df, words, limit=10_000).alias("m")).select(glossary.unique_terms(F.col("m")).alias("t")).first().t == []
+    assert found.select(glossary.unique_terms(F.col("m"), 2).alias("t")).first().t == words[:2]
