@@ -1,0 +1,101 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by MinHash bands.
+
+A text is the set of its shingles of five words. Bands of least hashes link sets
+that are likely to be similar; the components of these links are taken one by
+one, and in each all pairs are compared by the exact Jaccard similarity. Pairs
+at the threshold collide in a band with a probability of 0.999. Equal sets are
+one class and are compared once; a component of sets that differ is compared in
+one task, whatever its size.
+
+Edge cases: a null text, or one without words, is the empty set, and all empty
+sets are one class. Fewer than ``shingle`` words make one shingle. Rows with a
+null id take part, after the others. Only the columns named are read; all stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marlstone.llm.common import free_name, materialize, slices
+from marlstone.llm.components import connected_components
+from marlstone.llm.simhash_dedup import WORDS, unite
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.999.
+BANDS, ROWS = 40, 8
+SKETCH = "struct<cls:long,bands:array<long>,held:binary>"
+_RNG = np.random.default_rng(SEED)
+_FACTOR, _ADD = _RNG.integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    words = WORDS.findall(text.encode().lower())
+    parts = (b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1) if words else 0))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), dtype=np.uint64))
+
+
+def bands(held: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's least hashes."""
+    if not len(held):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(held), 256):  # so that a long text takes no more memory
+        x = held[k : k + 256, None] * _FACTOR + _ADD
+        x ^= x >> np.uint64(32)
+        x *= _FACTOR
+        least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
+
+
+def clusters(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the least place of its cluster; all pairs that share a shingle are compared."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    holders, start = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=0) + 2))
+    label, end = np.arange(len(sets)), np.cumsum(size)
+    for i in range(len(sets)):
+        own = code[end[i] - size[i] : end[i]]
+        n = start[own + 1] - start[own]
+        at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        hits = np.flatnonzero((both > 0) & (both >= similarity * (size + size[i] - both) - 1e-9))
+        label = unite(label, np.full(len(hits), i), hits)
+    return label
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``df`` with one row of each cluster: that of the smallest id, nulls last; of equal ids, the one of the least digest of id and text."""
+
+    @F.pandas_udf(SKETCH)
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(text, shingle) for _, part in slices(batch, 1_000_000) for text in part]
+            raw = [s.tobytes() for s in sets]
+            cls = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"cls": cls, "bands": pd.Series([bands(s) for s in sets], dtype=object), "held": pd.Series(raw, dtype=object)})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cls", ignore_index=True)
+        label = clusters([np.frombuffer(h, np.uint64) for h in group["held"]], similarity)
+        return pd.DataFrame({"cls": group["cls"], "cluster": group["cls"].to_numpy()[label]})
+
+    digest = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).isNull().cast("string"), F.col(text_col))))
+    rows = materialize(df.select(digest.alias("_row"), F.col(id_col).alias("_id"), sketch(F.col(text_col)).alias("s")).select("_row", "_id", "s.*"), "shingles")
+    keyed = rows.select("cls", F.posexplode("bands").alias("t", "key")).distinct()
+    least = keyed.groupBy("t", "key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1").select("t", "key", "b")
+    roots = materialize(connected_components(keyed.join(least, ["t", "key"]).select(F.col("cls").alias("a"), "b")), "candidates")
+    sets = rows.select(F.col("cls").alias("node"), "held").dropDuplicates(["node"]).join(roots, "node").select(F.col("node").alias("cls"), "root", "held")
+    found = materialize(sets.groupBy("root").applyInPandas(compare, "cls long, cluster long"), "clusters")
+    placed = rows.select("_row", "_id", "cls").join(found, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
+    first = placed.groupBy("cluster").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))
+    row = free_name(df, "_row")
+    return df.withColumn(row, digest).join(first.select(F.col("first._row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*df.columns)
