@@ -193,7 +193,24 @@ def test_decontamination_recall_by_kind_of_edit(kind, shares):
 def test_edit_distances_at_once():
     rnd = random.Random(9)
     pairs = [(bytes(rnd.choices(b"abcd", k=rnd.choice((1, 63, 64, 65, 128, 130, 200)))), bytes(rnd.choices(b"abcd", k=rnd.randint(0, 300)))) for _ in range(300)]
-    assert decontamination.distances(pairs).tolist() == [decontamination.edit_distance_within(a, b) for a, b in pairs]
+    letters = np.frombuffer(b"\n".join(b for _, b in pairs), np.uint8)
+    stop = np.cumsum([len(b) + 1 for _, b in pairs]) - 1
+    got = decontamination.least_distances([a for a, _ in pairs], np.arange(len(pairs)), letters, stop - [len(b) for _, b in pairs], stop)
+    assert got.tolist() == [decontamination.edit_distance_within(a, b) for a, b in pairs]
+
+
+def test_short_items_blocks_and_names(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "Yes: the answer IS forty-two, they say", 1), ("b", "nothing like it", 2), ("c", None, 3)], "item_id string, text string, r int")
+    bench = spark.createDataFrame([("x", "answer is"), ("y", "forty two"), ("z", "anser is"), ("w", "absent words"), ("v", "!!"), ("u", None)], "id string, text string")
+    want = [("a", "x", 0), ("a", "y", 0), ("a", "z", 1)]
+    for size in (decontamination.ITEM_BYTES, 10):
+        monkeypatch.setattr(decontamination, "ITEM_BYTES", size)
+        found = decontamination.find_contaminated(docs, bench, "item_id", item_id_col="id")
+        assert found.columns == ["item_id", "_item_id", "edit_distance", "similarity"]
+        assert sorted((r[0], r[1], r[2]) for r in found.collect()) == want
+        kept = decontamination.remove_contaminated(docs, bench, item_id_col="id")
+        assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == ["b", "c"]
+    assert decontamination.find_contaminated(docs.select(docs.r, docs.text), bench.limit(0), "r", item_id_col="id").count() == 0
 
 
 # ---- classifier
