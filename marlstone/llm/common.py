@@ -11,19 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marlstone-shared")
+    """The folder that all executors share, spark.checkpoint.dir; where that is unset, a local one in local mode (tests), else an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), "marlstone-shared")
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
+
+def application_dir(spark: SparkSession) -> str:
+    """Where this application's tables stand in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/marlstone-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The written table is compressed, survives the loss of any executor and is
-    read again instead of being computed twice.
+    read again instead of being computed twice. ``release`` deletes it; all
+    tables of an application are deleted by ``clear``.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.shared_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder; results that were not read yet can't be read after it."""
+    _delete(spark, application_dir(spark))
 
 
 def free_name(df: DataFrame, name: str) -> str:

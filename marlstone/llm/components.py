@@ -1,11 +1,12 @@
-"""Connected components of a graph of links, by alternating large and small stars."""
+"""Connected components of a graph of links: of a table by alternating large and small stars, of arrays by least labels."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import materialize, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,7 +27,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        smaller = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        release(edges, large)
+        edges = smaller
         before, state = state, _state(edges)
         if state == before:
             break
@@ -37,3 +40,16 @@ def _state(edges: DataFrame) -> tuple:
     """Count and checksum of the links, to see whether a round changed them."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the least place of its set, after the sets of a and b are joined."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (deeper := label[label]).tobytes() != label.tobytes():
+            label = deeper

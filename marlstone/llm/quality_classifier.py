@@ -5,7 +5,9 @@ projections, whose products approximate a Gaussian kernel. Each task sums the
 normal equations over its labelled rows; FIT_TASKS tasks add up those sums, and
 the driver solves them for ridge weights. Raw scores of labelled rows that had no part in
 the fit are counted in bins, and pooled adjacent violators make them a
-nondecreasing probability.
+nondecreasing probability. The model is learned from FIT_ROWS labelled rows at
+most, those of the least hash of their id, so that only their texts are measured
+twice; the scores are of all rows.
 
 Edge cases: a null or empty text has the statistics of an empty text and gets a
 score. Rows with a null id have no label. An id with several labels counts once,
@@ -31,6 +33,8 @@ from marlstone.llm.common import materialize
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 THRESHOLD = 0.3
 FEATURES, RIDGE, SEED = 256, 1e-3, 7
+#: Labelled rows that a model is learned from, at most.
+FIT_ROWS = 100_000
 #: Tasks that add up the sums of all others (what reaches the driver is this many matrices), and bins of raw scores.
 FIT_TASKS, BINS = 4, 1000
 EQUATIONS = "n long, gram binary, moment binary"
@@ -110,10 +114,15 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % FOLDS
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """A model of ``labels`` from the rows of ``stats`` (id, stats) outside the held-out fold."""
-    target = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
-    known = stats.select(id_col, "stats", fold_of(id_col).alias("fold")).filter(F.col("fold") != HELD_OUT).join(target, id_col).select("stats", "fold", "y")
+def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = FIT_ROWS) -> DataFrame:
+    """Ids with a label outside the held-out fold, ``rows`` at most: (_id, y, fold). Small enough to be broadcast."""
+    target = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("y"))
+    target = target.withColumn("fold", fold_of("_id")).filter(F.col("fold") != HELD_OUT)
+    return F.broadcast(materialize(target.orderBy(F.xxhash64("_id"), "_id").limit(rows), "training-rows"))
+
+
+def fit(known: DataFrame) -> Model:
+    """A model from the rows (stats, y, fold) of ``known``."""
     known = materialize(known, "labelled")
     moments = known.agg(*(f(F.get("stats", F.lit(i))) for i in range(N_STATISTICS) for f in (F.avg, F.stddev_pop))).first()
     moments = np.array([0.0 if x is None else x for x in moments]).reshape(-1, 2)
@@ -183,15 +192,17 @@ def score(stats: DataFrame, model: Model, keep: list) -> DataFrame:
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per row its id, whether its label was held out, its score and the prediction at THRESHOLD."""
-    stats = materialize(with_statistics(df, [id_col], text_col), "statistics")
-    scored = score(stats, fit(stats, labels, id_col, label_col), [id_col])
-    held_out = F.coalesce(fold_of(id_col) == HELD_OUT, F.lit(False))
-    return scored.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    stats = materialize(with_statistics(df, [F.col(id_col).alias("_id")], text_col), "statistics")
+    model = fit(stats.join(training_rows(labels, id_col, label_col), "_id").select("stats", "y", "fold"))
+    scored = score(stats, model, ["_id"])
+    held_out = F.coalesce(fold_of("_id") == HELD_OUT, F.lit(False))
+    return scored.select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``df`` without the rows that are predicted to be of bad quality; all columns stay."""
-    model = fit(materialize(with_statistics(df, [id_col], text_col), "statistics"), labels, id_col, label_col)
+    """``df`` without the rows that are predicted to be of bad quality; all columns stay. Only labelled texts are measured for the fit."""
+    labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(training_rows(labels, id_col, label_col), "_id")
+    model = fit(with_statistics(labelled, ["y", "fold"], "_text").select("stats", "y", "fold"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -43,22 +43,23 @@ def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH turns AS (
-    SELECT row_number() OVER () AS row_id, conv_id, turn, coalesce(turn // 512, 0)::BIGINT AS part,
-           regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS role,
+    SELECT row_number() OVER () AS row_id, conv_id, turn, role,
+           CASE WHEN role IS NULL THEN 'user' WHEN role = 'system' THEN role ELSE 'user name=' || array_to_string(list_transform(
+               string_split(role, ''), lambda c: CASE WHEN regexp_matches(c, '[\p{L}\p{M}\p{N}_-]') THEN c ELSE printf('%%%X;', unicode(c)) END), '') END AS tag,
            replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text
     FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role NOT IN ('system', 'unknown')),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
 said AS (
-    SELECT turns.conv_id, perspective, part, row_id, turn, role, text, role = perspective AS mine,
-           '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+    SELECT turns.conv_id, perspective, row_id, turn, role, text, coalesce(role = perspective, false) AS mine,
+           '<|im_start|>' || CASE WHEN mine THEN 'assistant' ELSE tag END || chr(10) AS head,
            text || '<|im_end|>' AS body
     FROM turns JOIN speakers ON turns.conv_id IS NOT DISTINCT FROM speakers.conv_id),
 placed AS (
-    SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text, row_id) AS stop FROM said)
-SELECT conv_id, perspective, part, count(*) AS n_turns,
-       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text, row_id) AS rendered,
-       coalesce(string_agg((stop - 1 - length(body))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY turn NULLS FIRST, role, text, row_id) FILTER (mine), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part
+    SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text, row_id) AS stop FROM said)
+SELECT conv_id, perspective, 0::BIGINT AS part, count(*) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text, row_id) AS rendered,
+       coalesce(string_agg((stop - 1 - length(body))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text, row_id) FILTER (mine), '') AS mask
+FROM placed GROUP BY conv_id, perspective
 """
 
 
@@ -115,6 +116,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(spans.count_of(F.col("seeds"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
         F.sha2(spans.joined(F.col("seeds")), 256).alias("base_sha256"),
         spans.joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        spans.count_of(F.col("spans"), "learned").alias("n_learned"),
     )
 
 

@@ -8,6 +8,14 @@ at once: the planes in which they differ are added to bitwise counters with
 carry-save steps, and blocks whose lanes all exceed the radius are abandoned.
 Buckets beyond CELL fingerprints are cut to cells for every pair of their parts.
 
+``deduplicate`` can also ask for an exact Jaccard similarity of shingle sets.
+Fingerprints of 64 bits can't give that alone: at a similarity of 0.8 they differ
+in 10 bits on average and in up to 18, a radius at which no blocks of bits stay
+equal. So the fingerprints' links are candidates beside those of MinHash bands
+(see ``shingles``), which reach the similarity with a probability of 0.999, and
+the pairs within components of candidates are compared exactly, in cells of
+bounded bytes.
+
 Edge cases: a null or empty text, or one without words, has fingerprint zero and
 is linked like any other. Fewer than SHINGLE words make one shingle. Repeated
 rows and equal texts have equal fingerprints, which are compared once. Rows with
@@ -18,44 +26,33 @@ keeps all columns.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import shingles
 from marlstone.llm.common import free_name, materialize, slices
-from marlstone.llm.components import connected_components
+from marlstone.llm.components import connected_components, unite
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-SHINGLE, SEED, RADIUS = 3, 42, 3
+SHINGLE, RADIUS = 3, 3
 #: Fingerprints in a part of a large bucket, and comparisons of a fingerprint with a block done at once.
 CELL, AT_ONCE = 4096, 1 << 16
+#: Bytes of shingle sets in a part of a large component of candidates.
+CELL_BYTES = 4_000_000
 ALL = np.uint64(2**64 - 1)
 
 
-def simhash(texts: list[str]) -> np.ndarray:
-    """The fingerprints of a slice of texts."""
-    hashes: list[int] = []
-    counts = []
-    for text in texts:
-        words = WORDS.findall(text.encode().lower())  # of bytes, lower() changes A-Z only
-        if len(words) > SHINGLE:
-            shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-        else:
-            shingles = iter([b" ".join(words)] if words else [])
-        before = len(hashes)
-        hashes.extend(xxhash.xxh64_intdigest(s, SEED) for s in shingles)
-        counts.append(len(hashes) - before)
-    count = np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+def simhash(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of texts, given the hashes of their shingles, repeats included; zero where there are none."""
+    count = np.array([len(h) for h in hashes], dtype=np.int64)
+    out = np.zeros(len(hashes), dtype=np.uint64)
     some = np.flatnonzero(count)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.concatenate(hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         start = np.cumsum(count) - count
         ones = np.add.reduceat(bits, start[some], axis=0, dtype=np.int32)
         out[some] = np.packbits(ones * 2 > count[some, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -68,7 +65,7 @@ def fingerprints(df: DataFrame, keep: list, text_col: str = "text") -> DataFrame
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(np.concatenate([np.empty(0, np.uint64), *(simhash(part) for _, part in slices(batch, 1_000_000))]).view(np.int64))
+            yield pd.Series(np.concatenate([np.empty(0, np.uint64), *(simhash([shingles.hashes(t, SHINGLE) for t in part]) for _, part in slices(batch, 1_000_000))]).view(np.int64))
 
     return df.select(*keep, fp(F.col(text_col)).alias("fp"))
 
@@ -104,19 +101,6 @@ def near(fps: np.ndarray, planes: np.ndarray, query: np.ndarray, block: np.ndarr
     return query[item[at]], block[item[at]] * 64 + lane
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels, each the least place of its set, after the sets of a and b are joined."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (deeper := label[label]).tobytes() != label.tobytes():
-            label = deeper
-
-
 def links_of(buckets: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links within sorted buckets: fingerprints and the least of their set."""
     n = len(fps)
@@ -190,11 +174,62 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(component, "fp").select(F.col("_id").alias(id_col), *names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: that of the smallest id, nulls last; of equal ids, the one of the least digest of id and text. All columns stay."""
+def _clusters(df: DataFrame, keep: list, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Per row ``keep``, its class (texts of equal shingle sets) and its cluster: classes joined by links of that similarity."""
+
+    @F.pandas_udf("struct<cls:long,fp:long,bands:array<long>,held:binary>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for _, texts in slices(batch, 1_000_000):
+                hashes = [shingles.hashes(t, shingle) for t in texts]
+                sets = [np.unique(h) for h in hashes]
+                parts.append(pd.DataFrame({"cls": [shingles.class_of(s) for s in sets], "fp": simhash(hashes).view(np.int64), "bands": pd.Series([shingles.bands(s, similarity) for s in sets], dtype=object), "held": pd.Series([s.tobytes() for s in sets], dtype=object)}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"cls": [], "fp": [], "bands": [], "held": []})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cls", ignore_index=True)
+        label = shingles.clusters([np.frombuffer(h, np.uint64) for h in group["held"]], similarity)
+        return pd.DataFrame({"root": group["root"], "cls": group["cls"], "cluster": group["cls"].to_numpy()[label]})
+
+    rows = materialize(df.select(*keep, sketch(F.col(text_col)).alias("s")).select("*", "s.*").drop("s"), "shingles")
+    classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"))
+    # candidates: equal or near fingerprints, and equal bands
+    by_fp = materialize(classes.groupBy("fp").agg(F.min("cls").alias("least")), "classes")
+    near = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    same = classes.join(by_fp, "fp").select(F.col("cls").alias("x"), F.col("least").alias("y"))
+    keyed = rows.select("cls", F.posexplode("bands").alias("t", "key")).distinct()
+    least = keyed.groupBy("t", "key").agg(F.min("cls").alias("y"), F.count("*").alias("n")).filter("n > 1").select("t", "key", "y")
+    banded = keyed.join(least, ["t", "key"]).select(F.col("cls").alias("x"), "y")
+    roots = materialize(connected_components(near.unionByName(same).unionByName(banded), "x", "y"), "candidates")
+    sets = rows.select(F.col("cls").alias("node"), "held").dropDuplicates(["node"]).join(roots, "node").select(F.col("node").alias("cls"), "root", "held")
+    parts = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("held").cast("long")) / CELL_BYTES).alias("parts"))
+    parts = materialize(parts.select("root", F.greatest("parts", F.lit(1)).cast("int").alias("parts")), "parts")
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    cells = sets.join(parts, "root").select("cls", "root", "held", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("cls", "root", "held", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    found = materialize(cells.groupBy("root", "low", "high").applyInPandas(compare, "root long, cls long, cluster long"), "compared")
+    split = found.join(parts.filter("parts > 1").select("root"), "root", "left_semi")
+    joined = connected_components(split, "cls", "cluster").select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    placed = found.join(parts.filter("parts = 1").select("root"), "root", "left_semi").select("cls", "cluster").unionByName(joined)
+    names = [c for c in rows.columns if c not in ("fp", "bands", "held")]
+    return rows.select(*names).join(placed, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """``df`` with one row of each group: that of the smallest id, nulls last; of equal ids, the one of the least digest of id and text. All columns stay.
+
+    Groups are the components of ``near_duplicates``, or with ``similarity`` those
+    of texts whose sets of shingles of ``shingle`` words have that Jaccard
+    similarity at least; a null text, or one without words, is the empty set.
+    """
     digest = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).isNull().cast("string"), F.col(text_col))))
-    placed = materialize(near_duplicates(df, id_col, text_col, [digest.alias("_row")]), "near-duplicates")
-    # a component of nulls alone has no id: its fingerprint tells it apart, as the null text does
-    first = placed.groupBy(F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("component")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")).alias("first"))
+    if similarity is None:
+        placed = materialize(near_duplicates(df, id_col, text_col, [digest.alias("_row")]), "near-duplicates")
+        # a component of nulls alone has no id: its fingerprint tells it apart, as the null text does
+        placed = placed.select("_row", F.col(id_col).alias("_id"), F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("cluster"))
+    else:
+        placed = _clusters(df, [digest.alias("_row"), F.col(id_col).alias("_id")], text_col, shingle, similarity)
+    first = placed.groupBy("cluster").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))
     row = free_name(df, "_row")
     return df.withColumn(row, digest).join(first.select(F.col("first._row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*df.columns)

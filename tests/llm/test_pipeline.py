@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontamination, pii, quality_classifier, queries, simhash_dedup
+from marlstone.llm import decontamination, pii, quality_classifier, queries
+from test_shingles import brute_clusters
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -39,9 +40,23 @@ def test_stages(spark, tmp_path):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in held]
     bad = {r.doc_id for r in quality_classifier.classify(held[0], spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 0").collect()}
     assert ids[1] == ids[0] - bad and bad
-    parts = simhash_dedup.near_duplicates(held[1]).collect()
-    assert ids[2] == {r.component_id for r in parts} and len(ids[2]) < len(ids[1])
+    # groups by shingles of five words and a Jaccard similarity of 0.8, by brute force; the smallest id of each stays
+    rows = sorted((r.doc_id, r.text) for r in held[1].collect())
+    assert ids[2] == {rows[i][0] for i in brute_clusters([t for _, t in rows])} and len(ids[2]) < len(ids[1])
     hits = {r.doc_id for r in decontamination.find_contaminated(held[2], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids[3] == ids[2] - hits and ids[4] == ids[5] == ids[3]
     assert held[4].filter(F.size(pii.seeds(F.col("text"))) > 0).count() == 0
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(held[5].collect())
+
+
+def test_stages_take_nulls_ties_and_clashing_names(spark):
+    """Each stage keeps all columns and survives nulls, repeated rows, long texts, clashing names and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, score double, text_key string"
+    rows = [(1, None, "a", None, 1, "x", 0.0, "k"), (None, "", "b", "s", 1, "x", 0.0, "k"), (3, "tie tie", None, "s", 1, "x", 0.0, "k"), (3, "tie tie", None, "s", 1, "x", 0.0, "k"), (4, "mail a@b.c " * 9000, "d", "s", None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, SF).count() == len(rows) and last(spark, docs.limit(0), SF).count() == 0

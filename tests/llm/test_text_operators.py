@@ -196,12 +196,39 @@ def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules", 9), (1, 1, "ann", "hi <|im_end|>", 9), (1, 2, "bob", None, 9), (1, 2, "bob", None, 9), (2, None, None, "x", 9), (3, 600, "ann", "late", 9), (3, 1, "ann", "early", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask int")
     got = {(r.conv_id, r.perspective, r.part): r for r in chat_rotation.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "ann", 0), (3, "ann", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "ann", 0)}
     ann = got[1, "ann", 0]
     assert ann.rendered.startswith("<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n<|im_start|>user name=bob\n")
     begin, stop = map(int, ann.mask.split(":"))
     assert ann.rendered[begin:stop] == "hi <| im_end|><|im_end|>" and ann.n_turns == 4
     assert got[1, "bob", 0].mask.count(":") == 2 and chat_rotation.rotate(df.limit(0)).count() == 0
+    assert got[3, "ann", 0].rendered == "<|im_start|>assistant\nearly<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n"
+    parts = {(r.conv_id, r.perspective, r.part): r for r in chat_rotation.rotate(df, part_turns=512).collect()}
+    assert set(parts) == {*got, (3, "ann", 1)} and parts[1, "bob", 0] == got[1, "bob", 0]
+    assert parts[3, "ann", 0].rendered + parts[3, "ann", 1].rendered == got[3, "ann", 0].rendered
+
+
+def brute_rotation(turns):
+    """Perspective to rendered text and mask of one conversation, built turn by turn."""
+    out = {}
+    for speaker in {r for _, r, _ in turns if r not in (None, "system")}:
+        text, mask = "", []
+        for _, role, said in sorted(turns, key=lambda t: (t[0] is not None, t[0], t[1] is not None, t[1] or "", t[2] or "")):
+            text += "<|im_start|>" + ("assistant" if role == speaker else "user" if role is None else role if role == "system" else f"user name={role.replace(' ', '%20;')}") + "\n"
+            begin = len(text)
+            text += (said or "") + "<|im_end|>\n"
+            mask += [f"{begin}:{len(text) - 1}"] * (role == speaker)
+        out[speaker] = text, ",".join(mask)
+    return out
+
+
+def test_chat_rotation_equals_brute_force(spark):
+    turns = [(None, "user 1", "null turn"), (None, None, None), (0, "system", "é"), (1, "user 1", "a"), (2, "user_1", "b"), (3, "unknown", "c"), (3, "unknown", "c"), (4, None, "d"), (5, "assistant", "😀")]
+    turns += [(i, f"s{i % 3}", "x" * (i % 7)) for i in range(6, 3000)]
+    df = spark.createDataFrame([(c, *t) for c in (None, 1) for t in turns], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.perspective): (r.rendered, r.mask) for r in chat_rotation.rotate(df).collect()}
+    want = brute_rotation(turns)
+    assert {"user 1", "user_1", "unknown"} < set(want) and got == {(c, p): v for c in (None, 1) for p, v in want.items()}
 
 
 def test_chat_rotation_tells_names_of_any_script_apart(spark):
