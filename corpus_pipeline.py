@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, decontamination, pii, quality_classifier, shingle_dedup
+from marlstone.llm import bpe, decontamination, pii, quality_classifier, simhash_dedup
 from marlstone.llm.common import materialize
 
 
@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: shingles of five words, Jaccard similarity 0.8 or more."""
-    return shingle_dedup.deduplicate(docs)
+    return simhash_dedup.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
