@@ -267,9 +267,10 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 40])
 def test_repeats_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(suffix_dedup, "DEALT", 50)
     rnd = random.Random(7)
     base = ["".join(rnd.choices("abcdé ", k=200)) for _ in range(5)]
     texts = [None, "", "short", "a" * 200, "ab" * 90]
@@ -280,9 +281,11 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
             parts += [rnd.choice(base)[a : rnd.randint(a, 200)], rnd.choice("ab") * rnd.randint(0, 50), "".join(rnd.choices("xyz", k=rnd.randint(0, 30)))]
         texts.append("".join(parts))
     texts += texts[6:9]
-    rows = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.summarize(frame(spark, texts), window=24, gram=4).collect()}
     want = brute_repeats([(t or "").encode() for t in texts], 24)
-    assert [rows[i] for i in range(len(texts))] == want
+    for report in (24, 15):
+        rows = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.summarize(frame(spark, texts), window=24, gram=4, report=report).collect()}
+        assert [rows[i][:4] for i in range(len(texts))] == want
+        assert [rows[i][4] for i in range(len(texts))] == [w[1] for w in brute_repeats([(t or "").encode() for t in texts], report)]
     cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(frame(spark, texts), window=24, gram=4).collect()}
     assert cut[0] is None and all(len(cut[i].encode()) <= w[0] - w[1] for i, w in enumerate(want) if i)
 
@@ -293,6 +296,23 @@ def test_repeats_edge_cases(spark, edges):
     assert suffix_dedup.summarize(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, hot", [(2000, suffix_dedup.HOT_BYTES), (200, 50_000)])
+def test_many_long_texts_of_one_character(spark, monkeypatch, n, hot):
+    """The different contexts of one hash are compared in blocks of bounded bytes, or dealt out."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    texts = ["a" * (400 + i) for i in range(n)] + ["b" * 300, "b" * 300]
+    for r in suffix_dedup.summarize(frame(spark, texts)).collect():
+        assert (r.n_removed, r.n_repeated) == ((0, 300) if r.doc_id >= n else (r.n_bytes, r.n_bytes))
+
+
+def test_helper_columns_of_repeats_do_not_clash(spark):
+    rows = [(1, "x" * 900, "k", "c"), (2, "tail", "k2", None), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text_key string, _COVER string")
+    clean = suffix_dedup.remove_repeats(df)
+    assert clean.columns == df.columns and sorted(map(tuple, clean.collect())) == [(1, "", "k", "c"), *rows[1:]]
+    assert suffix_dedup.summarize(df, "_text_key").columns[0] == "_text_key"
+
+
 def test_helper_columns_do_not_clash(spark):
     schema = "doc_id long, text string, _ROW string, _pii_key string, _pii_learned string"
     rows = [(1, "mail x@y.com now", "a", "b", "c"), (2, "mail x@y.com now", "d", "e", "f"), (3, None, None, None, None)]
