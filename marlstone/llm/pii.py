@@ -44,6 +44,8 @@ MARKED = r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+"
 BREAK = r"[\s\p{Punct}]+"
 
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, WINDOW = 3, 0.9, 5, 96
+#: One text in so many is looked at first, to rule out patterns that too many ordinary words follow.
+FIRST_LOOK = 64
 
 
 def _digits(match: Column) -> Column:
@@ -165,8 +167,13 @@ def learn_patterns(df: DataFrame, found: DataFrame, text_col: str = "text", hold
         edges = edges.withColumn("seed", F.when(F.pmod(F.xxhash64("instance"), F.lit(hold_out)) == 0, 0).otherwise(F.col("seed")))
     edges = materialize(edges, "pii-edges")
     supported = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= MIN_SUPPORT), "pii-candidates")
-    others = followers(df, supported, text_col)
-    sizes = materialize(supported.join(others, "pattern", "left").select("pattern", (F.col("instances") + F.coalesce("others", F.lit(0))).alias("fillers")), "pii-fillers")
+    # what some texts show against a pattern all texts do: it is out, and the others are counted over all texts
+    look = df.filter(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(FIRST_LOOK)) == 0)
+    possible = F.coalesce("others", F.lit(0)) * MIN_CONFIDENCE <= F.col("instances") * (1 - MIN_CONFIDENCE) + 1e-9
+    left = supported
+    for texts in (look, df):
+        left = materialize(left.select("pattern", "instances").join(followers(texts, left, text_col), "pattern", "left").filter(possible), "pii-possible")
+    sizes = left.select("pattern", (F.col("instances") + F.coalesce("others", F.lit(0))).alias("fillers"))
     graph = materialize(edges.join(sizes, "pattern"), "pii-graph")
     known, trusted = graph.withColumn("known", F.col("seed")), None
     for _ in range(ROUNDS):

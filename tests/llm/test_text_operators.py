@@ -151,6 +151,35 @@ def test_pii_learns_contexts(spark):
     assert clean[12] == "call the office line [LEARNED] today" and clean[0] == "call the office line [IP] today"
 
 
+def test_pii_does_not_learn_what_ordinary_words_follow(spark, monkeypatch):
+    rows = [f"we saw the 10.0.0.{i} and host 10.0.1.{i} there" for i in range(30)] + [f"the {w} was the {w}er" for w in "cat dog house tree road lamp".split()]
+    rows += ["the REF-55443322 is not one", "a host REF-55443399 is one", "user_name and host @somebody are two"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for first_look in (1, 2, 64):
+        monkeypatch.setattr(pii, "FIRST_LOOK", first_look)
+        trusted = {r.pattern: r.confidence for r in pii.learn_patterns(df, pii.entities(df, []))[0].collect()}
+        assert "the _" not in trusted and trusted["host _"] >= 0.9
+        found = {r.doc_id: r.s for r in pii.find_pii(df, ["doc_id"]).select("doc_id", spans.joined(F.col("spans")).alias("s")).collect()}
+        assert [found[i] for i in (36, 37, 38)] == ["", "learned:7:19", "learned:19:28"]
+
+
+def test_pii_bootstraps_and_measures_held_out_seeds(spark):
+    # the seeds teach "server _"; what that finds teaches "node _", which no seed has
+    rows = [f"server 10.0.0.{i} up" for i in range(60)] + [f"server KX-{i}7650 up" for i in range(6)] + [f"on node KX-{i}7650" for i in range(6)] + ["on node QZ-998877"] * 2
+    rows += ["server 10.0.0.1 up"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    trusted = {r.pattern for r in pii.learn_patterns(df, pii.entities(df, []))[0].collect()}
+    assert "server _" in trusted and "node _" not in trusted
+    more = df.unionByName(spark.createDataFrame([(900 + i, t) for i in range(6, 12) for t in (f"server 10.0.1.{i} up {i}", f"server KX-{i}7650 up", f"on node KX-{i}7650")] + [(990 + i, f"server 10.2.0.{i} up") for i in range(70)], df.schema))
+    trusted = {r.pattern for r in pii.learn_patterns(more, pii.entities(more, []))[0].collect()}
+    assert {"server _", "node _"} <= trusted
+    row = pii.measure(df).first()
+    assert row.held_out > 3 and row.found_again == 0
+    seeds_only = df.filter(F.col("doc_id") < 60)
+    row = pii.measure(seeds_only, hold_out=20).first()
+    assert row.held_out == row.found_again > 0 and row.found_besides == 0
+
+
 # ---- licenses
 
 
