@@ -90,8 +90,8 @@ def summarize(df: DataFrame, id_col: str, text_col: str, summarizer: Callable[[C
 
 
 def digest(files: DataFrame, group_col: str) -> DataFrame:
-    """Per group of files (path, content): how many, their bytes and tokens, and the sorted paths."""
-    return files.groupBy(group_col).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"), F.sum(count_tokens(F.col("content"))).alias("tokens"), F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("tree"))
+    """Per group of files (path, content): how many, and their bytes and tokens. The paths are rows of ``tree``, as a group may have any number."""
+    return files.groupBy(group_col).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"), F.sum(count_tokens(F.col("content"))).alias("tokens"))
 
 
 def tree(files: DataFrame) -> DataFrame:

@@ -66,9 +66,9 @@ def relationships(edges: DataFrame, vertex: str, relationship_type: str | None =
 
 
 def related_documents(edges: DataFrame, vertex: DataFrame, collection: str | None = None, direction: str = "OUTBOUND", max_depth: int = 1) -> DataFrame:
-    """Vertices within ``max_depth`` steps of those in ``vertex`` (_id), of one collection where it is given."""
+    """Vertices within ``max_depth`` steps of those in ``vertex`` (_id), each once at its least depth, of one collection where it is given."""
     direction = direction if direction.upper() in DIRECTIONS else "OUTBOUND"
-    found = traverse(edges, vertex, 1, max_depth, direction)
+    found = traverse(edges, vertex, 1, max_depth, direction, "global")
     return found if collection is None else found.filter(collection_of(F.col("vertex")) == collection)
 
 

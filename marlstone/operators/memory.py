@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from marlstone.functions import vector
 from marlstone.functions.text import collection_of, shorten
 from marlstone.operators.graph import traverse
 
-#: New memories that are compared with the known ones at once.
-MOST_NEW = 10_000
+#: New memories that are compared with the known ones at once, as one matrix.
+BLOCK = 2048
 SORTABLE = ("created_at", "timestamp", "turn", "role", "_key")
 
 
@@ -86,17 +88,47 @@ def memory_edges(conversations: DataFrame) -> DataFrame:
     return pair.select(F.inline(edges))
 
 
+def _nearest(known: DataFrame, block: list[tuple[str, Sequence[float]]], threshold: float, top_n: int) -> DataFrame:
+    """(_from, _to, score): for each vector of a block the best known ones of every batch, by products of matrices."""
+    sizes = {len(v) for _, v in block}
+    groups = {n: ([k for k, v in block if len(v) == n], np.array([v for _, v in block if len(v) == n], dtype=np.float64)) for n in sizes}
+    shared = known.sparkSession.sparkContext.broadcast(groups)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1)) == 0, np.inf, size)[:, None]
+        for batch in batches:
+            lengths = batch["embedding"].map(len).to_numpy()
+            for n, (names, own) in shared.value.items():
+                part = batch[lengths == n]
+                if not len(part):
+                    continue
+                keys = part["_key"].to_numpy()
+                # rounded, so that equal vectors tie whatever the order of the sums is
+                scores = np.round(unit(own) @ unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T, 12)
+                by_key = np.argsort(keys.astype(str), kind="stable")
+                for name, row in zip(names, scores, strict=True):
+                    near = by_key[(row[by_key] > threshold) & (keys[by_key] != name)]
+                    near = near[np.argsort(-row[near], kind="stable")][:top_n]
+                    if len(near):
+                        yield pd.DataFrame({"_from": name, "_to": keys[near], "score": row[near]})
+
+    return known.select("_key", "embedding").filter("embedding IS NOT NULL").mapInPandas(compare, "_from string, _to string, score double")
+
+
 def similarity_edges(new: DataFrame, known: DataFrame, threshold: float = 0.7, strong: float = 0.85, top_n: int = 5, kind: str = "similar") -> DataFrame:
     """Edges from new memories to their nearest known ones: (_from, _to, type, score, rationale).
 
-    ``new`` is what a call stores, MOST_NEW rows at most (else ValueError), and is
-    sent to the known ones; each pair is scored where the known row is.
+    ``new`` is the query set. It is taken in blocks of BLOCK vectors, each sent to
+    the known ones in one pass that keeps the ``top_n`` best of every batch, so
+    what is ranked at the end is small however many pairs there are.
     """
-    if new.limit(MOST_NEW + 1).count() > MOST_NEW:
-        raise ValueError(f"more than {MOST_NEW} new memories: store them in batches")
-    pairs = known.alias("k").join(F.broadcast(new.alias("n")), F.col("k._key") != F.col("n._key"))
-    score = vector.cosine(F.col("n.embedding"), F.col("k.embedding"))
-    scored = pairs.select(F.col("n._key").alias("_from"), F.col("k._key").alias("_to"), score.alias("score")).filter(F.col("score") > threshold)
+    new = new.select("_key", "embedding").filter("embedding IS NOT NULL")
+    blocks = max(1, -(-new.count() // BLOCK))
+    numbered = new.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
+    parts = [_nearest(known, [(r._key, r.embedding) for r in numbered.filter(F.col("_block") == k).collect()], threshold, top_n) for k in range(blocks)]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     best = Window.partitionBy("_from").orderBy(F.desc("score"), F.asc("_to"))
     top = scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top_n).drop("_n")
     name = F.when(F.col("score") > strong, f"strong_{kind}").otherwise(kind)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import vector
 from marlstone.functions.fuzzy import best_word_ratio
-from marlstone.functions.text import tokens
+from marlstone.functions.text import WORD, tokens
 
 FIELDS = ("title", "content", "description", "tags")
 K1, B = 1.2, 0.75
@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75
 
 def query_terms(query: str) -> list[str]:
     """Distinct lower-case words of a query, in order."""
-    return list(dict.fromkeys(re.findall(r"\w+", (query or "").lower())))
+    return list(dict.fromkeys(regex.findall(WORD, (query or "").lower())))
 
 
 def _as_text(df: DataFrame, field: str) -> Column:
@@ -37,38 +37,58 @@ def with_filters(df: DataFrame, filter_expr: str | None = None, tags: Sequence[s
     return df
 
 
-def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+def _whole_word(term: str) -> str:
+    """A word as a pattern that no longer word meets."""
+    inside = WORD[:-1]
+    return rf"(?<!{inside}){regex.escape(term)}(?!{inside})"
+
+
+def _occurrences(low: Column, term: str) -> Column:
+    """How often a lower-case text has a word; texts without these letters are not searched for it."""
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(_whole_word(term)))).otherwise(0)
+
+
+def _holds(low: Column, term: str) -> Column:
+    return low.contains(term) & low.rlike(_whole_word(term))
 
 
 def bm25_scores(df: DataFrame, query: str, fields: Sequence[str] = FIELDS, boosts: Mapping[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``df`` with ``score``: Okapi BM25 summed over fields; documents without any term are left out.
 
     Corpus statistics come from one aggregation that keeps a few numbers for each
-    term; the second pass scores each row by itself. Nothing is shuffled.
+    term; the second pass scores the rows that hold a term, each by itself. Words
+    are counted, not listed, and nothing is shuffled. For many queries over one
+    collection build a view instead.
     """
     terms, fields = query_terms(query), [f for f in fields if f in df.columns]
     if not terms or not fields:
         return df.limit(0).withColumn("score", F.lit(0.0))
-    counted = df
-    for f in fields:
-        counted = counted.withColumn(f"_w_{f}", tokens(_as_text(df, f)))
-        counted = counted.withColumn(f"_n_{f}", F.size(f"_w_{f}"))
-        counted = counted.withColumn(f"_tf_{f}", F.array(*(_occurrences(F.col(f"_w_{f}"), t) for t in terms)))
-    aggregates = [F.count("*").alias("n"), *(F.avg(f"_n_{f}").alias(f"avg_{f}") for f in fields)]
-    aggregates += [F.count_if(F.get(f"_tf_{f}", F.lit(i)) > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))]
-    stats = counted.agg(*aggregates).first()
-    score = F.lit(0.0)
-    for f in fields:
-        for i in range(len(terms)):
-            holding = stats[f"df_{f}_{i}"]
-            if holding:
-                idf = F.log(F.lit(1 + (stats["n"] - holding + 0.5) / (holding + 0.5)))
-                tf = F.get(f"_tf_{f}", F.lit(i)).cast("double")
-                length = F.lit(1 - b) + F.lit(b) * F.col(f"_n_{f}") / F.lit(float(stats[f"avg_{f}"]))
-                score = score + F.lit(float((boosts or {}).get(f, 1.0))) * idf * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * length)
-    found = reduce(lambda x, y: x | y, [F.exists(f"_tf_{f}", lambda n: n > 0) for f in fields])
-    return counted.filter(found).withColumn("score", score).select(*df.columns, "score")
+    low = {f: F.lower(F.coalesce(_as_text(df, f), F.lit(""))) for f in fields}
+    length = {f: F.regexp_count(low[f], F.lit(WORD)) for f in fields}
+    aggregates = [F.count("*").alias("n"), *(F.avg(length[f]).alias(f"avg_{f}") for f in fields)]
+    aggregates += [F.count_if(_holds(low[f], t)).alias(f"df_{f}_{i}") for f in fields for i, t in enumerate(terms)]
+    stats = df.agg(*aggregates).first()
+
+    def of_field(f: str) -> Column:
+        held = [(i, t) for i, t in enumerate(terms) if stats[f"df_{f}_{i}"]]
+        if not held:
+            return F.lit(0.0)
+
+        def total(x: Column) -> Column:
+            norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * x["n"] / F.lit(float(stats[f"avg_{f}"])))
+            parts = []
+            for i, _ in held:
+                idf = F.log(F.lit(1 + (stats["n"] - stats[f"df_{f}_{i}"] + 0.5) / (stats[f"df_{f}_{i}"] + 0.5)))
+                tf = x[f"tf{i}"].cast("double")
+                parts.append(idf * tf * F.lit(k1 + 1) / (tf + norm))
+            return reduce(lambda a, c: a + c, parts)
+
+        # the counts are bound once, as the one element of an array
+        counts = F.struct(length[f].alias("n"), *(_occurrences(low[f], t).alias(f"tf{i}") for i, t in held))
+        return F.lit(float((boosts or {}).get(f, 1.0))) * F.get(F.transform(F.array(counts), total), F.lit(0))
+
+    found = reduce(lambda x, y: x | y, [_holds(low[f], t) for f in fields for t in terms])
+    return df.filter(found).withColumn("score", reduce(lambda a, c: a + c, [of_field(f) for f in fields]))
 
 
 def page(df: DataFrame, order: Sequence[Column], top_n: int, offset: int = 0) -> DataFrame:
@@ -121,7 +141,8 @@ def tag_search(df: DataFrame, tags: Sequence[str], filter_expr: str | None = Non
 def keyword_search(df: DataFrame, search_term: str, similarity_threshold: float = 97.0, top_n: int = 10, fields: Sequence[str] = ("title", "content"), tags: Sequence[str] | None = None, filter_expr: str | None = None) -> DataFrame:
     """Documents that hold the term: 1.0 as a part of a field, 0.9 as a word of it, else the best fuzzy ratio of a word from the threshold on.
 
-    The fuzzy comparison runs for rows without an exact hit only, in Arrow batches.
+    For the fuzzy comparison each different word is compared once, if its length
+    allows the ratio at all; the few words that reach it are joined back by key.
     """
     if not search_term or not search_term.strip():
         raise ValueError("a search term is needed")
@@ -130,11 +151,21 @@ def keyword_search(df: DataFrame, search_term: str, similarity_threshold: float
     rows = with_filters(df, filter_expr, tags)
     texts = [F.lower(F.coalesce(_as_text(df, f), F.lit(""))) for f in fields]
     part = reduce(lambda a, b: a | b, [t.contains(term) for t in texts])
-    word = reduce(lambda a, b: a | b, [F.array_contains(tokens(_as_text(df, f)), first) for f in fields])
-    marked = rows.withColumn("_exact", F.when(word & part, 1.0).when(word, 0.9)).withColumn("_words", F.flatten(F.array(*(tokens(_as_text(df, f)) for f in fields))))
-    exact = marked.filter("_exact IS NOT NULL").withColumn("keyword_score", F.col("_exact"))
-    fuzzy = marked.filter("_exact IS NULL").withColumn("keyword_score", best_word_ratio("_words", F.lit(term)) / 100).filter(F.col("keyword_score") >= similarity_threshold / 100)
-    return page(exact.unionByName(fuzzy).drop("_exact", "_words"), [F.desc("keyword_score"), F.asc("_key")], top_n)
+    word = reduce(lambda a, b: a | b, [_holds(t, first) for t in texts])
+    size, least = len(term), search_term_ratio(similarity_threshold)
+    # 2 * min / (a + b) is the most that two lengths allow
+    near = lambda w: (F.length(w) >= size * least / (2 - least) - 1e-9) & (F.length(w) * least <= size * (2 - least) + 1e-9)
+    words = F.array_distinct(F.flatten(F.array(*(F.filter(tokens(_as_text(df, f)), near) for f in fields))))
+    held = rows.select("_key", F.explode(words).alias("_word"))
+    good = held.select("_word").distinct().withColumn("_ratio", best_word_ratio(F.array("_word"), F.lit(term)) / 100).filter(F.col("_ratio") >= least)
+    best = held.join(good, "_word").groupBy("_key").agg(F.max("_ratio").alias("_ratio"))
+    score = F.when(word & part, 1.0).when(word, 0.9).otherwise(F.col("_ratio"))
+    return page(rows.join(best, "_key", "left").withColumn("keyword_score", score).filter("keyword_score IS NOT NULL").drop("_ratio"), [F.desc("keyword_score"), F.asc("_key")], top_n)
+
+
+def search_term_ratio(threshold: float) -> float:
+    """A similarity threshold in percent as a share."""
+    return min(max(threshold, 0.0), 100.0) / 100
 
 
 def semantic_search(df: DataFrame, query: Sequence[float], embedding_field: str = "embedding", filter_expr: str | None = None, min_score: float = 0.7, top_n: int = 10, tag_list: Sequence[str] | None = None, metric: str = "cosine") -> DataFrame:

@@ -41,12 +41,12 @@ query("CHK-03")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text", 120
 query("CHK-14")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text").groupBy("id").agg(F.count("*").alias("chunks"), F.sum("code_token_count").alias("tokens")))
 query("CHK-09")(lambda s, d: _docs(s, d).select("doc_id", F.size(chunk.overlapping_chunks(text.sentences(F.col("text")), 100)).alias("chunks")))
 query("CHK-10")(lambda s, d: chunk.summarize(_docs(s, d), "doc_id", "text", lambda c: text.shorten(c, 200), 500, 600))
-query("CHK-12", "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(length(text) // 4)::BIGINT AS tokens, string_agg(lang || '/' || doc_id || '.txt', chr(10) ORDER BY lang || '/' || doc_id || '.txt') AS tree FROM documents GROUP BY source")(
+query("CHK-12", "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY source")(
     lambda s, d: chunk.digest(_docs(s, d).select("source", F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), "source")
 )
-query("CHK-13", """WITH p AS (SELECT source, lang, doc_id FROM documents WHERE doc_id < 60),
+query("CHK-13", """WITH p AS (SELECT source, lang, doc_id FROM documents),
 l AS (SELECT DISTINCT source AS path, source || '/' AS line FROM p UNION SELECT DISTINCT source || '/' || lang, '    ' || lang || '/' FROM p UNION SELECT source || '/' || lang || '/' || doc_id || '.txt', '        ' || doc_id || '.txt' FROM p) SELECT path, line FROM l ORDER BY path""")(
-    lambda s, d: chunk.tree(_docs(s, d).filter("doc_id < 60").select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path")))
+    lambda s, d: chunk.tree(_docs(s, d).select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path")))
 )
 query("CHK-15", r"SELECT doc_id, CASE WHEN len(w) > 20 THEN array_to_string(w[:10], ' ') || ' ... ' || array_to_string(w[-10:], ' ') ELSE text END AS short FROM (SELECT doc_id, text, string_split_regex(trim(text, ' '), '\s+') AS w FROM documents)")(
     lambda s, d: _docs(s, d).select("doc_id", text.middle_out(F.col("text"), 20).alias("short"))
@@ -61,8 +61,8 @@ query("EXT-32", "SELECT doc_id, concat_ws(chr(10), nullif(trim(lang, ' '), ''),
 query("EXT-33", r"""WITH a AS (SELECT page_id, regexp_replace(html, '[\r\n]+', ' ', 'g') AS t FROM pages), b AS (SELECT page_id, regexp_replace(t, '<[^>]+>', '', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(t, 'https?://\S+', '', 'g') AS t FROM b),
 e AS (SELECT page_id, regexp_replace(t, '\S+@\S+\.\S+', '', 'g') AS t FROM c), f AS (SELECT page_id, trim(regexp_replace(replace(regexp_replace(t, '[•●▪]', '-', 'g'), 'α', 'alpha'), '\s+', ' ', 'g'), ' ') AS t FROM e)
 SELECT page_id, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS text FROM f""")(lambda s, d: table(s, d, "pages").select("page_id", text.normalize(F.col("html")).alias("text")))
-query("EXT-02", "SELECT doc_id, CASE WHEN trim(substr(text, 1, doc_id % 3), ' ') = '' THEN 'Unnamed Section' ELSE trim(substr(text, 1, doc_id % 3), ' ') END AS title FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", text.section_title(F.substring("text", F.lit(1), (F.col("doc_id") % 3).cast("int"))).alias("title"))
+query("EXT-02", "SELECT doc_id, CASE WHEN title = '' THEN 'Unnamed Section' ELSE title END AS title FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1f\\x7f]', '', 'g'), ' ') AS title FROM documents)")(
+    lambda s, d: _docs(s, d).select("doc_id", text.section_title(F.substring_index("text", "\n", 1)).alias("title"))
 )
 query("EXT-10")(lambda s, d: extract.blocks(_docs(s, d), "doc_id", "text").groupBy("id", "type").agg(F.count("*").alias("blocks")))
 query("EXT-04", r"""WITH h AS (SELECT page_id AS id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>', 0)) AS h, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>', 0), 1) - 1 AS position FROM pages)
@@ -75,15 +75,15 @@ query("EXT-09", "SELECT page_id, CASE regexp_extract(url, '\\.([A-Za-z0-9]+)$',
     lambda s, d: table(s, d, "pages").withColumn("e", text.extension(F.col("url"))).filter(F.col("e").isin("", "html", "py", "js", "php")).select("page_id", extract.language(F.col("e")).alias("language"))
 )
 query("EXT-44", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE strlen(text) <= 2000")(lambda s, d: _docs(s, d).select("doc_id", F.octet_length("text").cast("long").alias("bytes")).filter("bytes <= 2000"))
-query("EXT-43", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 50 = 0")(
-    lambda s, d: table(s, d, "events").filter("event_id % 50 = 0").select("event_id", extract.allowed_metadata(F.from_json("props", "map<string,string>"), ["k"])["k"].alias("k"))
+query("EXT-43", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", extract.allowed_metadata(F.from_json("props", "map<string,string>"), ["k"])["k"].alias("k"))
 )
 query("FN-names", r"SELECT page_id, substr(regexp_replace(trim(url, ' '), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 100) AS name, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext, regexp_replace(list_last(string_split(rtrim(url, '/'), '/')), '\.git$', '') AS repo FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", text.file_name(F.col("url")).alias("name"), text.extension(F.col("url")).alias("ext"), text.repository_name(F.col("url")).alias("repo"))
 )
 query("FN-json", "SELECT event_id, json_valid(props) AS good FROM events")(lambda s, d: table(s, d, "events").select("event_id", text.first_json(F.concat(F.lit("text "), "props")).isNotNull().alias("good")))
-query("FN-sanitize", "SELECT page_id, substr(regexp_replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '(javascript|vbscript|data):', '', 'gi'), 1, 300) AS clean FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", text.sanitize(F.col("html"), 300).alias("clean"))
+query("FN-sanitize", "SELECT page_id, regexp_replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '(javascript|vbscript|data):', '', 'gi') AS clean FROM pages")(
+    lambda s, d: table(s, d, "pages").select("page_id", text.sanitize(F.col("html"), None).alias("clean"))
 )
 
 # ---- glossary
@@ -104,22 +104,22 @@ SELECT coalesce(k.term, n.term) AS term, term_lower, coalesce(n.definition, k.de
 )
 query("TXT-06")(lambda s, d: table(s, d, "part").select("p_partkey", F.round(fuzzy_ratio("p_name", "p_type"), 6).alias("ratio")))
 
-# ---- tables, made of line items: a document for each customer bucket, a table for each order
+# ---- tables, made of line items: a document for each customer, a table for each order
 
 
 def _tables(s, d):
     headers = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("Part"), F.lit("Qty"))).otherwise(F.array(F.lit("part"), F.lit("QTY"), F.lit("price")))
-    items = table(s, d, "lineitem").filter("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("items"))
+    items = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("items"))
     body = F.transform("items", lambda i: F.array(i["l_partkey"].cast("string"), i["l_quantity"].cast("int").cast("string")))
     key = F.col("o_orderkey")
     return table(s, d, "orders").join(items, F.col("l_orderkey") == key).select(
-        (key % 7).alias("doc"), F.floor(key / 400).alias("page"), key.alias("number"), headers.alias("header"), body.alias("body"),
+        F.col("o_custkey").alias("doc"), F.floor(key / 400).alias("page"), key.alias("number"), headers.alias("header"), body.alias("body"),
         (F.lit(60.0) + key % 40).alias("accuracy"), (key % 30).cast("double").alias("whitespace"), F.array(*(x.cast("double") for x in (key % 5, key % 3, key % 5 + 4, key % 3 + 2))).alias("bbox"),
     )
 
 
-TABLES = """items AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey),
-t AS (SELECT o_orderkey % 7 AS doc, o_orderkey // 400 AS page, o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'part,qty' ELSE 'part,qty,price' END AS header, n, (60.0 + o_orderkey % 40)::DOUBLE AS accuracy, (o_orderkey % 30)::DOUBLE AS whitespace,
+TABLES = """items AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT o_custkey AS doc, o_orderkey // 400 AS page, o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'part,qty' ELSE 'part,qty,price' END AS header, n, (60.0 + o_orderkey % 40)::DOUBLE AS accuracy, (o_orderkey % 30)::DOUBLE AS whitespace,
     (o_orderkey % 5)::DOUBLE AS x0, (o_orderkey % 3)::DOUBLE AS y0, (o_orderkey % 5 + 4)::DOUBLE AS x1, (o_orderkey % 3 + 2)::DOUBLE AS y1, o_orderkey % 4 = 0 AS two FROM orders JOIN items ON l_orderkey = o_orderkey)"""
 INTER = "(greatest(least(x1, 5.0) - greatest(x0, 1.0), 0) * greatest(least(y1, 3.0) - greatest(y0, 1.0), 0))"
 query("EXT-16", f"WITH {TABLES} SELECT number, round({INTER} / (8.0 + 8.0 - {INTER}), 6) AS iou FROM t")(
@@ -153,8 +153,8 @@ query("EXT-42", f"WITH {TABLES} SELECT 's' || number % 4 AS settings, round(avg(
 query("EXT-11", f"WITH {TABLES} SELECT number, n - 1 AS rows, (2 * (n - 1))::BIGINT AS cells FROM t WHERE n >= 2")(
     lambda s, d: _tables(s, d).filter(F.size("body") >= 2).select("number", tables.padded(F.col("body")).alias("p")).select("number", F.size("p.rows").cast("long").alias("rows"), F.size(F.flatten("p.rows")).cast("long").alias("cells"))
 )
-query("EXT-14", "SELECT o_orderkey, o_orderstatus || ';' || o_custkey AS cells FROM orders WHERE o_orderkey % 20 = 0")(
-    lambda s, d: table(s, d, "orders").filter("o_orderkey % 20 = 0").select("o_orderkey", extract.markdown_table(F.concat(F.lit("| Status | Customer |\n|---|---|\n| "), "o_orderstatus", F.lit(" | "), "o_custkey", F.lit(" |\n| odd |"))).alias("t")).select("o_orderkey", F.array_join(F.flatten("t.rows"), ";").alias("cells"))
+query("EXT-14", "SELECT o_orderkey, o_orderstatus || ';' || o_custkey AS cells FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", extract.markdown_table(F.concat(F.lit("| Status | Customer |\n|---|---|\n| "), "o_orderstatus", F.lit(" | "), "o_custkey", F.lit(" |\n| odd |"))).alias("t")).select("o_orderkey", F.array_join(F.flatten("t.rows"), ";").alias("cells"))
 )
 query("EXT-28", "SELECT c_custkey, trim(regexp_replace(c_name, '[\\r\\n]+', ' ', 'g'), ' ') AS name, try_cast(regexp_extract(c_name, '[0-9]+') AS DOUBLE) AS number FROM customer".replace("\\\\", "\\"))(
     lambda s, d: table(s, d, "customer").select("c_custkey", tables.cleaned(F.col("c_name")).alias("name"), F.regexp_extract("c_name", "[0-9]+", 0).try_cast("double").alias("number"))
@@ -167,12 +167,12 @@ SELECT n_nationkey AS table_id, coalesce(c.text, n_name) AS text, coalesce(c.sta
     )
 )
 
-# ---- batches: a chain of tasks for each conversation
+# ---- batches: a chain of tasks for every twenty turns of a conversation
 
-_chain = lambda s, d: table(s, d, "conversations").filter("turn < 5 AND conv_id < 30").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("-", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("dependencies"), F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), "fail").otherwise(F.concat(F.lit("q"), "turn")).alias("question"))
-query("DAG-02", "SELECT conv_id || '-' || turn AS task_id, turn::INT AS depth FROM conversations WHERE turn < 5 AND conv_id < 30")(lambda s, d: batch.depths(_chain(s, d)).select("task_id", F.col("depth").cast("int").alias("depth")))
-query("DAG-01", """SELECT conv_id || '-' || turn AS task_id, CASE WHEN conv_id % 5 <> 0 OR turn = 0 THEN 'success' WHEN turn = 1 THEN 'error' WHEN turn = 2 THEN 'dependency_failed' ELSE 'error' END AS status,
-CASE WHEN conv_id % 5 <> 0 OR turn = 0 THEN 'answer: q' || turn WHEN turn = 1 THEN 'the call failed' WHEN turn = 2 THEN 'Dependency ' || conv_id || '-1 failed.' ELSE 'Unresolved dependencies or cycle detected.' END AS result FROM conversations WHERE turn < 5 AND conv_id < 30""")(
+_chain = lambda s, d: table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("task_id"), F.when(F.col("turn") % 20 > 0, F.array(F.concat_ws("-", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("dependencies"), F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") % 20 == 1), "fail").otherwise(F.concat(F.lit("q"), "turn")).alias("question"))
+query("DAG-02", "SELECT conv_id || '-' || turn AS task_id, (turn % 20)::INT AS depth FROM conversations")(lambda s, d: batch.depths(_chain(s, d)).select("task_id", F.col("depth").cast("int").alias("depth")))
+query("DAG-01", """SELECT conv_id || '-' || turn AS task_id, CASE WHEN conv_id % 5 <> 0 OR turn % 20 = 0 THEN 'success' WHEN turn % 20 = 1 THEN 'error' WHEN turn % 20 = 2 THEN 'dependency_failed' ELSE 'error' END AS status,
+CASE WHEN conv_id % 5 <> 0 OR turn % 20 = 0 THEN 'answer: q' || turn WHEN turn % 20 = 1 THEN 'the call failed' WHEN turn % 20 = 2 THEN 'Dependency ' || conv_id || '-' || (turn - 1) || ' failed.' ELSE 'Unresolved dependencies or cycle detected.' END AS result FROM conversations""")(
     lambda s, d: batch.run(_chain(s, d))
 )
 query("DAG-10", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")(lambda s, d: batch.status_counts(table(s, d, "events").select(F.col("event_type").alias("status"))))

@@ -173,10 +173,10 @@ query("JON-02", f"WITH {PLACES} SELECT e._key AS edge, e._to AS _id, c.c_name FR
 query("JON-03", f"WITH {TURNS} SELECT e._key AS edge, e._from AS _id, m.role FROM edges e LEFT JOIN (SELECT 'messages/' || conv_id || '-' || turn AS _id, role FROM conversations) m ON e._from = m._id WHERE e._to = 'messages/3-1'")(
     lambda s, d: graph.messages_for(turn_edges(s, d), table(s, d, "conversations").select(F.concat(F.lit("messages/"), F.concat_ws("-", "conv_id", "turn")).alias("_id"), "role"), "messages/3-1").select("edge", "_id", "role")
 )
-JON07 = "pairs AS (SELECT n.vec_id AS a, k.vec_id AS b, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings n, embeddings k WHERE n.vec_id < 10 AND n.vec_id <> k.vec_id)"
+JON07 = "pairs AS (SELECT n.vec_id AS a, k.vec_id AS b, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings n, embeddings k WHERE n.vec_id % 100 = 0 AND n.vec_id <> k.vec_id)"
 query("JON-07", f"WITH {JON07} SELECT 'n' || a AS _from, 'n' || b AS _to, CASE WHEN score > 0.5 THEN 'strong_similar' ELSE 'similar' END AS type, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, 'n' || b) AS r FROM pairs WHERE score > 0.2) WHERE r <= 5")(
     lambda s, d: rounded(
-        memory.similarity_edges(*((v := vectors(s, d).select(F.concat(F.lit("n"), "vec_id").alias("_key"), "embedding", "vec_id")).filter("vec_id < 10"), v), 0.2, 0.5).drop("rationale"), "score"
+        memory.similarity_edges(*((v := vectors(s, d).select(F.concat(F.lit("n"), "vec_id").alias("_key"), "embedding", "vec_id")).filter("vec_id % 100 = 0"), v), 0.2, 0.5).drop("rationale"), "score"
     )
 )
 
@@ -211,8 +211,8 @@ query("GRF-04", f"WITH RECURSIVE {TURNS}, {SEEDED} SELECT seed, vertex, depth, r
 query("AGG-03", f"WITH RECURSIVE {TURNS}, {SEEDED}, c AS (SELECT seed, count(near.vertex) AS n FROM seeds LEFT JOIN near USING (seed) GROUP BY seed) SELECT count(*) AS seeds, sum(n)::BIGINT AS related, max(n) AS most, round(avg(n), 6) AS mean FROM c")(
     lambda s, d: rounded(graph.related_stats(graph.graph_rag(turn_edges(s, d), _seeds(s), 2), _seeds(s)), "mean")
 )
-query("GRF-08", f"WITH {PLACES} SELECT _from, _to, type FROM edges UNION ALL SELECT 'customer/' || o_custkey, 'orders/' || o_orderkey, 'PLACED' FROM orders WHERE o_orderkey % 100 = 0")(
-    lambda s, d: store.insert(place_edges(s, d), graph.new_edges(table(s, d, "orders").filter("o_orderkey % 100 = 0").select(F.concat(F.lit("customer/"), "o_custkey").alias("_from"), F.concat(F.lit("orders/"), "o_orderkey").alias("_to")), "PLACED")).select("_from", "_to", "type")
+query("GRF-08", f"WITH {PLACES} SELECT _from, _to, type FROM edges UNION ALL SELECT 'customer/' || o_custkey, 'orders/' || o_orderkey, 'PLACED' FROM orders")(
+    lambda s, d: store.insert(place_edges(s, d), graph.new_edges(table(s, d, "orders").select(F.concat(F.lit("customer/"), "o_custkey").alias("_from"), F.concat(F.lit("orders/"), "o_orderkey").alias("_to")), "PLACED")).select("_from", "_to", "type")
 )
 query("GRF-10", f"WITH {PLACES} SELECT _key FROM edges WHERE _key <> 'n4'")(lambda s, d: graph.without_edge(place_edges(s, d), "n4").select("_key"))
 query("GRF-11", f"WITH {PLACES} SELECT _key FROM edges WHERE NOT (_from = 'region/1' AND _to = 'nation/1')")(lambda s, d: graph.without_edges_between(place_edges(s, d), "region/1", "nation/1").select("_key"))
@@ -264,12 +264,12 @@ query("MEM-10", f"WITH {MESSAGES} SELECT _key, content FROM m WHERE conversation
 
 
 @query("GRF-07", """WITH e AS (SELECT 'm' || a.vec_id || '_' || b.vec_id AS _key, 'memories/' || a.vec_id AS _from, 'memories/' || b.vec_id AS _to, CASE WHEN b.vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS type, a.vec_id + b.vec_id AS timestamp
-    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id * 2 + 1 OR b.vec_id = a.vec_id * 2 + 2 WHERE b.vec_id < 64),
+    FROM embeddings a JOIN embeddings b ON a.vec_id = (b.vec_id - 1) // 2 WHERE b.vec_id > 0),
 s AS (SELECT _from AS src, _to AS dst, _key AS edge FROM e UNION ALL SELECT _to, _from, _key FROM e),
 w AS (SELECT s1.dst AS vertex, s1.edge, 1 AS depth FROM s s1 WHERE s1.src = 'memories/5' UNION ALL SELECT s2.dst, s2.edge, 2 FROM s s1 JOIN s s2 ON s1.dst = s2.src AND s1.edge <> s2.edge WHERE s1.src = 'memories/5')
 SELECT vertex, w.edge, depth, type, timestamp AS edge_time FROM w JOIN e ON w.edge = e._key WHERE type = 'odd' ORDER BY depth, edge_time DESC, vertex, edge LIMIT 10""")
 def _related(s, d):
-    v = table(s, d, "embeddings").filter("vec_id < 64").select("vec_id")
+    v = table(s, d, "embeddings").select("vec_id")
     child = v.select(F.col("vec_id").alias("b")).filter("b > 0").select("b", F.floor((F.col("b") - 1) / 2).alias("a"))
     ident = lambda c: F.concat(F.lit("memories/"), c)
     edges = child.select(F.concat(F.lit("m"), "a", F.lit("_"), "b").alias("_key"), ident("a").alias("_from"), ident("b").alias("_to"), F.when(F.col("b") % 2 == 0, "even").otherwise("odd").alias("type"), (F.col("a") + F.col("b")).alias("timestamp"))

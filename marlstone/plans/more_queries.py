@@ -92,8 +92,8 @@ query("HYB-05", f"""WITH {VECTORS}, {ASKED}, seeds AS (SELECT _key, {COS} AS s F
 c AS (SELECT _key, s, 0 AS p FROM seeds UNION ALL SELECT (_key::INT + k)::VARCHAR, 0.8::DOUBLE * s, k FROM seeds, (SELECT unnest([1, 2]) AS k)),
 b AS (SELECT _key, max((s, -(p > 0)::INT, -p)) AS x FROM c GROUP BY _key) SELECT _key, row_number() OVER (ORDER BY x DESC, _key)::INT AS rank FROM b""")(lambda s, d: _graph_list(s, d).select("_key", F.col("rank").cast("int").alias("rank")))
 query("HYB-03")(lambda s, d: hybrid.hybrid_search(docs(s, d), vectors(s, d), ASK, query_vector(s, d), tag_list=["en"], min_score={"bm25": 0.0, "semantic": 0.0}, graph=_graph_list(s, d)).select("_key", F.round("hybrid_score", 9).alias("hybrid_score")))
-query("HYB-08", "SELECT 'documents/' || doc_id AS _from, 'related_topics/' || (doc_id % 3) AS _to, 'RELATED' AS type FROM documents WHERE doc_id < 9")(
-    lambda s, d: graph.new_edges(table(s, d, "documents").filter("doc_id < 9").select(F.concat(F.lit("documents/"), "doc_id").alias("_from"), F.concat(F.lit("related_topics/"), F.col("doc_id") % 3).alias("_to")), "RELATED").select("_from", "_to", "type")
+query("HYB-08", "SELECT 'documents/' || doc_id AS _from, 'related_topics/' || (doc_id % 3) AS _to, 'RELATED' AS type FROM documents")(
+    lambda s, d: graph.new_edges(table(s, d, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("_from"), F.concat(F.lit("related_topics/"), F.col("doc_id") % 3).alias("_to")), "RELATED").select("_from", "_to", "type")
 )
 query("VEC-25", f"WITH {DOCS}, {bm25_sql(TERMS, FIELDS)} SELECT _key FROM scored WHERE _key IN (SELECT vec_id::VARCHAR FROM embeddings) ORDER BY score DESC, _key LIMIT 5")(
     lambda s, d: search.bm25_scores(plain_docs(s, d), ASK, FIELDS).join(vectors(s, d).select("_key"), "_key", "left_semi").orderBy(F.desc("score"), "_key").limit(5).select("_key")
@@ -116,25 +116,25 @@ query("PRJ-03", f"WITH {PLACES} SELECT e._to AS vertex, e._key AS edge, 1 AS dep
 query("GRF-14", "SELECT 'nation/nation--' || n_nationkey AS _from, 'region/region--' || n_regionkey AS _to, 'in' AS type FROM nation WHERE n_nationkey % 2 = 0")(
     lambda s, d: graph.stix_graph(table(s, d, "nation").select(F.concat(F.lit("relationship--"), "n_nationkey").alias("id"), F.lit("relationship").alias("type"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("nation--"), "n_nationkey")).alias("source_ref"), F.concat(F.lit("region--"), "n_regionkey").alias("target_ref"), F.lit("in").alias("relationship_type")))[1].select("_from", "_to", "type")
 )
-query("MEM-08", "WITH p AS (SELECT n.vec_id AS a, k.vec_id AS b, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings n, embeddings k WHERE n.vec_id < 5 AND n.vec_id <> k.vec_id) SELECT 'm' || a AS _from, count(*) AS links FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, 'm' || b) AS r FROM p WHERE score > 0.1) WHERE r <= 5 GROUP BY a")(
-    lambda s, d: memory.similarity_edges(*((v := vectors(s, d).select(F.concat(F.lit("m"), "vec_id").alias("_key"), "embedding", "vec_id")).filter("vec_id < 5"), v), 0.1, 0.85).groupBy("_from").agg(F.count("*").alias("links"))
+query("MEM-08", "WITH p AS (SELECT n.vec_id AS a, k.vec_id AS b, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings n, embeddings k WHERE n.vec_id % 100 = 0 AND n.vec_id <> k.vec_id) SELECT 'm' || a AS _from, count(*) AS links FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, 'm' || b) AS r FROM p WHERE score > 0.1) WHERE r <= 5 GROUP BY a")(
+    lambda s, d: memory.similarity_edges(*((v := vectors(s, d).select(F.concat(F.lit("m"), "vec_id").alias("_key"), "embedding", "vec_id")).filter("vec_id % 100 = 0"), v), 0.1, 0.85).groupBy("_from").agg(F.count("*").alias("links"))
 )
 query("MEM-09")(lambda s, d: search.bm25_search((m := memory.memories(table(s, d, "conversations"))), "the und que", ["content", "summary"], min_score=0.01, top_n=5).select("_key", F.round("score", 6).alias("score")))
 query("MEM-03-edges", f"WITH {TURNS} SELECT _key FROM edges WHERE _from <> 'messages/3-1' AND _to <> 'messages/3-1'")(lambda s, d: memory.without_message(memory.messages(table(s, d, "conversations")), turn_edges(s, d), "3-1")[1].select("_key"))
 
 # ---- content
 
-query("CHK-02", "SELECT o_orderkey AS id, '1.' || (o_orderkey % 9) AS number, 'Order ' || o_orderkey AS title FROM orders WHERE o_orderkey % 40 = 0")(
-    lambda s, d: chunk.sections(table(s, d, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", F.concat(F.lit("**1."), F.col("o_orderkey") % 9, F.lit(" Order "), "o_orderkey", F.lit("**\nbody")).alias("t")), "o_orderkey", "t").select("id", "number", "title")
+query("CHK-02", "SELECT o_orderkey AS id, '1.' || (o_orderkey % 9) AS number, 'Order ' || o_orderkey AS title FROM orders")(
+    lambda s, d: chunk.sections(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("**1."), F.col("o_orderkey") % 9, F.lit(" Order "), "o_orderkey", F.lit("**\nbody")).alias("t")), "o_orderkey", "t").select("id", "number", "title")
 )
 query("CHK-11", "SELECT doc_id, least(length(text), 100)::DOUBLE / greatest(length(text), 1) <= 0.4 AS compressed FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", (F.length(text.shorten(F.col("text"))) / F.greatest(F.length("text"), F.lit(1)) <= 0.4).alias("compressed"))
 )
-query("EXT-01", "SELECT o_orderkey AS id, first_line, number FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS first_line, unnest(['1', '1.1', '2']) AS number FROM orders WHERE o_orderkey % 60 = 0)")(
-    lambda s, d: extract.sections(extract.blocks(table(s, d, "orders").filter("o_orderkey % 60 = 0").select("o_orderkey", F.concat(F.lit("# A\n## B "), "o_orderkey", F.lit("\n# C")).alias("t")), "o_orderkey", "t")).select("id", "first_line", "number")
+query("EXT-01", "SELECT o_orderkey AS id, first_line, number FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS first_line, unnest(['1', '1.1', '2']) AS number FROM orders)")(
+    lambda s, d: extract.sections(extract.blocks(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("# A\n## B "), "o_orderkey", F.lit("\n# C")).alias("t")), "o_orderkey", "t")).select("id", "first_line", "number")
 )
-query("SRC-15", "SELECT o_orderkey AS file_path, 'k = ' || o_orderkey AS code, 'about ' || o_custkey AS description FROM orders WHERE o_orderkey % 60 = 0")(
-    lambda s, d: extract.code_rows(table(s, d, "orders").filter("o_orderkey % 60 = 0").select("o_orderkey", F.concat(F.lit("# A\nabout "), "o_custkey", F.lit("\n```python\nk = "), "o_orderkey", F.lit("\n```")).alias("t")), "o_orderkey", "t").select("file_path", "code", "description")
+query("SRC-15", "SELECT o_orderkey AS file_path, 'k = ' || o_orderkey AS code, 'about ' || o_custkey AS description FROM orders")(
+    lambda s, d: extract.code_rows(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("# A\nabout "), "o_custkey", F.lit("\n```python\nk = "), "o_orderkey", F.lit("\n```")).alias("t")), "o_orderkey", "t").select("file_path", "code", "description")
 )
 query("EXT-07", "SELECT n_nationkey, 'f' || n_nationkey AS name, 'x: int = ' || n_regionkey AS parameters FROM nation")(
     lambda s, d: table(s, d, "nation").select("n_nationkey", code.metadata(F.concat(F.lit("def f"), "n_nationkey", F.lit("(x: int = "), "n_regionkey", F.lit("):\n    return x\n"))).alias("m")).select("n_nationkey", F.col("m.functions")[0]["name"].alias("name"), F.array_join(F.col("m.functions")[0]["parameters"], ",").alias("parameters"))
@@ -149,8 +149,8 @@ query("EXT-24", f"WITH {TABLES} SELECT number, round(least(greatest(accuracy / 1
     lambda s, d: tables.quality(_tables(s, d)).select("number", F.round("accuracy_score", 6).alias("accuracy_score"), "completeness", "consistency", F.round("whitespace_score", 6).alias("whitespace_score"))
 )
 query("EXT-40", f"WITH {TABLES} SELECT number FROM t WHERE 100 * (0.4 * least(greatest(accuracy / 100, 0), 1) + 0.3 + 0.1 * two::INT + 0.2 * (100 - whitespace) / 100) >= 80")(lambda s, d: tables.quality(_tables(s, d)).filter("round(confidence, 9) >= 80").select("number"))
-query("EXT-27", f"WITH {TABLES} SELECT number, 'over ' || number AS above, 'Table ' || number AS below, 'Table ' || number AS title FROM t WHERE number % 150 = 0")(
-    lambda s, d: tables.context((t := _tables(s, d).filter("number % 150 = 0").withColumn("page", F.col("number"))), t.select("doc", "page", F.explode(F.array(*(F.struct((F.get("bbox", F.lit(side)) + off - 1).alias("top"), (F.get("bbox", F.lit(side)) + off).alias("bottom"), F.concat(F.lit(word), "number").alias("content")) for side, off, word in ((1, -10.0, "over "), (3, 10.0, "Table "))))).alias("x")).select("doc", "page", "x.*")).select("number", "above", "below", "title")
+query("EXT-27", f"WITH {TABLES} SELECT number, 'over ' || number AS above, 'Table ' || number AS below, 'Table ' || number AS title FROM t")(
+    lambda s, d: tables.context((t := _tables(s, d).withColumn("page", F.col("number"))), t.select("doc", "page", F.explode(F.array(*(F.struct((F.get("bbox", F.lit(side)) + off - 1).alias("top"), (F.get("bbox", F.lit(side)) + off).alias("bottom"), F.concat(F.lit(word), "number").alias("content")) for side, off, word in ((1, -10.0, "over "), (3, 10.0, "Table "))))).alias("x")).select("doc", "page", "x.*")).select("number", "above", "below", "title")
 )
 query("EXT-35")(lambda s, d: (t := _tables(s, d)).withColumn("_before", F.lag("header").over(Window.partitionBy("doc").orderBy("page", "number"))).filter("_before IS NOT NULL").select("number", tables.near_header(F.col("_before"), F.col("header")).alias("near")))
 query("EXT-26")(lambda s, d: tables.drop_repeated_text((t := _tables(s, d).withColumn("page", F.col("number"))).select("doc", "page", F.array_join(F.flatten("body"), " ").alias("content")).unionByName(t.select("doc", "page", F.lit("other text").alias("content"))), t).select("doc", "page", "content"))

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marlstone-shared")
+    """spark.checkpoint.dir; where that is unset, a local folder in local mode (tests), else an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), "marlstone-shared")
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
