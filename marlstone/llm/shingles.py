@@ -58,24 +58,37 @@ def bands(held: np.ndarray, similarity: float) -> np.ndarray:
 def clusters(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the least place of its cluster: the components of all pairs of that similarity.
 
-    Each set that is in no cluster yet is compared with all sets that share a
-    shingle, and those near it join it. Then sets that share enough shingles with
-    other clusters are compared with those. Pairs within a cluster need no more.
+    Of two such sets each has a shingle of the other among its rarest ones, those
+    beyond the share asked for; so only these are looked up. Each set that is in
+    no cluster yet is compared first, and sets near it join it. Then sets that
+    share enough shingles with other clusters are compared with those. Pairs
+    within a cluster need no more.
     """
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], dtype=np.int64)
     end, owner = np.cumsum(size), np.repeat(np.arange(len(sets)), size)
-    code = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)[1]
-    order = np.argsort(code, kind="stable")
-    holders, start = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
-    label, empty = np.arange(len(sets)), np.flatnonzero(size == 0)
+    code, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    code = rank[code]
+    code = code[np.lexsort((code, owner))]  # the rarest first
+    begin = end - size
+    rare = np.arange(len(code)) - begin[owner] <= (size - np.ceil(similarity * size - 1e-9).astype(np.int64))[owner]
+    order = np.argsort(code[rare], kind="stable")
+    holders, start = owner[rare][order], np.searchsorted(code[rare][order], np.arange(len(count) + 1))
+    label, empty, mark = np.arange(len(sets)), np.flatnonzero(size == 0), np.zeros(len(count), dtype=bool)
     label[empty] = empty[:1].repeat(len(empty))
 
     def near(i: int) -> np.ndarray:
-        own = code[end[i] - size[i] : end[i]]
-        n = start[own + 1] - start[own]
-        at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        other, both = np.unique(holders[at], return_counts=True)
-        return other[both >= similarity * (size[other] + size[i] - both) - 1e-9]
+        own = code[begin[i] : end[i]]
+        first = own[rare[begin[i] : end[i]]]
+        n = start[first + 1] - start[first]
+        other = np.unique(holders[np.repeat(start[first] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        other = other[(size[other] >= similarity * size[i] - 1e-9) & (size[other] * similarity <= size[i] + 1e-9)]
+        n = size[other]
+        mark[own] = True
+        both = np.add.reduceat(mark[code[np.repeat(begin[other] - np.cumsum(n) + n, n) + np.arange(n.sum())]], np.cumsum(n) - n, dtype=np.int64)
+        mark[own] = False
+        return other[both >= similarity * (n + size[i] - both) - 1e-9]
 
     placed = size == 0
     for i in range(len(sets)):
@@ -84,11 +97,11 @@ def clusters(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             placed[hits] = True
             label = unite(label, np.full(len(hits), i), hits)
     # a shingle in several clusters has holders of different labels
-    some = np.flatnonzero(np.diff(start))
-    of = label[holders]
-    mixed = np.zeros(len(start) - 1, dtype=bool)
-    if len(some):
-        mixed[some] = np.minimum.reduceat(of, start[some]) != np.maximum.reduceat(of, start[some])
+    by_code = np.argsort(code, kind="stable")
+    of, first = label[owner[by_code]], np.flatnonzero(np.diff(code[by_code], prepend=-1))
+    mixed = np.zeros(len(count), dtype=bool)
+    if len(first):
+        mixed[code[by_code[first]]] = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
     shared = np.bincount(owner, weights=mixed[code], minlength=len(sets))
     for i in np.flatnonzero((size > 0) & (shared >= similarity * size - 1e-9)).tolist():
         hits = near(i)

@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import shingles
@@ -41,7 +41,7 @@ from marlstone.llm.components import connected_components, unite
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints in a part of a large bucket, and comparisons of a fingerprint with a block done at once.
 CELL, AT_ONCE = 4096, 1 << 16
-#: Bytes of shingle sets in a part of a large component of candidates.
+#: Bytes of texts in a part of a large component of candidates.
 CELL_BYTES = 4_000_000
 ALL = np.uint64(2**64 - 1)
 
@@ -174,46 +174,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(component, "fp").select(F.col("_id").alias(id_col), *names, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _clusters(df: DataFrame, keep: list, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Per row ``keep``, its class (texts of equal shingle sets) and its cluster: classes joined by links of that similarity."""
+def _clusters(df: DataFrame, id_col: str, text_col: str, row: Column, shingle: int, similarity: float) -> DataFrame:
+    """Per row its digest ``_row``, ``_id``, and its cluster: texts of equal shingle sets, joined by links of that similarity.
 
-    @F.pandas_udf("struct<cls:long,fp:long,bands:array<long>,held:binary>")
+    Sets are not kept: the few texts that are candidates are fetched by their digest and measured again.
+    """
+
+    @F.pandas_udf("struct<cls:long,fp:long,bands:array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            parts = [pd.DataFrame({"cls": [], "fp": [], "bands": []})]
             for _, texts in slices(batch, 1_000_000):
                 hashes = [shingles.hashes(t, shingle) for t in texts]
                 sets = [np.unique(h) for h in hashes]
-                parts.append(pd.DataFrame({"cls": [shingles.class_of(s) for s in sets], "fp": simhash(hashes).view(np.int64), "bands": pd.Series([shingles.bands(s, similarity) for s in sets], dtype=object), "held": pd.Series([s.tobytes() for s in sets], dtype=object)}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"cls": [], "fp": [], "bands": [], "held": []})
+                parts.append(pd.DataFrame({"cls": [shingles.class_of(s) for s in sets], "fp": simhash(hashes).view(np.int64), "bands": pd.Series([shingles.bands(s, similarity) for s in sets], dtype=object)}))
+            yield pd.concat(parts[1:] or parts)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)
-        label = shingles.clusters([np.frombuffer(h, np.uint64) for h in group["held"]], similarity)
+        label = shingles.clusters([np.unique(shingles.hashes(t, shingle)) for t in group["text"]], similarity)
         return pd.DataFrame({"root": group["root"], "cls": group["cls"], "cluster": group["cls"].to_numpy()[label]})
 
-    rows = materialize(df.select(*keep, sketch(F.col(text_col)).alias("s")).select("*", "s.*").drop("s"), "shingles")
-    classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(row.alias("_row"), F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("size"), sketch(text).alias("s")).select("_row", "_id", "size", "s.*")
+    rows = materialize(rows, "sketches")
+    classes = materialize(rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.min(F.struct("_row", "size")).alias("one")), "classes")
     # candidates: equal or near fingerprints, and equal bands
-    by_fp = materialize(classes.groupBy("fp").agg(F.min("cls").alias("least")), "classes")
+    by_fp = materialize(classes.groupBy("fp").agg(F.min("cls").alias("least")), "fingerprint-classes")
     near = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
     same = classes.join(by_fp, "fp").select(F.col("cls").alias("x"), F.col("least").alias("y"))
     keyed = rows.select("cls", F.posexplode("bands").alias("t", "key")).distinct()
     least = keyed.groupBy("t", "key").agg(F.min("cls").alias("y"), F.count("*").alias("n")).filter("n > 1").select("t", "key", "y")
-    banded = keyed.join(least, ["t", "key"]).select(F.col("cls").alias("x"), "y")
+    banded = keyed.join(least, ["t", "key"]).select(F.col("cls").alias("x"), "y").filter("x <> y")
     roots = materialize(connected_components(near.unionByName(same).unionByName(banded), "x", "y"), "candidates")
-    sets = rows.select(F.col("cls").alias("node"), "held").dropDuplicates(["node"]).join(roots, "node").select(F.col("node").alias("cls"), "root", "held")
-    parts = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("held").cast("long")) / CELL_BYTES).alias("parts"))
-    parts = materialize(parts.select("root", F.greatest("parts", F.lit(1)).cast("int").alias("parts")), "parts")
+    sets = classes.join(roots.withColumnRenamed("node", "cls"), "cls").select("cls", "root", "one.*")
+    parts = sets.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / CELL_BYTES), F.lit(1)).cast("int").alias("parts"))
+    parts = materialize(parts, "parts")
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    cells = sets.join(parts, "root").select("cls", "root", "held", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("cls", "root", "held", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    found = materialize(cells.groupBy("root", "low", "high").applyInPandas(compare, "root long, cls long, cluster long"), "compared")
+    cells = sets.join(parts, "root").select("cls", "root", "_row", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = materialize(cells.select("cls", "root", "_row", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "cells")
+    texts = df.select(row.alias("_row"), text.alias("text")).join(cells.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    found = cells.join(texts, "_row").select("root", "low", "high", "cls", "text").groupBy("root", "low", "high").applyInPandas(compare, "root long, cls long, cluster long")
+    found = materialize(found, "compared")
     split = found.join(parts.filter("parts > 1").select("root"), "root", "left_semi")
     joined = connected_components(split, "cls", "cluster").select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
     placed = found.join(parts.filter("parts = 1").select("root"), "root", "left_semi").select("cls", "cluster").unionByName(joined)
-    names = [c for c in rows.columns if c not in ("fp", "bands", "held")]
-    return rows.select(*names).join(placed, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
+    return rows.select("_row", "_id", "cls").join(placed, "cls", "left").select("_row", "_id", F.coalesce("cluster", "cls").alias("cluster"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -229,7 +235,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         # a component of nulls alone has no id: its fingerprint tells it apart, as the null text does
         placed = placed.select("_row", F.col(id_col).alias("_id"), F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("cluster"))
     else:
-        placed = _clusters(df, [digest.alias("_row"), F.col(id_col).alias("_id")], text_col, shingle, similarity)
+        placed = _clusters(df, id_col, text_col, digest, shingle, similarity)
     first = placed.groupBy("cluster").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))
     row = free_name(df, "_row")
     return df.withColumn(row, digest).join(first.select(F.col("first._row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*df.columns)
