@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,15 +64,17 @@ def problem(a: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def normalized(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, x.cast("float")).otherwise((x / F.nullif(size, F.lit(0.0))).cast("float")))
+    unit = lambda size: F.transform(a, lambda x: F.when(size == 0, x.cast("float")).otherwise((x / F.nullif(size, F.lit(0.0))).cast("float")))
+    # the norm is bound once, as the one element of an array
+    return F.get(F.transform(F.array(norm(a)), unit), F.lit(0))
 
 
 def stats(a: Column) -> Column:
     """Least, largest, mean, population deviation and norm, as a struct."""
     n = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    deviation = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n)
+    spread = lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / n)
+    deviation = F.get(F.transform(F.array(mean), spread), F.lit(0))
     return F.struct(F.array_min(a).alias("min"), F.array_max(a).alias("max"), mean.alias("mean"), deviation.alias("std"), norm(a).alias("norm"))
 
 
@@ -97,3 +99,29 @@ def _vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def embed(text: Column | str) -> Column:
     """Vectors of texts by ``text_vector``; a null text has none."""
     return F.pandas_udf(_vectors, "array<double>")(text)
+
+
+def encode(text: Column, encoder: Callable[[Sequence[str]], np.ndarray], prefix: str = "", dimensions: int | None = None) -> Column:
+    """Vectors by an injected model, of unit length. ``encoder`` takes a batch of texts and gives a matrix.
+
+    With ``dimensions`` a null text, and each text of a batch that the model
+    raises an error for, gets zeros; without it a null text has no vector and
+    errors end the task.
+    """
+
+    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            out: list[list[float] | None] = [None if dimensions is None else [0.0] * dimensions] * len(batch)
+            on = [i for i, t in enumerate(batch) if t is not None]
+            try:
+                m = np.asarray(encoder([prefix + batch.iloc[i] for i in on]), dtype=np.float64) if on else np.empty((0, 1))
+            except Exception:
+                if dimensions is None:
+                    raise
+                m, on = np.empty((0, 1)), []
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            for i, row in zip(on, m / np.where(size == 0, 1, size), strict=True):
+                out[i] = row.tolist()
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(encoded, "array<double>")(text)

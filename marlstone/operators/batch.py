@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import json
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +94,108 @@ def cached(tasks: DataFrame, cache: DataFrame, days: int = 2) -> tuple[DataFrame
     keyed = tasks.withColumn("prompt_hash", F.sha2("question", 256))
     fresh = cache.filter(F.col("at") >= F.current_timestamp() - F.make_dt_interval(F.lit(days))).select("prompt_hash", "result")
     return keyed.join(fresh, "prompt_hash"), keyed.join(fresh, "prompt_hash", "left_anti")
+
+
+#: Checks by name: each takes an answer and gives True or what is wrong with it.
+VALIDATORS: dict[str, Callable[[str], bool | str]] = {
+    "not_empty": lambda answer: True if answer and answer.strip() else "the answer is empty",
+    "json": lambda answer: True if _is_json(answer) else "the answer is no JSON",
+}
+
+
+def _is_json(text: str | None) -> bool:
+    try:
+        json.loads(text or "")
+    except ValueError:
+        return False
+    return True
+
+
+def validator(name: str) -> Callable[[str], bool | str] | None:
+    """A check by its name, None for an unknown one."""
+    return VALIDATORS.get(name)
+
+
+def messages_for(question: Column, json_answer: bool = True) -> Column:
+    """What a model is sent: a system message (asking for JSON) and the question."""
+    system = "You are a helpful assistant." + (" Answer in well-formed JSON." if json_answer else "")
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), question.alias("content")))
+
+
+def call_with_retries(tasks: DataFrame, call: Callable[[list[dict]], str], validators: Sequence[Callable[[str], bool | str]] = (), max_retries: int = 3) -> DataFrame:
+    """(task_id, status, result, retry_count) of tasks (task_id, question) answered by a function of messages.
+
+    An answer that a validator rejects is sent back with what is wrong; an
+    exception counts as a try. After ``max_retries`` tries the task has failed.
+    Calls run where the rows are, in Arrow batches.
+    """
+
+    def answered(question: str | None) -> tuple[str, str, int]:
+        messages = [{"role": "user", "content": question}]
+        for attempt in range(max_retries):
+            try:
+                answer = call(messages)
+            except Exception as e:  # what a model's client raises is its own affair
+                messages = [*messages, {"role": "user", "content": f"The call failed: {e}"}]
+                continue
+            wrong = [str(x) for x in (check(answer) for check in validators) if x is not True]
+            if not wrong:
+                return SUCCESS, answer, attempt
+            messages = [*messages, {"role": "assistant", "content": answer}, {"role": "user", "content": "The answer is not valid: " + ", ".join(wrong)}]
+        return ERROR, f"Max retries ({max_retries}) exceeded.", max_retries
+
+    def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [answered(q) for q in batch["question"]]
+            yield pd.DataFrame({"task_id": batch["task_id"], "status": [r[0] for r in rows], "result": [r[1] for r in rows], "retry_count": [r[2] for r in rows]})
+
+    return tasks.select("task_id", "question").mapInPandas(run_batches, f"task_id {dict(tasks.dtypes)['task_id']}, status string, result string, retry_count int")
+
+
+def delays(tries: int = 3, least: float = 1.0, most: float = 10.0) -> list[float]:
+    """Seconds between tries: each twice the one before, within bounds."""
+    return [min(most, max(least, least * 2.0**k)) for k in range(tries - 1)]
+
+
+def with_backoff(action: Callable[[], object], tries: int = 3, again: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> object:
+    """The result of an action, tried several times with growing delays; the last exception, and one that is not to be tried ``again``, is raised."""
+    for delay in [*delays(tries), None]:
+        try:
+            return action()
+        except Exception as e:
+            if delay is None or not again(e):
+                raise
+            sleep(delay)
+    raise AssertionError("unreachable")
+
+
+class ServiceError(Exception):
+    """What a service answers with instead of a result."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+def call_service(df: DataFrame, text_col: str, service: Callable[[str, int], str], tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``df`` with ``answer`` and ``service_error``: a service (text, attempt) is tried again where it is busy or broken (429, 5xx), other errors end the row alone."""
+
+    def asked(text: str | None) -> tuple[str | None, str | None]:
+        attempt = itertools.count()
+        try:
+            return str(with_backoff(lambda: service(text or "", next(attempt)), tries, lambda e: isinstance(e, ServiceError) and (e.status == 429 or e.status >= 500), sleep)), None
+        except ServiceError as e:
+            return None, str(e)
+
+    @F.pandas_udf("struct<answer:string,service_error:string>")
+    def answers(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([asked(t) for t in texts], columns=["answer", "service_error"])
+
+    return df.withColumn("_a", answers(F.col(text_col))).select(*df.columns, "_a.answer", "_a.service_error")
+
+
+def tracked(steps: Mapping[str, DataFrame]) -> DataFrame:
+    """A row for each named step of a workflow, with its rows, its errors (rows whose status is one) and its state."""
+    rows = [df.agg(F.lit(name).alias("step"), F.count("*").alias("rows"), F.count_if(F.col("status") == ERROR).alias("errors")) for name, df in steps.items()]
+    out = reduce(lambda a, b: a.unionByName(b), rows)
+    return out.withColumn("state", F.when(F.col("errors") > 0, "failed").otherwise("done"))

@@ -106,3 +106,17 @@ def tree(files: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, partition: str, order: str) -> DataFrame:
     """``df`` with a place in its partition."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(partition).orderBy(order)))
+
+
+def whole(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each text as one chunk: (id, code, code_token_count, section_id)."""
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("code"), count_tokens(F.col(text_col)).alias("code_token_count"), F.sha2(text_col, 256).alias("section_id"))
+
+
+def process(files: DataFrame, limit: int = 500) -> DataFrame:
+    """Files (path, content) by their kind: (path, kind, parts). Markdown is cut to sections, other texts to chunks, the rest has metadata alone."""
+    kind = F.when(F.lower("path").endswith(".md"), "sections").when(F.lower("path").rlike(r"\.(rst|txt)$"), "chunks").otherwise("metadata")
+    rows = files.withColumn("kind", kind)
+    cut = sections(rows.filter("kind = 'sections'"), "path", "content").groupBy(F.col("id").alias("path")).agg(F.count("*").alias("parts"))
+    packed = rows.filter("kind = 'chunks'").select("path", F.size(chunks(F.col("content"), limit)).cast("long").alias("parts"))
+    return rows.select("path", "kind").join(cut.unionByName(packed), "path", "left").select("path", "kind", F.coalesce("parts", F.when(F.col("kind") == "metadata", F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("parts"))

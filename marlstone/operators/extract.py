@@ -193,3 +193,77 @@ def task_files(text: Column) -> Column:
 def needs_script(html: Column) -> Column:
     """Whether a page seems to be made by a script: a framework's name, or hardly any text."""
     return F.lower(html).rlike(r"react|vue|angular|next\.js|nuxt") | (F.length(html_text(html)) < 1500)
+
+
+def backtick_fences(text: Column) -> Column:
+    """Fences of tildes, with or without attributes, as fences of backticks with the first class as language."""
+    return F.regexp_replace(text, r"(?m)^~{3,}[ \t]*\{?\.?([A-Za-z0-9_+-]*)[^}\n]*\}?[ \t]*$", "```$1")
+
+
+def nodes(block_rows: DataFrame) -> DataFrame:
+    """Blocks as nodes: (id, node, parent, type, content, metadata), the parent being the heading that a block stands under, null at the top."""
+    w = Window.partitionBy("id").orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.col("type") == "heading"
+    above = lambda level: F.last(F.when(heading & (F.col("level") == level), F.col("first_line")), True).over(w)
+    known = F.array(*(F.struct(above(k).alias("line"), F.lit(k).alias("level")) for k in range(1, 7)))
+    upper = F.filter(known, lambda x: x["line"].isNotNull() & (~heading | (x["level"] < F.col("level"))))
+    meta = F.map_filter(F.create_map(F.lit("level"), F.col("level").cast("string"), F.lit("language"), F.col("language")), lambda _, v: v.isNotNull() & (v != ""))
+    return block_rows.select("id", F.col("first_line").alias("node"), F.array_max(F.transform(upper, lambda x: x["line"])).alias("parent"), "type", "content", meta.alias("metadata"))
+
+
+PAGE_MARK = r"<!--\s*page:\s*(\d+)\s*-->"
+
+
+def paged_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of a markdown text with page marks: (id, page, position, type, content, language). Types are heading, code, table, image and text; what stands before the first mark is page 1."""
+    parts = F.split(F.concat(F.lit("<!-- page: 1 -->"), F.col(text_col)), r"(?=<!--\s*page:\s*\d+\s*-->)")
+    pages = df.select(F.col(id_col).alias("id"), F.posexplode(F.filter(parts, lambda p: p != "")).alias("part", "p"))
+    pages = pages.select("id", "part", F.regexp_extract("p", PAGE_MARK, 1).cast("long").alias("page"), F.regexp_replace("p", PAGE_MARK, "").alias("p"))
+    rows = blocks(pages.select(F.struct("id", "part", "page").alias("key"), "p"), "key", "p")
+    kind = (
+        F.when(F.col("type") != "paragraph", F.col("type"))
+        .when(markdown_table(F.col("content")).isNotNull(), "table")
+        .when(F.trim("content").rlike(r"^!\[[^\]]*\]\([^)\s]+[^)]*\)$"), "image")
+        .otherwise("text")
+    )
+    place = F.row_number().over(Window.partitionBy("id.id").orderBy("id.part", "first_line")).cast("long")
+    return rows.select(F.col("id.id").alias("id"), F.col("id.page").alias("page"), place.alias("position"), kind.alias("type"), "content", "language")
+
+
+def json_tables(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Tables of JSON texts [{page, rows}, ...] as (id, table_id, page, header, body), numbered in order."""
+    each = df.select(F.col(id_col).alias("id"), F.posexplode(F.from_json(json_col, "array<struct<page:long,rows:array<array<string>>>>")).alias("n", "t"))
+    return each.select("id", F.concat(F.lit("table_"), F.col("n") + 1).alias("table_id"), "t.page", F.get("t.rows", F.lit(0)).alias("header"), F.slice("t.rows", F.lit(2), F.greatest(F.size("t.rows") - 1, F.lit(0))).alias("body"))
+
+
+def rst_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Code of RST texts with the paragraph before it: (id, position, code, description)."""
+    text = F.col(text_col)
+    each = df.select(F.col(id_col).alias("id"), text.alias("text"), F.posexplode(rst_code(text)).alias("position", "code"))
+    line = F.substring_index("code", "\n", 1)
+    before = F.regexp_replace(F.split_part("text", line, F.lit(1)), r"\s+$", "")
+    told = F.element_at(F.split(before, r"\n\s*\n"), -1)
+    return each.select("id", F.col("position").cast("long").alias("position"), "code", F.trim(F.regexp_replace(F.regexp_replace(told, r"(?m)^\.\. .*$", ""), r"::\s*$", ":")).alias("description"))
+
+
+def html_rows(df: DataFrame, id_col: str, html_col: str, source_col: str, selector: str = "pre") -> DataFrame:
+    """Elements of pages as rows with where they come from: (id, position, code, code_token_count, section_id, original_source, html_selector)."""
+    found = html_code(df, id_col, html_col, selector)
+    sources = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("original_source"))
+    return found.join(sources, "id").select("id", "position", "code", count_tokens(F.col("code")).alias("code_token_count"), F.sha2("code", 256).alias("section_id"), "original_source", "html_selector")
+
+
+def content_map(df: DataFrame, path_col: str, content_col: str, kind: str, language_col: str | None = None) -> DataFrame:
+    """What is known of each file: (file_path, content, type, language, characters)."""
+    lang = F.col(language_col) if language_col else F.lit(None).cast("string")
+    return df.select(F.col(path_col).alias("file_path"), F.col(content_col).alias("content"), F.lit(kind).alias("type"), lang.alias("language"), F.length(content_col).cast("long").alias("characters"))
+
+
+def pipeline(files: DataFrame, question: str, top_n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content) of pages and markdown to rows (_key, content), all of them; and those that answer a question best."""
+    from marlstone.operators import search
+
+    plain = F.when(F.lower("path").rlike(r"\.html?$"), html_text(F.col("content"))).otherwise(F.col("content"))
+    rows = blocks(files.select("path", plain.alias("content")), "path", "content")
+    rows = rows.select(F.concat_ws("#", "id", "first_line").alias("_key"), "type", "content")
+    return rows, search.bm25_search(rows, question, ["content"], top_n=top_n)

@@ -80,3 +80,19 @@ def highlight(text: Column, matches: Column, begin: str = "**", stop: str = "**"
     whole = F.length(text) if limit is None else F.least(F.length(text), F.lit(limit))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.aggregate(matches, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, whole - s["at"])))
+
+
+def create(spark: SparkSession, terms: DataFrame, known: DataFrame | None = None, truncate: bool = False) -> DataFrame:
+    """A glossary (term, term_lower, definition, length) of unique terms; ValueError where a term comes twice. ``truncate`` drops what was there."""
+    new = terms.select("term", F.lower("term").alias("term_lower"), "definition", F.length("term").alias("length"))
+    if known is not None and not truncate:
+        new = known.unionByName(new)
+    if not new.groupBy("term").count().filter("count > 1").isEmpty():
+        raise ValueError("a term comes twice")
+    return new
+
+
+def add_counted(known: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``add_terms``, with one row that tells how many terms were added and how many took a new definition."""
+    own = incoming.select(F.lower("term").alias("term_lower")).distinct().join(known.select("term_lower", F.lit(1).alias("old")), "term_lower", "left")
+    return add_terms(known, incoming), own.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count("old").alias("updated"))

@@ -22,6 +22,10 @@ class GraphDef:
     from_collections: Sequence[str]
     to_collections: Sequence[str]
 
+    def checked(self) -> DataFrame:
+        """The edges whose ends lie in the collections that the graph joins."""
+        return self.edges.filter(collection_of(F.col("_from")).isin(list(self.from_collections)) & collection_of(F.col("_to")).isin(list(self.to_collections)))
+
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """Edges as steps: (src, dst, edge), in the direction asked for."""
@@ -138,3 +142,24 @@ def stix_graph(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = objects.filter("id IS NOT NULL AND type <> 'relationship'").select(ident(F.col("id")).alias("_id"), "type")
     complete = objects.filter("type = 'relationship' AND source_ref IS NOT NULL AND target_ref IS NOT NULL")
     return vertices, complete.select(F.col("id").alias("_key"), ident(F.col("source_ref")).alias("_from"), ident(F.col("target_ref")).alias("_to"), F.col("relationship_type").alias("type"))
+
+
+def around(edges: DataFrame, start: str, min_depth: int = 1, max_depth: int = 1, direction: str = "ANY", limit: int = 10) -> DataFrame:
+    """A page of the walks from one vertex, nearer ones first."""
+    one = edges.sparkSession.createDataFrame([(start,)], "_id string")
+    return traverse(edges, one, min_depth, max_depth, direction).orderBy("depth", "vertex", "edge").limit(limit)
+
+
+def link(edges: DataFrame, pairs: DataFrame, kind: str = "relates_to", **properties: float | str) -> DataFrame:
+    """``edges`` with new ones for pairs (_from, _to), which may have properties."""
+    new = new_edges(pairs, kind)
+    for name, value in properties.items():
+        new = new.withColumn(name, F.lit(value))
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def documents_within(edges: DataFrame, docs: DataFrame, vertex: str, max_depth: int = 1, relationship_type: str | None = None) -> DataFrame:
+    """Documents that edges (of one type, where it is given) lead to in ``max_depth`` steps at most: (edge, depth, and the document)."""
+    own = edges if relationship_type is None else edges.filter(F.col("type") == relationship_type)
+    one = edges.sparkSession.createDataFrame([(vertex,)], "_id string")
+    return traverse(own, one, 1, max_depth, "OUTBOUND", "global").select("edge", "depth", F.col("vertex").alias("_id")).join(docs, "_id")

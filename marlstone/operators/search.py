@@ -221,3 +221,26 @@ def matching(df: DataFrame, **values: str | None) -> DataFrame:
 def search_params(top_n: int | None = None, initial_k: int | None = None) -> tuple[int, int]:
     """Defaults for counts that are missing or not positive."""
     return (top_n if top_n and top_n > 0 else 5), (initial_k if initial_k and initial_k > 0 else 20)
+
+
+#: What a filtered semantic search shows of a document.
+SEMANTIC_FIELDS = ("_key", "_id", "title", "content", "tags", "score")
+
+
+class Views:
+    """Views by name; one is built again only when its fields change."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[tuple[str, ...], tuple[DataFrame, DataFrame]]] = {}
+
+    def ensure(self, name: str, df: DataFrame, fields: Sequence[str] = FIELDS) -> tuple[DataFrame, DataFrame]:
+        shape = tuple(f for f in fields if f in df.columns)
+        if name not in self.known or self.known[name][0] != shape:
+            self.known[name] = shape, build_view(df, shape)
+        return self.known[name][1]
+
+
+def exact_search(df: DataFrame, query: Sequence[float], top_n: int = 10, min_score: float = 0.7, metric: str = "cosine") -> DataFrame:
+    """A page of exact scores, each row with ``total``, the count of returned rows."""
+    rows = semantic_search(df, query, min_score=min_score, top_n=top_n, metric=metric)
+    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # a single row

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import vector
+from marlstone.functions.text import lesson_key
 
 EDGE_SCHEMA = "_key string, _from string, _to string, type string, rationale string, timestamp timestamp, attributes map<string,string>"
 MESSAGE_SCHEMA = "_key string, conversation_id string, message_type string, content string, timestamp timestamp, metadata map<string,string>, previous_message_key string"
@@ -42,6 +43,32 @@ class Registry:
                 self.collections[name] = self.collections[name].limit(0)
         return force
 
+    def edge_collections(self) -> list[str]:
+        """The edges of lessons, made if they are missing."""
+        for name in ("prerequisites", "related_topics"):
+            self.ensure(name, EDGE_SCHEMA)
+        return ["prerequisites", "related_topics"]
+
+    def memory_collections(self) -> list[str]:
+        """What a store of memories needs: two collections and their edges."""
+        for name, schema in (("messages", MESSAGE_SCHEMA), ("memories", MEMORY_SCHEMA), ("relationships", EDGE_SCHEMA)):
+            self.ensure(name, schema)
+        return ["messages", "memories", "relationships"]
+
+    def initialize(self, lessons: DataFrame, database: str = "lessons") -> list[tuple[int, str, int]]:
+        """Everything in order: database, collections, graph, seeds, view, index; (step, what, rows) of each."""
+        from marlstone.operators import graph, ivf, search
+
+        self.ensure_database(database)
+        self.bootstrap()
+        edges = self.edge_collections()
+        named = graph.GraphDef("lessons", self.collections["prerequisites"], ["lessons"], ["lessons"])
+        seeded = self.put("lessons", seed(self.collections["lessons"], lessons))
+        view = search.build_view(seeded, ["lesson"])[1].count()
+        index = ivf.build(seeded.select("_key", F.col("lesson_embedding").alias("embedding")), lists=4)
+        counts = (("database", 1), ("collections", len(self.collections)), ("graph", named.edges.count()), ("edges", len(edges)), ("seed", seeded.count()), ("view", view), ("index", index.rows.count()))
+        return [(i, name, n) for i, (name, n) in enumerate(counts)]
+
     def bootstrap(self) -> Registry:
         """All collections of a memory and lesson store."""
         for name, schema in {"messages": MESSAGE_SCHEMA, "memories": MEMORY_SCHEMA, "relationships": EDGE_SCHEMA, "prerequisites": EDGE_SCHEMA, "related_topics": EDGE_SCHEMA, "glossary": GLOSSARY_SCHEMA, "lessons": LESSON_SCHEMA}.items():
@@ -166,3 +193,51 @@ def dimension_report(df: DataFrame) -> DataFrame:
 def labelled_questions(df: DataFrame, rating_col: str = "rating", least: float = 0.5) -> DataFrame:
     """Questions with a rating, labelled by whether it is good enough."""
     return df.filter(F.col("question").isNotNull() & F.col(rating_col).isNotNull()).withColumn("label", (F.col(rating_col) >= least).cast("int"))
+
+
+def required(df: DataFrame, key: str) -> DataFrame:
+    """The document of a key; KeyError where there is none."""
+    found = get(df, key)
+    if found.isEmpty():
+        raise KeyError(key)
+    return found
+
+
+def profiled(spark: SparkSession, text: str, bind_vars: Mapping | None = None) -> tuple[DataFrame, Observation]:
+    """A raw query and what is observed while it runs: its count of rows, there after the first action."""
+    seen = Observation()
+    return raw(spark, text, bind_vars).observe(seen, F.count(F.lit(1)).alias("count")), seen
+
+
+def filtered(df: DataFrame, predicate: Callable[[DataFrame], Column]) -> DataFrame:
+    """Rows that a predicate, given the table, says yes to."""
+    return df.filter(predicate(df))
+
+
+def seed(df: DataFrame, lessons: DataFrame) -> DataFrame:
+    """Lessons (role, category, identifier, lesson[, _key, lesson_embedding]) with a text overwrite those of their key; missing keys and vectors are made."""
+    own = F.col("_key") if "_key" in lessons.columns else F.lit(None).cast("string")
+    given = F.col("lesson_embedding") if "lesson_embedding" in lessons.columns else F.lit(None).cast("array<double>")
+    good = lessons.filter(F.trim("lesson") != "")
+    made = good.withColumns({"_key": F.coalesce(own, lesson_key(F.col("role"), F.col("category"), F.col("identifier").cast("string"))), "lesson_embedding": F.coalesce(given, vector.embed("lesson"))})
+    return upsert(df, made, replace=True)
+
+
+def create(df: DataFrame, incoming: DataFrame, overwrite: str | None = None) -> DataFrame:
+    """Insert rows with times of creation and change and a uuid; known keys follow ``overwrite`` (ignore, replace, update) or raise."""
+    new = stamped(stamped(incoming, "created_at"), "updated_at").withColumn("uuid", F.uuid())
+    return bulk_import(df, new, overwrite or "error")
+
+
+def create_checked(df: DataFrame, incoming: DataFrame, dimensions: int = vector.DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """Insert rows with a good vector; and one row that tells how many were created and how many failed."""
+    good, bad = validated(incoming, dimensions)
+    counts = good.select(F.lit(1).alias("c"), F.lit(0).alias("f")).unionByName(bad.select(F.lit(0).alias("c"), F.lit(1).alias("f")))
+    return insert(df, good), counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("created"), F.coalesce(F.sum("f"), F.lit(0)).alias("failed"))
+
+
+def replace_keeping_vector(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """Known keys are replaced; a row without a vector keeps the one that was there."""
+    old = df.select("_key", F.col("embedding").alias("_old"))
+    kept = changes.join(old, "_key").withColumn("embedding", F.coalesce("embedding", "_old")).drop("_old")
+    return upsert(df, kept, replace=True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.fuzzy import fuzzy_ratio
+from marlstone.functions.fuzzy import fuzzy_ratio, ratio
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -127,3 +128,98 @@ def corrected(tables: DataFrame, corrections: DataFrame) -> DataFrame:
     chosen = good.join(tables.select("table_id", F.col("text").alias("_own")), "table_id", "left").select("table_id", F.coalesce("text", "_own").alias("text"), "status", F.lit(False).alias("needs_review"))
     rest = tables.join(corrections, "table_id", "left_anti").select("table_id", "text", F.lit("extracted").alias("status"), F.lit(True).alias("needs_review"))
     return chosen.unionByName(rest)
+
+
+def best_flavor(lattice: DataFrame, stream: DataFrame, least: float = 80) -> DataFrame:
+    """Of two extractions (doc, page, number, accuracy) of a table the first, or the better one where the first is below ``least``; ``flavor`` tells which."""
+    other = stream.select("doc", "page", "number", F.col("accuracy").alias("_other"))
+    both = lattice.join(other, ["doc", "page", "number"], "left")
+    again = (F.col("accuracy") < least) & (F.coalesce("_other", F.lit(-1.0)) > F.col("accuracy"))
+    return both.withColumn("flavor", F.when(again, "stream").otherwise("lattice")).withColumn("accuracy", F.when(again, F.col("_other")).otherwise(F.col("accuracy"))).drop("_other")
+
+
+def mergeable(tables: DataFrame, most_gap: float = 0.5) -> DataFrame:
+    """Each table with whether it fits the one before it in its document: same columns and kinds of cells, row counts not too far apart; a table of one row may be a header and fits by its columns."""
+    w = Window.partitionBy("doc").orderBy("page", "number")
+    number = lambda c: c.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*$")
+    column = lambda i: F.forall(F.filter(F.transform("body", lambda r: F.get(r, i)), lambda c: c.isNotNull()), number)
+    kinds = F.when(F.size("header") > 0, F.transform(F.sequence(F.lit(0), F.size("header") - 1), column)).otherwise(F.array().cast("array<boolean>"))
+    told = tables.withColumns({"_rows": F.size("body"), "_kinds": kinds})
+    before = {c: F.lag(c).over(w) for c in ("header", "_rows", "_kinds")}
+    filled = (F.col("_rows") > 0) & (before["_rows"] > 0)
+    close = (F.abs(F.col("_rows") - before["_rows"]) / F.greatest("_rows", before["_rows"]) <= most_gap) & (F.col("_kinds") == before["_kinds"])
+    fits = (F.col("header") == before["header"]) & filled & (close | (before["_rows"] == 1))
+    return told.withColumn("fits", F.coalesce(fits, F.lit(False))).drop("_rows", "_kinds")
+
+
+def page_geometry(blocks: DataFrame, buffer: float = 10.0) -> DataFrame:
+    """Per page of blocks (doc, page, bbox, height): where its content begins and ends, and its margins with a buffer."""
+    top, bottom = F.min(F.get("bbox", F.lit(1))), F.max(F.get("bbox", F.lit(3)))
+    return blocks.groupBy("doc", "page").agg(top.alias("content_top"), bottom.alias("content_bottom"), (top - buffer).alias("top_margin"), (F.max("height") - bottom + buffer).alias("bottom_margin"))
+
+
+def geometric_merges(tables: DataFrame, geometry: DataFrame, near_top: float = 20.0, gap_share: float = 0.2) -> DataFrame:
+    """Each table with ``joins``: whether its place says that it goes on from the table before it.
+
+    On one page: as many columns and a gap of less than ``gap_share`` of the
+    content's height. On the next page: it starts within ``near_top`` of the
+    content's top, or both pages are filled to their margins.
+    """
+    w = Window.partitionBy("doc").orderBy("page", "number")
+    placed = tables.join(geometry, ["doc", "page"], "left")
+    before = lambda c: F.lag(c).over(w)
+    top = F.get("bbox", F.lit(1))
+    height = F.abs(F.col("content_bottom") - F.col("content_top"))
+    same = (F.size("header") == F.size(before("header"))) & (F.abs(top - F.get(before("bbox"), F.lit(3))) < gap_share * height)
+    across = (F.abs(top - F.col("content_top")) < near_top) | ((before("content_bottom") > before("bottom_margin")) & (F.col("content_top") < F.col("top_margin")))
+    joins = F.when(F.col("page") == before("page"), same).when(F.col("page") == before("page") + 1, across).otherwise(False)
+    return placed.withColumn("joins", F.coalesce(joins, F.lit(False))).select(*tables.columns, "joins")
+
+
+RUNS = "doc {doc}, page {page}, number {number}, first {number}"
+
+
+def merge_chain(tables: DataFrame, instructions: DataFrame | None = None, least: float = 80) -> DataFrame:
+    """Tables joined to chains: (doc, first, first_page, last_page, numbers, header, body, source).
+
+    What people say comes first: ``instructions`` (doc, source, target) join two
+    tables, each taken once, into the earlier one. The others join the chain
+    before them if they stand on its last page or the next and their header is
+    nearly that of the chain's first table. Headers alone pass through Python.
+    """
+    kinds = dict(tables.dtypes)
+    joined = None
+    rest = tables
+    if instructions is not None:
+        places = tables.select("doc", "page", "number")
+        one, two = places.select("doc", F.col("number").alias("source"), F.col("page").alias("p1")), places.select("doc", F.col("number").alias("target"), F.col("page").alias("p2"))
+        pairs = instructions.join(one, ["doc", "source"]).join(two, ["doc", "target"])
+        members = pairs.select("doc", F.when(F.struct("p1", "source") <= F.struct("p2", "target"), F.col("source")).otherwise(F.col("target")).alias("first"), F.explode(F.array("source", "target")).alias("number"))
+        # a table that several instructions name belongs to the least of them
+        joined = members.groupBy("doc", "number").agg(F.min("first").alias("first")).withColumn("source", F.lit("human_merged"))
+        rest = tables.join(joined, ["doc", "number"], "left_anti")
+
+    def chains(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["page", "number"], ignore_index=True)
+        firsts, head, last = [], None, None
+        for number, page, header in zip(group["number"], group["page"], group["header"], strict=True):
+            words = [str(h).lower() for h in header] if header is not None else []
+            near = head is not None and page <= last + 1 and len(words) == len(head) and ratio(" ".join(sorted(" ".join(words).split())), " ".join(sorted(" ".join(head).split()))) > least
+            if not near:
+                head, first = words, number
+            firsts.append(first)
+            last = page
+        return pd.DataFrame({"doc": group["doc"], "page": group["page"], "number": group["number"], "first": firsts})
+
+    shape = RUNS.format(doc=kinds["doc"], page=kinds["page"], number=kinds["number"])
+    runs = rest.select("doc", "page", "number", "header").groupBy("doc").applyInPandas(chains, shape).select("doc", "number", "first", F.lit("extracted").alias("source"))
+    runs = runs if joined is None else runs.unionByName(joined.select(runs.columns))
+    parts = tables.join(runs, ["doc", "number"]).groupBy("doc", "first").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.array_sort(F.collect_list(F.struct("page", "number", "body"))).alias("parts"), F.min_by("header", F.struct("page", "number")).alias("header"), F.max("source").alias("source"))
+    return parts.select("doc", "first", "first_page", "last_page", F.transform("parts", lambda p: p["number"]).alias("numbers"), "header", F.flatten(F.transform("parts", lambda p: p["body"])).alias("body"), "source")
+
+
+def as_rows(tables: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Tables (doc, page, number, header, body) as JSON texts under people's corrections (table_id, status, text): (table_id, text, status, needs_review)."""
+    own = tables.select(F.concat_ws("-", "doc", "page", "number").alias("table_id"), F.to_json(F.struct("header", "body")).alias("text"))
+    empty = own.select("table_id", F.lit("").alias("status"), "text").limit(0)
+    return corrected(own, empty if corrections is None else corrections)

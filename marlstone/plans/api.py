@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import vector
-from marlstone.operators import glossary, graph, hybrid, memory, search, store
+from marlstone.functions import text, vector
+from marlstone.operators import chunk, glossary, graph, hybrid, memory, search, store
 
 #: Least and largest values of numeric arguments.
 LIMITS = {"limit": (1, 1000), "top_n": (1, 1000), "max_depth": (1, 10), "min_depth": (0, 10), "similarity_threshold": (0, 100), "offset": (0, None)}
@@ -127,3 +127,32 @@ def conversation_delete(registry: store.Registry, conversation_id: str, collecti
     registry.put(collection, kept)
     registry.put(edges, rest)
     return gone
+
+
+@handler
+def lessons(registry: store.Registry, collection: str, query: str | list[float], top_k: int = 3) -> DataFrame:
+    """The lessons nearest to a question."""
+    return search.semantic_search(registry.collections[collection], vector.text_vector(query) if isinstance(query, str) else query, min_score=-2.0, top_n=top_k)
+
+
+@handler
+def edge_create(registry: store.Registry, edges: str, source: str, target: str, kind: str, rationale: str = "") -> DataFrame:
+    pair = registry.spark.createDataFrame([(source, target)], "_from string, _to string")
+    return registry.put(edges, store.insert(registry.collections[edges], graph.new_edges(pair, kind, rationale)))
+
+
+@handler
+def edge_delete(registry: store.Registry, edges: str, key: str) -> DataFrame:
+    return registry.put(edges, graph.without_edge(registry.collections[edges], key))
+
+
+@handler
+def repository_info(registry: store.Registry, collection: str) -> DataFrame:
+    """Per kind of file of a repository (path, content): files, bytes and tokens."""
+    files = registry.collections[collection].withColumn("kind", text.extension(F.col("path")))
+    return chunk.digest(files, "kind")
+
+
+def as_json(results: DataFrame) -> DataFrame:
+    """Each row as one JSON text, as a service answers."""
+    return results.select(F.to_json(F.struct(*results.columns)).alias("row"))

@@ -9,7 +9,7 @@ from marlstone.functions import images, text, vector
 from marlstone.functions.stem import stems
 from marlstone.operators import batch, chunk, code, extract, glossary, graph, hybrid, memory, search, store, tables
 from marlstone.plans.content_queries import TABLES, _tables
-from marlstone.plans.core_queries import ASK, COS, FIELDS, TERMS
+from marlstone.plans.core_queries import ASK, COS, FIELDS, PAIRS, TERMS
 from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, turn_edges, vectors
 
 QUERIES: dict = {}
@@ -52,13 +52,13 @@ query("TXT-05", "SELECT item_id::VARCHAR AS _key, 1.0::DOUBLE AS keyword_score F
     lambda s, d: search.keyword_search(table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("_key"), "text"), "the", 100.0, 20, ["text"]).select("_key", "keyword_score")
 )
 query("DDL-07")(lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(stems(text.tokens("text")), " ").alias("stems")))
-query("TXT-11", None)(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(glossary.unique_terms(glossary.find_terms(table(s, d, "benchmark"), ["the", "and", "eren"]))).alias("terms")))
+query("TXT-11", "SELECT item_id, len(list_filter(['the', 'and', 'eren'], lambda t: regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || t || '($|[^\\p{L}\\p{N}_])')))::INT AS terms FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(glossary.unique_terms(glossary.find_terms(table(s, d, "benchmark"), ["the", "and", "eren"]))).alias("terms")))
 query("TXT-17", None)(lambda s, d: (b := table(s, d, "benchmark")).select("item_id", "text", glossary.find_terms(b, ["the", "and", "eren"]).alias("m")).select("item_id", glossary.highlight(F.col("text"), F.col("m")).alias("marked"), F.size("m").alias("n")))
 query("TXT-16", "SELECT 13::BIGINT AS terms")(lambda s, d: glossary.glossary(s).agg(F.count("*").alias("terms")))
 query("VEC-12", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda s, d: rounded(vectors(s, d).alias("a").join(vectors(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", vector.cosine(F.col("embedding"), F.col("e2")).alias("score")), "score")
 )
-query("VEC-17")(lambda s, d: store.with_embedding(table(s, d, "benchmark")).select("item_id", F.size("embedding").alias("dims"), "embedding_error"))
+query("VEC-17", "SELECT item_id, 1024::INT AS dims, NULL::VARCHAR AS embedding_error FROM benchmark")(lambda s, d: store.with_embedding(table(s, d, "benchmark")).select("item_id", F.size("embedding").alias("dims"), "embedding_error"))
 query("AGG-05", f"WITH {VECTORS}, {ASKED}, top AS (SELECT label, {COS} AS score FROM vectors, asked ORDER BY score DESC, _key LIMIT 25) SELECT label, round(sum(score * score), 6) AS votes FROM top WHERE score > 0 GROUP BY label")(
     lambda s, d: rounded(search.semantic_search(vectors(s, d), query_vector(s, d), min_score=-2, top_n=25).filter("score > 0").groupBy("label").agg(F.sum(F.col("score") * F.col("score")).alias("votes")), "votes")
 )
@@ -119,7 +119,7 @@ query("GRF-14", "SELECT 'nation/nation--' || n_nationkey AS _from, 'region/regio
 query("MEM-08", "WITH p AS (SELECT n.vec_id AS a, k.vec_id AS b, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings n, embeddings k WHERE n.vec_id % 100 = 0 AND n.vec_id <> k.vec_id) SELECT 'm' || a AS _from, count(*) AS links FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, 'm' || b) AS r FROM p WHERE score > 0.1) WHERE r <= 5 GROUP BY a")(
     lambda s, d: memory.similarity_edges(*((v := vectors(s, d).select(F.concat(F.lit("m"), "vec_id").alias("_key"), "embedding", "vec_id")).filter("vec_id % 100 = 0"), v), 0.1, 0.85).groupBy("_from").agg(F.count("*").alias("links"))
 )
-query("MEM-09")(lambda s, d: search.bm25_search((m := memory.memories(table(s, d, "conversations"))), "the und que", ["content", "summary"], min_score=0.01, top_n=5).select("_key", F.round("score", 6).alias("score")))
+query("MEM-09", f"WITH {PAIRS}, docs AS (SELECT conv_id || '-' || turn AS _key, 'User: ' || u || chr(10) || 'Agent: ' || a AS content, CASE WHEN length(u || ' ' || a) > 100 THEN substr(u || ' ' || a, 1, 97) || '...' ELSE u || ' ' || a END AS summary FROM x), {bm25_sql(['the', 'und', 'que'], ['content', 'summary'])} SELECT _key, round(score, 6) AS score FROM scored WHERE score >= 0.01 ORDER BY scored.score DESC, _key LIMIT 5")(lambda s, d: search.bm25_search((m := memory.memories(table(s, d, "conversations"))), "the und que", ["content", "summary"], min_score=0.01, top_n=5).select("_key", F.round("score", 6).alias("score")))
 query("MEM-03-edges", f"WITH {TURNS} SELECT _key FROM edges WHERE _from <> 'messages/3-1' AND _to <> 'messages/3-1'")(lambda s, d: memory.without_message(memory.messages(table(s, d, "conversations")), turn_edges(s, d), "3-1")[1].select("_key"))
 
 # ---- content
@@ -152,8 +152,8 @@ query("EXT-40", f"WITH {TABLES} SELECT number FROM t WHERE 100 * (0.4 * least(gr
 query("EXT-27", f"WITH {TABLES} SELECT number, 'over ' || number AS above, 'Table ' || number AS below, 'Table ' || number AS title FROM t")(
     lambda s, d: tables.context((t := _tables(s, d).withColumn("page", F.col("number"))), t.select("doc", "page", F.explode(F.array(*(F.struct((F.get("bbox", F.lit(side)) + off - 1).alias("top"), (F.get("bbox", F.lit(side)) + off).alias("bottom"), F.concat(F.lit(word), "number").alias("content")) for side, off, word in ((1, -10.0, "over "), (3, 10.0, "Table "))))).alias("x")).select("doc", "page", "x.*")).select("number", "above", "below", "title")
 )
-query("EXT-35")(lambda s, d: (t := _tables(s, d)).withColumn("_before", F.lag("header").over(Window.partitionBy("doc").orderBy("page", "number"))).filter("_before IS NOT NULL").select("number", tables.near_header(F.col("_before"), F.col("header")).alias("near")))
-query("EXT-26")(lambda s, d: tables.drop_repeated_text((t := _tables(s, d).withColumn("page", F.col("number"))).select("doc", "page", F.array_join(F.flatten("body"), " ").alias("content")).unionByName(t.select("doc", "page", F.lit("other text").alias("content"))), t).select("doc", "page", "content"))
+query("EXT-35", f"WITH {TABLES}, b AS (SELECT number, two, lag(two) OVER (PARTITION BY doc ORDER BY page, number) AS q FROM t) SELECT number, two = q AS near FROM b WHERE q IS NOT NULL")(lambda s, d: (t := _tables(s, d)).withColumn("_before", F.lag("header").over(Window.partitionBy("doc").orderBy("page", "number"))).filter("_before IS NOT NULL").select("number", tables.near_header(F.col("_before"), F.col("header")).alias("near")))
+query("EXT-26", f"WITH {TABLES} SELECT doc, number AS page, 'other text' AS content FROM t")(lambda s, d: tables.drop_repeated_text((t := _tables(s, d).withColumn("page", F.col("number"))).select("doc", "page", F.array_join(F.flatten("body"), " ").alias("content")).unionByName(t.select("doc", "page", F.lit("other text").alias("content"))), t).select("doc", "page", "content"))
 query("DAG-09", "SELECT n_nationkey, 'n' || n_nationkey || '.md' AS name, n_name AS content FROM nation")(
     lambda s, d: table(s, d, "nation").select("n_nationkey", F.explode(extract.task_files(F.concat(F.lit("### [FILENAME: n"), "n_nationkey", F.lit(".md]\n"), "n_name"))).alias("f")).select("n_nationkey", "f.name", "f.content")
 )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,36 @@ def save_layout(df: DataFrame, path: str, kind: str = "kind") -> None:
 def markdown(title: Column, level: Column, body: Column) -> Column:
     """A heading and what stands below it."""
     return F.concat(F.repeat(F.lit("#"), F.least(level, F.lit(6))), F.lit(" "), F.initcap(F.replace(title, F.lit("_"), F.lit(" "))), F.lit("\n\n"), body)
+
+
+def fetched(urls: DataFrame, url_col: str, fetcher: Callable[[Column], Column]) -> DataFrame:
+    """``urls`` with ``content``, what an injected fetcher makes of each address; null for what it can't get."""
+    return urls.withColumn("content", fetcher(F.col(url_col)))
+
+
+def _rendered(data: object, level: int, title_case: bool) -> str:
+    if isinstance(data, Mapping):
+        parts = []
+        for key, value in data.items():
+            name = key.replace("_", " ").title() if title_case else key
+            parts.append(f"{'#' * level} {name}\n\n{_rendered(value, level + 1, title_case)}")
+        return "".join(parts)
+    if isinstance(data, list):
+        return "".join("- " + _rendered(item, level + 1, title_case).lstrip() for item in data)
+    return f"{data}\n\n"
+
+
+def json_markdown(value: Column, level: int = 1, title_case: bool = True) -> Column:
+    """JSON texts as headings with what stands below them; null for what is no JSON."""
+
+    def render(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out: list[str | None] = []
+            for text in batch:
+                try:
+                    out.append(_rendered(json.loads(text), level, title_case))
+                except (TypeError, ValueError):
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(render, "string")(value)

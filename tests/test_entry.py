@@ -7,10 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import content_queries, core_queries, more_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(core_queries.QUERIES | content_queries.QUERIES | more_queries.QUERIES)
+NAMES = sorted(name for plans in entry.PLANS for name in plans.QUERIES)
 
 
 @pytest.fixture(scope="module")
