@@ -270,7 +270,7 @@ def decode(df: DataFrame, ids_col: str, vocabulary_path: str, pattern: str, byte
     def bytes_of(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _encoder(content, pattern).codec
         for batch in ids:
-            yield pd.Series([codec.decode([np.asarray([] if x is None else x, dtype=np.int32)])[0] for x in batch], dtype=object)
+            yield pd.Series(codec.decode([np.asarray([] if x is None else x, dtype=np.int32) for x in batch]) if len(batch) else [], dtype=object)
 
     return df.withColumn(bytes_col, bytes_of(F.col(ids_col)))
 
@@ -290,4 +290,4 @@ def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, id_col: str =
                 rows += [(len(ids), _sha256(ids.astype("<u4").tobytes()), _sha256(text)) for ids, text in zip(coded, encoder.codec.decode(coded), strict=True)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col), digests(F.col(text_col)).alias("r")).select(id_col, "r.*")
+    return df.select(F.col(id_col).alias("_id"), digests(F.col(text_col)).alias("_digests")).select(F.col("_id").alias(id_col), "_digests.*")

@@ -11,8 +11,9 @@ shingle on which the template's band stands, so others are passed over unhashed.
 
 Edge cases: a null or empty text, or one of fewer than SHINGLE words, has no
 license. Repeated rows give their rows each, also with null ids. A template of
-fewer than SHINGLE words raises ValueError; templates are at most MAX_TEMPLATES
-(they are part of the plan). Only the columns named are read.
+fewer than SHINGLE words raises ValueError. Templates are part of the plan; beyond
+AT_ONCE of them each further AT_ONCE take another pass. Only the columns named
+are read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINMENT, TARGET, MAX_TEMPLATES = 5, 0.8, 0.999, 1000
+SHINGLE, CONTAINMENT, TARGET, AT_ONCE = 5, 0.8, 0.999, 1000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 #: Notices by which public licenses are declared.
@@ -41,6 +43,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
 }
 
+#: Whole licenses.
+_LIABILITY = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT"] + ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. " + _LIABILITY,
+    "ISC-text": TEMPLATES["ISC"] + ". THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": TEMPLATES["BSD"] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+}
+
 RECORD = "array<struct<id:string,n:int,need:int,width:int,stride:int,bands:array<bigint>,signature:array<bigint>,shingles:array<bigint>>>"
 
 
@@ -73,8 +83,6 @@ def least_hash(of: Column, band: Column | int) -> Column:
 
 def _records(spark: SparkSession, templates: Mapping[str, str]) -> list[dict]:
     """The templates with their settings, bands and the shingles on which bands stand."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     hashed = spark.createDataFrame(sorted(templates.items()), "id string, text string").select("id", F.array_distinct(shingles(F.col("text"))).alias("s")).collect()
     if short := [row.id for row in hashed if not row.s]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
@@ -93,8 +101,12 @@ def _records(spark: SparkSession, templates: Mapping[str, str]) -> list[dict]:
 def find_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and license found in it: the id, license_id, the shingles held by the best window, their share, and its first word.
 
-    One pass over the texts; nothing is shuffled.
+    One pass over the texts for AT_ONCE templates; nothing is shuffled.
     """
+    if len(templates) > AT_ONCE:
+        names = sorted(templates)
+        parts = [find_licenses(df, {n: templates[n] for n in names[k : k + AT_ONCE]}, id_col, text_col) for k in range(0, len(names), AT_ONCE)]
+        return reduce(DataFrame.unionByName, parts)
     records = _records(df.sparkSession, templates)
     known = F.from_json(F.lit(json.dumps(records)), RECORD)
     signatures = F.lit(sorted({h for r in records for h in r["signature"]}))

@@ -124,4 +124,6 @@ def judge(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
             parts = [measure(part) for _, part in slices(batch)]
             yield pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
 
-    return df.select(*keep, rules(F.col(text_col)).alias("r")).select(*keep, "r.*")
+    inside = [f"_keep{i}" for i in range(len(keep))]
+    measured = df.select(*(F.col(c).alias(i) for c, i in zip(keep, inside, strict=True)), rules(F.col(text_col)).alias("_rules"))
+    return measured.select(*(F.col(i).alias(c) for c, i in zip(keep, inside, strict=True)), "_rules.*")

@@ -8,7 +8,8 @@ back to all paths that ever held the blob.
 Edge cases: a null or empty text is the empty blob, which has no findings.
 Copies are one blob and are scanned once. Repeated rows of a path give repeated
 rows. An empty table gives an empty ledger and no rows. Columns of the input
-beside those named are not read, so they cannot clash. Texts are scanned whole.
+beside those named are not read, and path columns may have any name. Texts are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -58,5 +59,7 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path_cols: list[str], text_col: str = "text") -> DataFrame:
     """The paths of all versions with their blob and its findings under the current rules."""
-    paths = versions.select(*path_cols, blob_id(F.col(text_col)).alias("blob"))
-    return paths.join(ledger.filter(F.col("rules_version") == RULES_VERSION).select("blob", "findings"), "blob", "left").select(*path_cols, "blob", "findings")
+    inside = [f"_path{i}" for i in range(len(path_cols))]
+    paths = versions.select(*(F.col(c).alias(i) for c, i in zip(path_cols, inside, strict=True)), blob_id(F.col(text_col)).alias("blob"))
+    found = paths.join(ledger.filter(F.col("rules_version") == RULES_VERSION).select("blob", "findings"), "blob", "left")
+    return found.select(*(F.col(i).alias(c) for c, i in zip(path_cols, inside, strict=True)), "blob", "findings")

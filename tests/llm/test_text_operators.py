@@ -218,6 +218,32 @@ def test_licenses_equal_brute_force(spark):
         license_scan.find_licenses(df, {"x": "of four words only"})
 
 
+def test_long_licenses_that_are_edited(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for i in range(60):
+        name = rnd.choice(["MIT-text", "ISC-text", "BSD-2-Clause-text"])
+        words = license_scan.TEMPLATES[name].split()
+        for _ in range(rnd.randint(0, len(words) // 25)):
+            words[rnd.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(rnd.choices(["lorem", "ipsum"], k=rnd.randint(0, 300)) + words)))
+    want = {(i, name) for i, text in rows for name in brute_licenses(text, license_scan.TEMPLATES)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in license_scan.find_licenses(df).collect()} == want and len(want) > 60
+    monkeypatch.setattr(license_scan, "AT_ONCE", 4)  # more templates than one pass takes
+    assert {(r.doc_id, r.license_id) for r in license_scan.find_licenses(df).collect()} == want
+
+
+def test_kept_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([("x", "mail a@b.c", "k"), ("y", None, None)], "r string, text string, blob string")
+    seeds = df.select("r", "text", df.blob.alias("seeds"), df.blob.alias("text_key"))
+    assert sorted(r.r for r in quality_rules.judge(df, ["r", "blob"]).collect()) == ["x", "y"]
+    assert sorted(r.r for r in bpe.round_trip(df, VOCABULARY, public_tokenizers.PATTERN, "r").collect()) == ["x", "y"]
+    assert pii.find_pii(seeds, ["text_key"]).columns == ["text_key", "seeds", "spans"]
+    found = secret_scan.findings_by_path(df, secret_scan.update_ledger(df), ["blob", "r"])
+    assert sorted(tuple(r)[:2] for r in found.collect() if r.r == "x") == [("k", "x")]
+
+
 # ---- chat
 
 
