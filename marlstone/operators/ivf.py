@@ -19,7 +19,7 @@ from marlstone.functions import vector
 from marlstone.operators import search
 from marlstone.sources.shared import scratch
 
-LISTS, PROBES, SAMPLE, LEAST_ROWS, SEED = 18, 9, 50_000, 3, 11
+LISTS, PROBES, SAMPLE, LEAST_ROWS, SEED = 18, 14, 50_000, 3, 11
 
 
 @dataclass(frozen=True)
