@@ -235,6 +235,24 @@ def test_classifier_on_held_out_rows(spark, edges):
     assert quality_classifier.classify(edges.limit(0), table).count() == 0
 
 
+def test_classifier_equals_a_dense_solution(spark):
+    rnd = random.Random(15)
+    texts = [" ".join("".join(rnd.choices("abcdefgh!A", k=rnd.randint(1, 9))) for _ in range(rnd.randint(1, 80))) for _ in range(400)]
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(400)], "doc_id long, quality int")
+    df = frame(spark, texts).repartition(5)
+    stats = quality_classifier.with_statistics(df, [df.doc_id.alias("_id")])
+    model = quality_classifier.fit(stats.join(quality_classifier.training_rows(labels), "_id").select("stats", "y", "fold"))
+    known = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 not in (quality_classifier.HELD_OUT, quality_classifier.CALIBRATE)]
+    z = model.features(np.array([quality_classifier.statistics(texts[i]) for i in known]))
+    y = np.array([i % 3 % 2 for i in known], dtype=float)
+    ridge = quality_classifier.RIDGE * len(known) * np.diag(np.append(np.full(quality_classifier.FEATURES, 1 / quality_classifier.FEATURES), 1e-9))
+    dense = np.linalg.solve(z.T @ z + ridge, z.T @ y)
+    assert np.allclose(z @ dense, model.raw(np.array([quality_classifier.statistics(texts[i]) for i in known])), atol=1e-6)
+    # the bound keeps the rows of the least hashes, whatever the labels' order is
+    few = {r._id for r in quality_classifier.training_rows(labels, rows=50).collect()}
+    assert len(few) == 50 and few == {r._id for r in quality_classifier.training_rows(labels.orderBy("quality"), rows=50).collect()}
+
+
 def test_isotonic():
     assert quality_classifier.isotonic([0, 3, 1, 4], [4, 4, 4, 4]) == [0, 0.5, 0.5, 1]
     assert quality_classifier.isotonic([2, 0], [2, 2]) == [0.5, 0.5]
