@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import shingles
@@ -198,14 +198,13 @@ def _clusters(df: DataFrame, id_col: str, text_col: str, row: Column, shingle: i
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(row.alias("_row"), F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("size"), sketch(text).alias("s")).select("_row", "_id", "size", "s.*")
     rows = materialize(rows, "sketches")
-    classes = materialize(rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.min(F.struct("_row", "size")).alias("one")), "classes")
+    classes = materialize(rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("_row", "size")).alias("one")), "classes")
     # candidates: equal or near fingerprints, and equal bands
     by_fp = materialize(classes.groupBy("fp").agg(F.min("cls").alias("least")), "fingerprint-classes")
     near = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
     same = classes.join(by_fp, "fp").select(F.col("cls").alias("x"), F.col("least").alias("y"))
-    keyed = rows.select("cls", F.posexplode("bands").alias("t", "key")).distinct()
-    least = keyed.groupBy("t", "key").agg(F.min("cls").alias("y"), F.count("*").alias("n")).filter("n > 1").select("t", "key", "y")
-    banded = keyed.join(least, ["t", "key"]).select(F.col("cls").alias("x"), "y").filter("x <> y")
+    keyed = classes.select("cls", F.posexplode("bands").alias("t", "key")).select("cls", F.xxhash64("t", "key").alias("band"))
+    banded = keyed.select(F.col("cls").alias("x"), F.min("cls").over(Window.partitionBy("band")).alias("y")).filter("x <> y").distinct()
     roots = materialize(connected_components(near.unionByName(same).unionByName(banded), "x", "y"), "candidates")
     sets = classes.join(roots.withColumnRenamed("node", "cls"), "cls").select("cls", "root", "one.*")
     parts = sets.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / CELL_BYTES), F.lit(1)).cast("int").alias("parts"))
@@ -236,6 +235,12 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         placed = placed.select("_row", F.col(id_col).alias("_id"), F.coalesce(F.col("component_id").cast("string"), "fingerprint").alias("cluster"))
     else:
         placed = _clusters(df, id_col, text_col, digest, shingle, similarity)
-    first = placed.groupBy("cluster").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first"))
+    first = placed.groupBy("cluster").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row")).alias("first")).select("first._row")
+    # what goes is told by digests, so texts need no shuffle where that is little; rows that are repeated as a whole are looked at once more
+    times = placed.groupBy("_row").count()
+    marked = materialize(times.join(first.withColumn("stays", F.lit(True)), "_row", "left").filter("stays IS NULL OR count > 1"), "marked")
     row = free_name(df, "_row")
-    return df.withColumn(row, digest).join(first.select(F.col("first._row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*df.columns)
+    keyed = df.withColumn(row, digest)
+    once = keyed.join(marked.select(F.col("_row").alias(row)), row, "left_anti")
+    again = keyed.join(marked.filter("stays").select(F.col("_row").alias(row)), row, "left_semi").dropDuplicates([row])
+    return once.select(*df.columns).unionByName(again.select(*df.columns))
