@@ -60,7 +60,7 @@ def _tree(s, d):
     return path
 
 
-_folder = F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")
+_folder = lambda: F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")
 
 
 @query("SRC-12", "SELECT sum(strlen(html) + 1)::BIGINT AS bytes, true AS within FROM pages")
@@ -70,10 +70,10 @@ def _size(s, d):
     return files.total_bytes(s, path, 100.0)
 
 
-query("SRC-13", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents")(lambda s, d: files.find_files(s, _tree(s, d), [".TXT"]).select(_folder).distinct())
-query("SRC-14", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents WHERE lang <> 'de'")(lambda s, d: files.relevant_files(s, _tree(s, d), ["lang=de/*", "*.png"]).select(_folder).distinct())
+query("SRC-13", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents")(lambda s, d: files.find_files(s, _tree(s, d), [".TXT"]).select(_folder()).distinct())
+query("SRC-14", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents WHERE lang <> 'de'")(lambda s, d: files.relevant_files(s, _tree(s, d), ["lang=de/*", "*.png"]).select(_folder()).distinct())
 query("SRC-25", "SELECT 'lang=' || lang AS folder, sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines FROM documents GROUP BY lang")(
-    lambda s, d: files.texts(s, _tree(s, d)).groupBy(_folder).agg(F.sum(F.size(F.split("content", "\n")) - 1).alias("lines"))
+    lambda s, d: files.texts(s, _tree(s, d)).groupBy(_folder()).agg(F.sum(F.size(F.split("content", "\n")) - 1).alias("lines"))
 )
 
 
