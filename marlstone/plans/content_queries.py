@@ -153,8 +153,11 @@ query("EXT-42", f"WITH {TABLES} SELECT 's' || number % 4 AS settings, round(avg(
 query("EXT-11", f"WITH {TABLES} SELECT number, n - 1 AS rows, (2 * (n - 1))::BIGINT AS cells FROM t WHERE n >= 2")(
     lambda s, d: _tables(s, d).filter(F.size("body") >= 2).select("number", tables.padded(F.col("body")).alias("p")).select("number", F.size("p.rows").cast("long").alias("rows"), F.size(F.flatten("p.rows")).cast("long").alias("cells"))
 )
-query("EXT-14", "SELECT o_orderkey, o_orderstatus || ';' || o_custkey AS cells FROM orders")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", extract.markdown_table(F.concat(F.lit("| Status | Customer |\n|---|---|\n| "), "o_orderstatus", F.lit(" | "), "o_custkey", F.lit(" |\n| odd |"))).alias("t")).select("o_orderkey", F.array_join(F.flatten("t.rows"), ";").alias("cells"))
+query("EXT-14", "SELECT o_custkey, count(*) AS rows, string_agg(o_orderkey || ';' || o_orderstatus, ';' ORDER BY o_orderkey) AS cells FROM orders GROUP BY o_custkey")(
+    # a table for each customer, a row of another width in it
+    lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    .select("o_custkey", extract.markdown_table(F.concat(F.lit("| Order | Status |\n|---|:-:|\n| odd |\n"), F.array_join(F.transform("o", lambda o: F.concat(F.lit("| "), o["o_orderkey"], F.lit(" | "), o["o_orderstatus"], F.lit(" |"))), "\n"))).alias("t"))
+    .select("o_custkey", F.size("t.rows").cast("long").alias("rows"), F.array_join(F.flatten("t.rows"), ";").alias("cells"))
 )
 query("EXT-28", "SELECT c_custkey, trim(regexp_replace(c_name, '[\\r\\n]+', ' ', 'g'), ' ') AS name, try_cast(regexp_extract(c_name, '[0-9]+') AS DOUBLE) AS number FROM customer".replace("\\\\", "\\"))(
     lambda s, d: table(s, d, "customer").select("c_custkey", tables.cleaned(F.col("c_name")).alias("name"), F.regexp_extract("c_name", "[0-9]+", 0).try_cast("double").alias("number"))

@@ -124,17 +124,23 @@ query("MEM-03-edges", f"WITH {TURNS} SELECT _key FROM edges WHERE _from <> 'mess
 
 # ---- content
 
-query("CHK-02", "SELECT o_orderkey AS id, '1.' || (o_orderkey % 9) AS number, 'Order ' || o_orderkey AS title FROM orders")(
-    lambda s, d: chunk.sections(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("**1."), F.col("o_orderkey") % 9, F.lit(" Order "), "o_orderkey", F.lit("**\nbody")).alias("t")), "o_orderkey", "t").select("id", "number", "title")
+query("CHK-02", "SELECT doc_id AS id, n AS position, number, title, length(text)::INT AS size FROM documents, (VALUES (0, '', ''), (1, '4.1', 'First Part'), (2, '4.1.2', '2nd Part')) v(n, number, title)")(
+    # the text before all headers, and below each of two
+    lambda s, d: chunk.sections(table(s, d, "documents").select("doc_id", F.concat("text", F.lit("\n**4.1 First Part**\n"), "text", F.lit("\n**4.1.2. 2nd Part**\n"), "text").alias("t")), "doc_id", "t").select(
+        "id", F.col("position").cast("int").alias("position"), "number", "title", F.length(F.regexp_replace(F.regexp_replace("content", r"^\*\*4[^\n]*\n", ""), r"\n\z", "")).alias("size")
+    )
 )
 query("CHK-11", "SELECT doc_id, least(length(text), 100)::DOUBLE / greatest(length(text), 1) <= 0.4 AS compressed FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", (F.length(text.shorten(F.col("text"))) / F.greatest(F.length("text"), F.lit(1)) <= 0.4).alias("compressed"))
 )
-query("EXT-01", "SELECT o_orderkey AS id, first_line, number FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS first_line, unnest(['1', '1.1', '2']) AS number FROM orders)")(
-    lambda s, d: extract.sections(extract.blocks(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("# A\n## B "), "o_orderkey", F.lit("\n# C")).alias("t")), "o_orderkey", "t")).select("id", "first_line", "number")
+LINES = "(1 + length(text) - length(replace(text, chr(10), '')))"
+query("EXT-01", f"SELECT doc_id AS id, CASE n WHEN 0 THEN 0 WHEN 1 THEN 1 + {LINES} WHEN 2 THEN 2 + 2 * {LINES} ELSE 3 + 3 * {LINES} END::INT AS first_line, number, title FROM documents, (VALUES (0, '1', 'A'), (1, '1.1', 'B'), (2, '7.3', 'Own number'), (3, '2', 'C')) v(n, number, title)")(
+    # the whole text below each of four headings
+    lambda s, d: extract.sections(extract.blocks(table(s, d, "documents").select("doc_id", F.concat(F.lit("# A\n"), "text", F.lit("\n## B\n"), "text", F.lit("\n## 7.3 Own number\n"), "text", F.lit("\n# C")).alias("t")), "doc_id", "t")).select("id", "first_line", "number", "title")
 )
-query("SRC-15", "SELECT o_orderkey AS file_path, 'k = ' || o_orderkey AS code, 'about ' || o_custkey AS description FROM orders")(
-    lambda s, d: extract.code_rows(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("# A\nabout "), "o_custkey", F.lit("\n```python\nk = "), "o_orderkey", F.lit("\n```")).alias("t")), "o_orderkey", "t").select("file_path", "code", "description")
+query("SRC-15", "SELECT doc_id AS file_path, text AS code, 'about ' || source AS description, 'python' AS code_type FROM documents")(
+    # the whole text as code
+    lambda s, d: extract.code_rows(table(s, d, "documents").select("doc_id", F.concat(F.lit("# A\nother words\n\nabout "), "source", F.lit("\n\n```python\n"), "text", F.lit("\n```\nend")).alias("t")), "doc_id", "t").select("file_path", "code", "description", "code_type")
 )
 query("EXT-07", "SELECT n_nationkey, 'f' || n_nationkey AS name, 'x: int = ' || n_regionkey AS parameters FROM nation")(
     lambda s, d: table(s, d, "nation").select("n_nationkey", code.metadata(F.concat(F.lit("def f"), "n_nationkey", F.lit("(x: int = "), "n_regionkey", F.lit("):\n    return x\n"))).alias("m")).select("n_nationkey", F.col("m.functions")[0]["name"].alias("name"), F.array_join(F.col("m.functions")[0]["parameters"], ",").alias("parameters"))
