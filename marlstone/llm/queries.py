@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat_rotation, decontamination, license_scan, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, spans, suffix_dedup
+from marlstone.llm import bpe, chat_rotation, decontamination, license_scan, pii, quality_classifier, quality_rules, resampling, secret_scan, simhash_dedup, spans, suffix_dedup, top_k, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,67 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summarize(documents(spark, sf_dir))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document when a tenth is drawn towards the benchmark's texts."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: CRC-32 by its table, a byte at a time, of each different word.
+OP11_SQL = r"""
+WITH RECURSIVE crc(i, bit, c) AS (
+    SELECT range, 0, range::BIGINT FROM range(256)
+    UNION ALL
+    SELECT i, bit + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE bit < 8),
+steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS step FROM crc WHERE bit = 8),
+doc_words AS MATERIALIZED (
+    SELECT row_id, unnest(words) AS word FROM (
+        SELECT row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents)),
+target_words AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+hashed AS MATERIALIZED (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+                                 lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT word FROM doc_words UNION SELECT word FROM target_words), steps),
+s AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target_words JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM doc_words) AS s_all, (SELECT count(*) FROM target_words) AS t_all),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT row_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM doc_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row_id),
+scored AS (
+    SELECT row_id, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+    FROM (SELECT row_number() OVER () AS row_id, doc_id FROM documents) LEFT JOIN weights USING (row_id)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, row_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth embedding, by exact inner product."""
+    return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+OP13_SQL = """
+WITH whole AS (
+    SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: isfinite(c))) = 64),
+scores AS (SELECT q.row_id, q.vec_id AS query_id, c.vec_id, c.row_id AS other, list_inner_product(q.x, c.x)::BIGINT AS score FROM whole q, whole c WHERE q.vec_id % 20 = 0 AND q.row_id <> c.row_id)
+SELECT query_id, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id, other)::INTEGER AS rank, vec_id, score FROM scores
+QUALIFY rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op5_chat_rotation": op5_chat_rotation, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_suffix_dedup": op10_suffix_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_decontamination": op1_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op5_chat_rotation": op5_chat_rotation, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op8_pii": op8_pii, "op9_license_scan": op9_license_scan, "op10_suffix_dedup": op10_suffix_dedup, "op11_resampling": op11_resampling, "op12_whitening": op12_whitening, "op13_top_k": op13_top_k, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_rotation": OP5_SQL, "op6_secret_scan": OP6_SQL, "op9_license_scan": OP9_SQL}
+    return {"op5_chat_rotation": OP5_SQL, "op6_secret_scan": OP6_SQL, "op9_license_scan": OP9_SQL, "op11_resampling": OP11_SQL, "op13_top_k": OP13_SQL}
