@@ -98,7 +98,7 @@ def truncate_value(text: Column, limit: int = 100) -> Column:
     return F.when(F.length(image) > limit, F.concat(F.substring(image, 1, half), F.lit("..."), F.substring(image, -half, half))).otherwise(image)
 
 
-def sanitize(text: Column, limit: int | None = 10_000) -> Column:
+def sanitize(text: Column, limit: int | None = None) -> Column:
     """A result that is put into a prompt: markup escaped, script schemes taken out, cut to ``limit`` if there is one."""
     for mark, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(mark), F.lit(put))

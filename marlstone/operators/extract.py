@@ -56,7 +56,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id", "first_line", "last_line", F.col("kind").alias("type"),
         F.when(is_heading, F.trim(F.regexp_extract("head", HEADING, 2))).otherwise(body).alias("content"),
         F.when(is_heading, F.length(F.regexp_extract("head", HEADING, 1))).alias("level"),
-        F.when(F.col("kind") == "code", F.trim(F.substring("head", 4, 1000))).alias("language"),
+        F.when(F.col("kind") == "code", F.trim(F.substring("head", F.lit(4), F.length("head")))).alias("language"),
     )
 
 
@@ -127,11 +127,16 @@ def allowed_metadata(meta: Column, keys: Sequence[str]) -> Column:
 def markdown_table(text: Column) -> Column:
     """(headers, rows) of a markdown table; rows of another width are dropped, null without a header and a rule."""
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    rows = F.filter(F.split(F.trim(text), "\n"), lambda x: F.trim(x) != "")
-    headers = cells(F.get(rows, F.lit(0)))
-    body = F.filter(F.transform(F.slice(rows, 3, 1_000_000), lambda x: cells(x)), lambda r: F.size(r) == F.size(headers))
-    ruled = (F.size(rows) >= 2) & F.get(rows, F.lit(1)).rlike(r"^\s*\|?[\s:|-]+\|?\s*$")
-    return F.when(ruled, F.struct(headers.alias("headers"), body.alias("rows")))
+
+    def ruled(lines: Column) -> Column:
+        is_rule = (F.size(lines) >= 2) & F.get(lines, F.lit(1)).rlike(r"^\s*\|?[\s:|-]+\|?\s*$")
+        whole = F.struct(cells(F.get(lines, F.lit(0))).alias("headers"), F.transform(F.slice(lines, F.lit(3), F.size(lines)), cells).alias("rows"))
+        own = lambda x: F.struct(x["headers"].alias("headers"), F.filter(x["rows"], lambda r: F.size(r) == F.size(x["headers"])).alias("rows"))
+        return F.when(is_rule, F.get(F.transform(F.array(whole), own), F.lit(0)))
+
+    # lines and cells are bound once, as the one element of an array
+    lines = F.filter(F.split(F.trim(text), "\n"), lambda x: F.trim(x) != "")
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(lines), ruled), F.lit(0)))
 
 
 def image(text: Column) -> Column:

@@ -76,16 +76,18 @@ def related_documents(edges: DataFrame, vertex: DataFrame, collection: str | Non
     return found if collection is None else found.filter(collection_of(F.col("vertex")) == collection)
 
 
-def graph_rag(edges: DataFrame, seeds: DataFrame, max_depth: int = 1, direction: str = "ANY", types: Sequence[str] | None = None, per_seed: int = 100) -> DataFrame:
-    """For each seed (_id) its related vertices, breadth first and each once, at most ``per_seed``: (seed, vertex, edge, depth, position).
+def graph_rag(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, direction: str = "ANY", types: Sequence[str] | None = None, per_seed: int | None = 100) -> DataFrame:
+    """For each seed (_id) its related vertices, breadth first and each once: (seed, vertex, edge, depth, position).
 
-    Depth is held to 3. Types filter what is shown by its last edge, not the walk.
+    At most ``per_seed`` of a seed are shown, all of them where it is None. Types filter what is shown by its last edge, not the walk.
     """
-    found = traverse(edges, seeds, 1, min(max_depth, 3), direction, "global")
+    found = traverse(edges, seeds, 1, max_depth, direction, "global")
     if types:
         found = found.join(edges.filter(F.col("type").isin(list(types))).select(F.col("_key").alias("edge")), "edge", "left_semi")
     place = Window.partitionBy("start").orderBy("depth", "vertex")
-    shown = found.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= per_seed)
+    shown = found.withColumn("position", F.row_number().over(place))
+    if per_seed is not None:
+        shown = shown.filter(F.col("position") <= per_seed)
     return shown.select(F.col("start").alias("seed"), "vertex", "edge", "depth", "position")
 
 

@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import search
+from marlstone.operators import search, textindex
+from marlstone.sources.shared import written
 
 DEFAULT_WEIGHTS = {"bm25": 0.5, "semantic": 0.5}
-GRAPH_WEIGHTS = {"bm25": 0.4, "semantic": 0.4, "graph": 0.2}
+#: Of a search that also walks the graph, and of fusing three ranked lists.
+GRAPH_WEIGHTS = {"bm25": 0.3, "semantic": 0.5, "graph": 0.2}
+THREE_WEIGHTS = {"bm25": 0.4, "semantic": 0.4, "graph": 0.2}
 
 
 def scaled(weights: Mapping[str, float] | None, default: Mapping[str, float] = DEFAULT_WEIGHTS) -> dict[str, float]:
@@ -46,17 +49,26 @@ def fused_order(lists: Sequence[str]) -> list:
     return [F.desc("hybrid_score"), *(F.asc_nulls_last(f"{name}_rank") for name in lists), F.asc("_key")]
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query_text: str, query_vector: Sequence[float], filter_expr: str | None = None, tag_list: Sequence[str] | None = None, min_score: Mapping[str, float] | float | None = None, weights: Mapping[str, float] | None = None, top_n: int = 10, initial_k: int = 20, rrf_k: int = 60, require_all_tags: bool = False, search_fields: Sequence[str] = search.FIELDS, graph: DataFrame | None = None) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, query_text: str, query_vector: Sequence[float], filter_expr: str | None = None, tag_list: Sequence[str] | None = None, min_score: Mapping[str, float] | float | None = None, weights: Mapping[str, float] | None = None, top_n: int = 10, initial_k: int = 20, rrf_k: int = 60, require_all_tags: bool = False, search_fields: Sequence[str] = search.FIELDS, graph: DataFrame | None = None, index: textindex.TextIndex | None = None) -> DataFrame:
     """Documents by fused BM25 and semantic (and, given a ranked list of (_key, rank), graph) ranks.
 
-    Tags and filter are applied to the documents first, as a semi-join for the vectors.
+    Tags and filter are applied to the documents first, as a semi-join for the
+    vectors. With a stored ``index`` texts are not read; without tags and filter
+    its own documents are those that vectors may belong to. The few rows of both
+    lists are written, so that ranks and sizes don't compute them again.
     """
     least = min_score if isinstance(min_score, Mapping) else {"bm25": 0.1, "semantic": 0.7} if min_score is None else {"bm25": min_score, "semantic": min_score}
+    narrowed = bool(filter_expr or tag_list)
     allowed = search.with_filters(docs, filter_expr, tag_list, require_all_tags)
-    text = search.with_filters(search.bm25_scores(docs, query_text, search_fields), filter_expr, tag_list, require_all_tags)
-    text = search.page(text.filter(F.col("score") >= least.get("bm25", 0.1)), [F.desc("score"), F.asc("_key")], initial_k)
-    near = search.semantic_search(vectors.join(allowed.select("_key"), "_key", "left_semi"), query_vector, min_score=least.get("semantic", 0.7), top_n=initial_k)
-    lists = {"bm25": ranked(text), "semantic": ranked(near)}
+    if index is not None:
+        text = textindex.hits(index, query_text, least.get("bm25", 0.1), initial_k, fields=search_fields, allowed=allowed if narrowed else None)
+        known = allowed if narrowed else index.table("documents")
+    else:
+        text = search.with_filters(search.bm25_scores(docs, query_text, search_fields), filter_expr, tag_list, require_all_tags)
+        text = search.page(text.filter(F.col("score") >= least.get("bm25", 0.1)), [F.desc("score"), F.asc("_key")], initial_k)
+        known = allowed
+    near = search.semantic_search(vectors.join(known.select("_key"), "_key", "left_semi"), query_vector, min_score=least.get("semantic", 0.7), top_n=initial_k)
+    lists = {name: written(ranked(df), name) for name, df in (("bm25", text), ("semantic", near))}
     if graph is not None:
         lists["graph"] = graph
     fused = fuse(lists, scaled(weights, GRAPH_WEIGHTS if graph is not None else DEFAULT_WEIGHTS), rrf_k)

@@ -26,10 +26,16 @@ def overlapping(tables: DataFrame, boxes: DataFrame, least: float = 0.5) -> Data
 
 def padded(rows: Column) -> Column:
     """(headers, rows) of a list of rows: the first is the header, the others are cut or filled to its width; all cells are trimmed."""
-    headers = F.transform(F.get(rows, F.lit(0)), lambda c: F.trim(c))
-    wide = lambda r: F.transform(F.slice(F.concat(r, F.array_repeat(F.lit(""), F.size(headers))), F.lit(1), F.size(headers)), lambda c: F.trim(c))
+
+    def filled(x: Column) -> Column:
+        width = F.size(x["headers"])
+        wide = lambda r: F.transform(F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width), lambda c: F.trim(c))
+        return F.struct(x["headers"].alias("headers"), F.transform(F.slice(x["rows"], F.lit(2), F.size(x["rows"])), wide).alias("rows"))
+
+    # the rows are bound once, as the one element of an array
+    whole = F.struct(F.transform(F.get(rows, F.lit(0)), lambda c: F.trim(c)).alias("headers"), rows.alias("rows"))
     empty = F.struct(F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"))
-    return F.when(F.size(rows) >= 2, F.struct(headers.alias("headers"), F.transform(F.slice(rows, 2, 1_000_000), wide).alias("rows"))).otherwise(empty)
+    return F.when(F.size(rows) >= 2, F.get(F.transform(F.array(whole), filled), F.lit(0))).otherwise(empty)
 
 
 def cleaned(cell: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text, vector
-from marlstone.operators import graph, hybrid, memory, search, store
-from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, turn_edges, vectors
+from marlstone.operators import graph, hybrid, memory, search, store, textindex
+from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, turn_edges, vectors
 
 ASK, TERMS, FIELDS = "thinghat eren stand that", ["thinghat", "eren", "stand", "that"], ["title", "content"]
 QUERIES: dict = {}
@@ -72,16 +72,16 @@ query("FLT-13", "SELECT doc_id FROM documents WHERE starts_with(text, 'The')")(l
 # ---- full-text search
 
 query("TXT-01", f"WITH {DOCS}, {bm25_sql(TERMS, FIELDS)} SELECT _key, round(score, 6) AS score FROM scored WHERE score >= 0.1 ORDER BY scored.score DESC, _key LIMIT 10")(
-    lambda s, d: rounded(search.bm25_search(plain_docs(s, d), ASK).select("_key", "score"), "score")
+    lambda s, d: rounded(textindex.hits(text_index(s, d), ASK), "score")
 )
 query("TXT-02", f"WITH {DOCS}, {bm25_sql(TERMS, ['content'])} SELECT _key, round(score, 6) AS score FROM scored WHERE n_chars > 500 AND list_contains(tags, 'en') ORDER BY scored.score DESC, _key LIMIT 20 OFFSET 5")(
-    lambda s, d: rounded(search.bm25_search(docs(s, d), ASK, ["content"], "n_chars > 500", 0.0, 20, 5, ["en"]).select("_key", "score"), "score")
+    lambda s, d: rounded(textindex.hits(text_index(s, d), ASK, 0.0, 20, 5, ["content"], allowed=search.with_filters(docs(s, d), "n_chars > 500", ["en"])), "score")
 )
-query("TXT-03", f"WITH {DOCS}, {bm25_sql(TERMS, FIELDS)} SELECT count(*) AS total FROM scored WHERE score >= 0.1")(lambda s, d: search.bm25_total(plain_docs(s, d), ASK))
+query("TXT-03", f"WITH {DOCS}, {bm25_sql(TERMS, FIELDS)} SELECT count(*) AS total FROM scored WHERE score >= 0.1")(lambda s, d: textindex.total(text_index(s, d), ASK))
 query("DDL-05", f"WITH {DOCS}, {bm25_sql(TERMS, FIELDS)} SELECT _key, round(score, 6) AS score FROM scored")(
-    lambda s, d: rounded(search.search_view(*search.build_view(plain_docs(s, d), FIELDS), ASK), "score")
+    lambda s, d: rounded(textindex.scores(index := text_index(s, d), ASK).join(index.table("documents"), ["segment", "doc"]).select("_key", "score"), "score")
 )
-query("TXT-04")(lambda s, d: search.keyword_search(plain_docs(s, d), "Stand", 80.0, 20).select("_key", F.round("keyword_score", 6).alias("keyword_score")))
+query("TXT-04")(lambda s, d: textindex.keyword_hits(text_index(s, d), "Stand", 80.0, 20).select("_key", F.round("keyword_score", 6).alias("keyword_score")))
 query("TXT-07", f"""WITH {DOCS} SELECT _key, array_to_string(tags, ',') AS tags, round((list_contains(tags, 'en')::INT + list_contains(tags, 'src0')::INT + list_contains(tags, 'q0')::INT) / 3.0::DOUBLE, 6) AS tag_match_score
 FROM docs WHERE list_has_any(tags, ['en', 'src0', 'q0']) ORDER BY _key LIMIT 40 OFFSET 3""")(
     lambda s, d: rounded(search.tag_search(docs(s, d), ["en", "src0", "q0"], limit=40, offset=3, fields=["tags"]).withColumn("tags", F.array_join("tags", ",")), "tag_match_score")
@@ -139,7 +139,7 @@ FUSED = "(w1 / (60 + coalesce(bm.r, (SELECT count(*) FROM bm) + 1)) + w2 / (60 +
 
 
 def _hybrid(s, d, weights, top_n=10):
-    out = hybrid.hybrid_search(plain_docs(s, d), vectors(s, d), ASK, query_vector(s, d), min_score={"bm25": 0.1, "semantic": 0.05}, weights=weights, top_n=top_n)
+    out = hybrid.hybrid_search(plain_docs(s, d), vectors(s, d), ASK, query_vector(s, d), min_score={"bm25": 0.1, "semantic": 0.05}, weights=weights, top_n=top_n, index=text_index(s, d))
     return rounded(out.select("_key", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("semantic_rank").cast("long").alias("semantic_rank"), "hybrid_score"), "hybrid_score", digits=9)
 
 
@@ -151,16 +151,44 @@ for _name, _weights in (("HYB-01", None), ("HYB-06", {"bm25": 3.0, "semantic": 1
     )
 
 
+def graph_list(s, d):
+    """The third list: the five nearest vectors as seeds, with the two that follow each by number."""
+    seeds = search.semantic_search(vectors(s, d), query_vector(s, d), min_score=-2, top_n=5).select("_key", "score")
+    related = seeds.select(F.col("_key").alias("seed"), F.explode(F.array(F.lit(1), F.lit(2))).alias("position")).select("seed", (F.col("seed").cast("int") + F.col("position")).cast("string").alias("_key"), "position")
+    return hybrid.graph_candidates(seeds, related)
+
+
+GRAPH_LIST = f"""seeds AS (SELECT _key, {COS} AS s FROM vectors, asked ORDER BY s DESC, _key LIMIT 5),
+cand AS (SELECT _key, s, 0 AS p FROM seeds UNION ALL SELECT (_key::INT + k)::VARCHAR, 0.8::DOUBLE * s, k FROM seeds, (SELECT unnest([1, 2]) AS k)),
+best AS (SELECT _key, max((s, -(p > 0)::INT, -p)) AS x FROM cand GROUP BY _key),
+gr AS (SELECT _key, row_number() OVER (ORDER BY x DESC, _key) AS r FROM best)"""
+
+
+def text_list(s, d, n=20):
+    """The first list: documents by BM25 of their content."""
+    return hybrid.ranked(textindex.hits(text_index(s, d), ASK, 0.0, n, fields=["content"]))
+
+
+def vector_list(s, d, n=20):
+    """The second list: vectors by cosine."""
+    return hybrid.ranked(search.semantic_search(vectors(s, d), query_vector(s, d), min_score=-2.0, top_n=n))
+
+
+def ranked_lists(n: int) -> str:
+    """Both lists in SQL, as ``bm`` and ``sem``."""
+    return f"{bm25_sql(TERMS, ['content'])}, bm AS (SELECT _key, row_number() OVER (ORDER BY score DESC, _key) AS r FROM scored QUALIFY r <= {n}), sem AS (SELECT _key, row_number() OVER (ORDER BY {COS} DESC, _key) AS r FROM vectors, asked QUALIFY r <= {n})"
+
+
 def _three(s, d):
-    v, q = vectors(s, d), query_vector(s, d)
-    lists = {name: search.semantic_search(v, q, filter_expr=f"vec_id % {m} = 0", min_score=-2.0, top_n=20) for name, m in (("bm25", 2), ("semantic", 3), ("graph", 5))}
-    fused = hybrid.fuse({k: hybrid.ranked(x) for k, x in lists.items()}, hybrid.scaled(None, hybrid.GRAPH_WEIGHTS))
+    lists = {"bm25": text_list(s, d), "semantic": vector_list(s, d), "graph": graph_list(s, d)}
+    fused = hybrid.fuse(lists, hybrid.scaled(None, hybrid.THREE_WEIGHTS))
     return rounded(fused.orderBy(*hybrid.fused_order(list(lists))).limit(15).select("_key", "hybrid_score"), "hybrid_score", digits=9)
 
 
-_list = lambda n, m: f"l{n} AS (SELECT _key, row_number() OVER (ORDER BY {COS} DESC, _key) AS r FROM vectors, asked WHERE vec_id % {m} = 0 QUALIFY r <= 20)"
-_rrf = "(0.4::DOUBLE / (60 + coalesce(l1.r, 21)) + 0.4::DOUBLE / (60 + coalesce(l2.r, 21)) + 0.2::DOUBLE / (60 + coalesce(l3.r, 21)))"
-query("HYB-04", f"WITH {VECTORS}, {ASKED}, {_list(1, 2)}, {_list(2, 3)}, {_list(3, 5)} SELECT _key, round({_rrf}, 9) AS hybrid_score FROM l1 FULL JOIN l2 USING (_key) FULL JOIN l3 USING (_key) ORDER BY {_rrf} DESC, l1.r NULLS LAST, l2.r NULLS LAST, l3.r NULLS LAST, _key LIMIT 15")(_three)
+#: The fused score of lists, each with a weight; a key that a list lacks comes after its last.
+fused_sql = lambda **weights: "(" + " + ".join(f"{w}::DOUBLE / (60 + coalesce({n}.r, (SELECT count(*) FROM {n}) + 1))" for n, w in weights.items()) + ")"
+_rrf = fused_sql(bm=0.4, sem=0.4, gr=0.2)
+query("HYB-04", f"WITH {DOCS}, {VECTORS}, {ASKED}, {ranked_lists(20)}, {GRAPH_LIST} SELECT _key, round({_rrf}, 9) AS hybrid_score FROM bm FULL JOIN sem USING (_key) FULL JOIN gr USING (_key) ORDER BY {_rrf} DESC, bm.r NULLS LAST, sem.r NULLS LAST, gr.r NULLS LAST, _key LIMIT 15")(_three)
 
 # ---- joins
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators import textindex
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,11 @@ def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(key.alias("_key"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "doc_id", "lang", "source", "n_chars")
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The stored index of titles and contents, built when it is first asked for."""
+    return textindex.stored(plain_docs(spark, sf_dir), f"{sf_dir}/documents.parquet", ["title", "content"])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("vec_id").cast("string")
     return table(spark, sf_dir, "embeddings").select(key.alias("_key"), F.concat(F.lit("vectors/"), key).alias("_id"), "vec_id", "embedding", "label")

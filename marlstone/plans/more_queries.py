@@ -9,8 +9,8 @@ from marlstone.functions import images, text, vector
 from marlstone.functions.stem import stems
 from marlstone.operators import batch, chunk, code, extract, glossary, graph, hybrid, memory, search, store, tables
 from marlstone.plans.content_queries import TABLES, _tables
-from marlstone.plans.core_queries import ASK, COS, FIELDS, PAIRS, TERMS
-from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, turn_edges, vectors
+from marlstone.plans.core_queries import ASK, COS, FIELDS, GRAPH_LIST, PAIRS, TERMS, fused_sql, graph_list, ranked_lists, text_list, vector_list
+from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, turn_edges, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,23 +75,16 @@ query("SET-04", "SELECT DISTINCT p_partkey % 50 AS k FROM part WHERE p_partkey %
 
 # ---- ranking
 
-_ranks = lambda n: f"l{n} AS (SELECT _key, row_number() OVER (ORDER BY {COS} DESC, _key) AS r FROM vectors, asked WHERE vec_id % {n} = 1 QUALIFY r <= 10)"
-query("HYB-02", f"WITH {VECTORS}, {ASKED}, {_ranks(2)}, {_ranks(3)} SELECT _key, round(0.7::DOUBLE / (60 + coalesce(l2.r, 11)) + 0.3::DOUBLE / (60 + coalesce(l3.r, 11)), 9) AS hybrid_score FROM l2 FULL JOIN l3 USING (_key)")(
-    lambda s, d: rounded(hybrid.fuse({n: hybrid.ranked(search.semantic_search(vectors(s, d), query_vector(s, d), filter_expr=f"vec_id % {m} = 1", min_score=-2, top_n=10)) for n, m in (("bm25", 2), ("semantic", 3))}, {"bm25": 0.7, "semantic": 0.3}).select("_key", "hybrid_score"), "hybrid_score", 9)
+query("HYB-02", f"WITH {DOCS}, {VECTORS}, {ASKED}, {ranked_lists(10)} SELECT _key, round({fused_sql(bm=0.7, sem=0.3)}, 9) AS hybrid_score FROM bm FULL JOIN sem USING (_key)")(
+    lambda s, d: rounded(hybrid.fuse({"bm25": text_list(s, d, 10), "semantic": vector_list(s, d, 10)}, {"bm25": 0.7, "semantic": 0.3}).select("_key", "hybrid_score"), "hybrid_score", 9)
+)
+query("HYB-05", f"WITH {VECTORS}, {ASKED}, {GRAPH_LIST} SELECT _key, r::INT AS rank FROM gr")(lambda s, d: graph_list(s, d).select("_key", F.col("rank").cast("int").alias("rank")))
+_tagged = f"""{bm25_sql(TERMS, FIELDS)}, bm AS (SELECT _key, row_number() OVER (ORDER BY score DESC, _key) AS r FROM scored WHERE list_contains(tags, 'en') AND score >= 0 QUALIFY r <= 20),
+sem AS (SELECT _key, row_number() OVER (ORDER BY {COS} DESC, _key) AS r FROM vectors, asked WHERE _key IN (SELECT _key FROM docs WHERE list_contains(tags, 'en')) AND {COS} >= 0 QUALIFY r <= 20)"""
+_rrf = fused_sql(bm=0.3, sem=0.5, gr=0.2)
+query("HYB-03", f"WITH {DOCS}, {VECTORS}, {ASKED}, {_tagged}, {GRAPH_LIST} SELECT _key, round({_rrf}, 9) AS hybrid_score FROM bm FULL JOIN sem USING (_key) FULL JOIN gr USING (_key) ORDER BY {_rrf} DESC, bm.r NULLS LAST, sem.r NULLS LAST, gr.r NULLS LAST, _key LIMIT 10")(
+    lambda s, d: hybrid.hybrid_search(docs(s, d), vectors(s, d), ASK, query_vector(s, d), tag_list=["en"], min_score={"bm25": 0.0, "semantic": 0.0}, graph=graph_list(s, d), index=text_index(s, d)).select("_key", F.round("hybrid_score", 9).alias("hybrid_score"))
 )
-
-
-def _graph_list(s, d):
-    """Seeds and what turns them into a third list: neighbours by vector number."""
-    seeds = search.semantic_search(vectors(s, d), query_vector(s, d), min_score=-2, top_n=5).select("_key", "score")
-    related = seeds.select(F.col("_key").alias("seed"), F.explode(F.array(F.lit(1), F.lit(2))).alias("position")).select("seed", (F.col("seed").cast("int") + F.col("position")).cast("string").alias("_key"), "position")
-    return hybrid.graph_candidates(seeds, related)
-
-
-query("HYB-05", f"""WITH {VECTORS}, {ASKED}, seeds AS (SELECT _key, {COS} AS s FROM vectors, asked ORDER BY s DESC, _key LIMIT 5),
-c AS (SELECT _key, s, 0 AS p FROM seeds UNION ALL SELECT (_key::INT + k)::VARCHAR, 0.8::DOUBLE * s, k FROM seeds, (SELECT unnest([1, 2]) AS k)),
-b AS (SELECT _key, max((s, -(p > 0)::INT, -p)) AS x FROM c GROUP BY _key) SELECT _key, row_number() OVER (ORDER BY x DESC, _key)::INT AS rank FROM b""")(lambda s, d: _graph_list(s, d).select("_key", F.col("rank").cast("int").alias("rank")))
-query("HYB-03")(lambda s, d: hybrid.hybrid_search(docs(s, d), vectors(s, d), ASK, query_vector(s, d), tag_list=["en"], min_score={"bm25": 0.0, "semantic": 0.0}, graph=_graph_list(s, d)).select("_key", F.round("hybrid_score", 9).alias("hybrid_score")))
 query("HYB-08", "SELECT 'documents/' || doc_id AS _from, 'related_topics/' || (doc_id % 3) AS _to, 'RELATED' AS type FROM documents")(
     lambda s, d: graph.new_edges(table(s, d, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("_from"), F.concat(F.lit("related_topics/"), F.col("doc_id") % 3).alias("_to")), "RELATED").select("_from", "_to", "type")
 )

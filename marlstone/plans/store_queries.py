@@ -9,7 +9,7 @@ from marlstone.functions import text, vector
 from marlstone.operators import chunk, extract, glossary, graph, hybrid, ivf, memory, search, store, tables
 from marlstone.plans import api
 from marlstone.plans.content_queries import INTER, TABLES, _tables
-from marlstone.plans.core_queries import COS, NATIONS, PAIRS, _changes, _nations, rounded
+from marlstone.plans.core_queries import COS, NATIONS, PAIRS, _changes, _nations, fused_sql, ranked_lists, rounded, text_list, vector_list
 from marlstone.plans.fixtures import ASKED, DOCS, PLACES, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, vectors
 from marlstone.sources import files
 from marlstone.sources.shared import scratch
@@ -309,9 +309,8 @@ def _repository(s, d):
 query("TWN-01", f"WITH {VECTORS}, {ASKED}, {HITS} SELECT b.text AS question, round(score, 6) AS score FROM hits JOIN benchmark b ON b.item_id::VARCHAR = _key WHERE score >= 0.0 ORDER BY hits.score DESC, _key LIMIT 5")(
     lambda s, d: rounded(search.semantic_search(vectors(s, d).join(table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("_key"), F.col("text").alias("question")), "_key"), query_vector(s, d), min_score=0.0, top_n=5).select("question", "score"), "score")
 )
-_rank = lambda n: f"l{n} AS (SELECT _key, row_number() OVER (ORDER BY {COS} DESC, _key) AS r FROM vectors, asked WHERE vec_id % {n} = 0 QUALIFY r <= 8)"
-query("TWN-02", f"WITH {VECTORS}, {ASKED}, {_rank(2)}, {_rank(3)} SELECT _key, round(0.5::DOUBLE / (60 + coalesce(l2.r, 9)) + 0.5::DOUBLE / (60 + coalesce(l3.r, 9)), 9) AS hybrid_score FROM l2 FULL JOIN l3 USING (_key)")(
-    lambda s, d: rounded(hybrid.fuse({n: hybrid.ranked(search.semantic_search(vectors(s, d), query_vector(s, d), filter_expr=f"vec_id % {m} = 0", min_score=-2, top_n=8)) for n, m in (("bm25", 2), ("semantic", 3))}, hybrid.scaled(None)).select("_key", "hybrid_score"), "hybrid_score", digits=9)
+query("TWN-02", f"WITH {DOCS}, {VECTORS}, {ASKED}, {ranked_lists(8)} SELECT _key, round({fused_sql(bm=0.5, sem=0.5)}, 9) AS hybrid_score FROM bm FULL JOIN sem USING (_key)")(
+    lambda s, d: rounded(hybrid.fuse({"bm25": text_list(s, d, 8), "semantic": vector_list(s, d, 8)}, hybrid.scaled(None)).select("_key", "hybrid_score"), "hybrid_score", digits=9)
 )
 query("TWN-03", f"WITH {PAIRS} SELECT conv_id || '-' || turn AS _key, length('User: ' || u || chr(10) || 'Agent: ' || a)::INT AS size FROM x")(lambda s, d: memory.memories(table(s, d, "conversations")).select("_key", F.length("content").alias("size")))
 query("TWN-04", "SELECT conv_id || '-' || turn AS _key, role AS message_type FROM conversations WHERE conv_id = 4 AND turn = 2")(lambda s, d: store.get(memory.messages(table(s, d, "conversations")), "4-2").select("_key", "message_type"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,13 +20,35 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """Where this application's tables stand in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/marlstone-{spark.sparkContext.applicationId}/library"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below the application's."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back; it outlives any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the library has written to the shared folder for this application; what was not read yet can't be read after it."""
+    delete(spark, application_dir(spark))
+
+
+def source_version(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files of a table; it changes when they do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.unix_micros("modificationTime").alias("at")).collect()
+    return hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()
