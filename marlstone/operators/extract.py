@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import count_tokens, section_title
+from marlstone.operators.html import elements
 
 #: File extensions and their languages.
 LANGUAGES = {
@@ -179,13 +180,14 @@ def html_headings(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def html_code(df: DataFrame, id_col: str, html_col: str, selector: str = "pre") -> DataFrame:
-    """Elements of a tag with the text of all headings before them: (id, position, code, headings)."""
-    parts = F.split(html_col, rf"(?i)<{selector}\b[^>]*>")
-    each = df.select(F.col(id_col).alias("id"), parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))).alias("position")).filter(F.size("parts") > F.col("position"))
-    before = F.array_join(F.slice("parts", F.lit(1), F.col("position")), " ")
-    heads = F.transform(F.regexp_extract_all(before, F.lit(r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"), F.lit(0)), html_text)
-    code = F.get(F.split(F.get("parts", F.col("position")), rf"(?i)</{selector}\s*>"), F.lit(0))
-    return each.select("id", F.col("position").cast("long").alias("position"), html_text(code).alias("code"), heads.alias("headings"), F.lit(selector).alias("html_selector"))
+    """Elements that a CSS selector meets, with the text of all headings before them: (id, position, code, headings, html_selector).
+
+    Headings are listed once for a page, and each element takes the first of them.
+    """
+    heads = elements(df, id_col, html_col, ["h1, h2, h3, h4, h5, h6"]).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda h: h["code"]).alias("all"))
+    found = elements(df, id_col, html_col, [selector]).join(heads, "id", "left")
+    own = F.slice(F.coalesce("all", F.array().cast("array<string>")), F.lit(1), F.col("n_headings").cast("int"))
+    return found.select("id", "position", "code", own.alias("headings"), "html_selector")
 
 
 def task_files(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.functions.fuzzy import fuzzy_ratio
-from marlstone.operators import batch, chunk, extract, glossary, memory, tables
+from marlstone.operators import batch, chunk, extract, glossary, html, memory, tables
 from marlstone.plans.fixtures import table
 from marlstone.streaming import ingest
 
@@ -69,7 +69,7 @@ query("EXT-04", r"""WITH h AS (SELECT page_id AS id, unnest(regexp_extract_all(h
 SELECT id, position, regexp_extract(h, '(?i)^<h([1-6])', 1)::INT AS level, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS title FROM h""")(
     lambda s, d: extract.html_headings(table(s, d, "pages"), "page_id", "html")
 )
-query("SRC-16")(lambda s, d: extract.html_code(table(s, d, "pages"), "page_id", "html", "p").select("id", "position", "code", "html_selector"))
+query("SRC-16")(lambda s, d: html.elements(table(s, d, "pages"), "page_id", "html", ["article p", "nav > ul > li a[href]", "pre, code", "div.ad"]))
 query("SRC-19", "SELECT page_id, regexp_matches(lower(html), 'react|vue|angular|next\\.js|nuxt') AS framework FROM pages".replace("\\\\", "\\"))(lambda s, d: table(s, d, "pages").select("page_id", F.lower("html").rlike(r"react|vue|angular|next\.js|nuxt").alias("framework")))
 query("EXT-09", "SELECT page_id, CASE regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) WHEN 'html' THEN 'html' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'php' THEN 'php' END AS language FROM pages WHERE regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) IN ('', 'html', 'py', 'js', 'php')".replace("\\\\", "\\"))(
     lambda s, d: table(s, d, "pages").withColumn("e", text.extension(F.col("url"))).filter(F.col("e").isin("", "html", "py", "js", "php")).select("page_id", extract.language(F.col("e")).alias("language"))

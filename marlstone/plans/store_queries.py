@@ -80,9 +80,9 @@ query("SRC-25", "SELECT 'lang=' || lang AS folder, sum(1 + length(text) - length
 @query("SRC-18", "SELECT page_id, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>', 0))::BIGINT AS headings FROM pages WHERE regexp_matches(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')")
 def _html_files(s, d):
     path = scratch(s, "html")
-    table(s, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    pages = files.texts(s, path).select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "content")
-    return extract.html_headings(pages, "page_id", "content").groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("headings"))
+    # rows of pages, many to a file
+    table(s, d, "pages").select("page_id", "html").write.json(path)
+    return extract.html_headings(s.read.schema("page_id long, html string").json(path), "page_id", "html").groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("headings"))
 
 
 query("SRC-23", f"WITH {TABLES}, s AS (SELECT number, accuracy, (70.0 + number % 25)::DOUBLE AS other FROM t) SELECT number, CASE WHEN accuracy >= 80 OR accuracy >= other THEN 'lattice' ELSE 'stream' END AS flavor, CASE WHEN accuracy >= 80 THEN accuracy ELSE greatest(accuracy, other) END AS accuracy FROM s")(
