@@ -177,8 +177,13 @@ def _rebuilt(s, d):
     return rounded(search.search_view(*views.ensure("docs", rows, ["title"]), "the la"), "score")
 
 
+def _index(s, d):
+    """The stored vector index, built when it is first asked for."""
+    return ivf.stored(vectors(s, d), f"{d}/embeddings.parquet")
+
+
 query("DDL-08", "SELECT count(*) AS rows, count(DISTINCT vec_id) AS keys FROM embeddings WHERE len(embedding) > 0")(
-    lambda s, d: ivf.build(vectors(s, d)).rows.agg(F.count("*").alias("rows"), F.countDistinct("_key").alias("keys"))
+    lambda s, d: (index := _index(s, d)).rows.join(index.codes, "_row").agg(F.count("*").alias("rows"), F.countDistinct("_key").alias("keys"))
 )
 query("DDL-09", f"WITH {PLACES} SELECT _key, _from, _to FROM edges WHERE split_part(_from, '/', 1) = 'region' AND split_part(_to, '/', 1) = 'nation'")(
     lambda s, d: graph.GraphDef("places", place_edges(s, d), ["region"], ["nation"]).checked().select("_key", "_from", "_to")
@@ -206,9 +211,9 @@ query("PRJ-02", f"WITH {DOCS}, {VECTORS}, {ASKED}, {HITS} SELECT d._key, d._id,
 query("VEC-01", f"WITH {VECTORS}, {ASKED} SELECT _key, round({COS}, 6) AS score FROM vectors, asked WHERE label >= 2 AND {COS} >= 0.05 ORDER BY {COS} DESC, _key LIMIT 8")(
     lambda s, d: rounded(api.handle(_registry(s, d), "semantic", collection="vectors", query=query_vector(s, d), filter_expr="label >= 2", min_score=0.05, top_n=8).select("_key", "score"), "score")
 )
-query("VEC-04")(lambda s, d: rounded(ivf.nearest(ivf.build(vectors(s, d)), query_vector(s, d)).select("_key", "score"), "score"))
+query("VEC-04")(lambda s, d: rounded(ivf.nearest(_index(s, d), query_vector(s, d)).select("_key", "score"), "score"))
 query("VEC-04-all", f"WITH {VECTORS}, {ASKED} SELECT _key, round({COS}, 6) AS score FROM vectors, asked ORDER BY {COS} DESC, _key LIMIT 10")(
-    lambda s, d: rounded(ivf.nearest(ivf.build(vectors(s, d)), query_vector(s, d), probes=ivf.LISTS).select("_key", "score"), "score")
+    lambda s, d: rounded(ivf.nearest(_index(s, d), query_vector(s, d), exact=True).select("_key", "score"), "score")
 )
 query("VEC-07", f"WITH {VECTORS}, {ASKED} SELECT _key, round({COS}, 6) AS score FROM vectors, asked ORDER BY {COS} DESC, _key LIMIT 6")(
     lambda s, d: rounded(ivf.search_or_exact(vectors(s, d), None, query_vector(s, d), 6).select("_key", "score"), "score")

@@ -1,5 +1,6 @@
 """Index, keyword search, similarity, table chains, retries and nested texts, against results worked out by hand or by brute force."""
 
+import os
 import random
 import re
 
@@ -17,12 +18,22 @@ def test_index_recall_and_fallback(spark):
     points = rng.normal(size=(3000, 32))
     df = spark.createDataFrame([(str(i), p.tolist()) for i, p in enumerate(points)], "_key string, embedding array<double>").cache()
     index = ivf.build(df)
-    assert index.rows.count() == 3000
+    assert index.n == index.rows.count() == index.codes.count() == 3000 and 40 < len(index.centroids) < 70
     queries = points[::300].tolist()
-    assert ivf.recall(df, index, queries) >= 0.9 and ivf.recall(df, index, queries[:3], probes=ivf.LISTS) == 1
+    assert ivf.recall(df, index, queries) >= 0.9 and ivf.share_read(index) <= 0.3
+    nearest = [r._key for r in ivf.nearest(index, queries[1], exact=True).collect()]
+    assert nearest == [r._key for r in search.semantic_search(df, queries[1], min_score=-2.0).collect()]
     exact = [r._key for r in search.semantic_search(df, queries[0], min_score=-2.0).collect()]
     assert [r._key for r in ivf.search_or_exact(df, None, queries[0]).collect()] == exact
-    assert ivf.build(df.limit(2)) is None and ivf.search_or_exact(df, index, [1.0, 2.0]).count() == 0
+    assert ivf.build(df.limit(2)) is None and len(ivf.build(df.limit(3)).centroids) <= 3 and ivf.build(df, lists=5).n == 3000 and ivf.search_or_exact(df, index, [1.0, 2.0]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_index_of_the_given_vectors_reads_a_tenth(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("_key", F.col("vec_id").cast("string"))
+    index = ivf.build(df)
+    queries = [r.embedding for r in df.filter("vec_id % 100 = 0").select("embedding").collect()]
+    assert ivf.recall(df, index, queries) >= 0.9 and ivf.share_read(index) < 0.1
 
 
 def test_keyword_search_equals_brute_force(spark):
