@@ -24,17 +24,26 @@ def edges(tasks: DataFrame) -> DataFrame:
 
 
 def depths(tasks: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
-    """(task_id, depth): the longest chain of dependencies, walked without coming back to a task; at most ``most`` + 1."""
-    links = edges(tasks)
-    walks = tasks.select("task_id", F.col("task_id").alias("at"), F.array("task_id").alias("seen"))
-    found = walks.select("task_id", F.lit(0).alias("depth"))
-    for depth in range(1, most + 2):
-        walks = walks.join(links.select(F.col("task_id").alias("at"), "dependency"), "at").filter(~F.array_contains("seen", F.col("dependency")))
-        walks = walks.select("task_id", F.col("dependency").alias("at"), F.array_append("seen", F.col("dependency")).alias("seen"))
-        if walks.isEmpty():
+    """(task_id, depth): the longest chain of dependencies below a task; null on a circle, behind one, and beyond ``most`` + 1.
+
+    Tasks are peeled off level by level: a level lacks nothing but what the levels
+    before it gave. What is still lacking is written after each level, so that a
+    level costs its own edges, however many paths lead to it.
+    """
+    links = written(edges(tasks), "links")
+    lacks = links.groupBy("task_id").agg(F.count("*").alias("lacks"))
+    nodes = tasks.select("task_id").union(links.select("dependency")).distinct().join(lacks, "task_id", "left")
+    state = written(nodes.select("task_id", F.coalesce("lacks", F.lit(0)).cast("long").alias("lacks")), "state")
+    found = []
+    for depth in range(most + 2):
+        level = state.filter("lacks = 0").select("task_id")
+        if level.isEmpty():
             break
-        found = found.unionByName(walks.select("task_id", F.lit(depth).alias("depth")).distinct())
-    return found.groupBy("task_id").agg(F.max("depth").alias("depth"))
+        found.append(level.withColumn("depth", F.lit(depth)))
+        given = links.join(level.withColumnRenamed("task_id", "dependency"), "dependency").select("task_id", F.lit(-1).cast("long").alias("lacks"))
+        state = written(state.filter("lacks > 0").unionByName(given).groupBy("task_id").agg(F.sum("lacks").alias("lacks")), "state")
+    none = tasks.sparkSession.createDataFrame([], f"task_id {dict(tasks.dtypes)['task_id']}, depth int")
+    return tasks.select("task_id").distinct().join(reduce(DataFrame.unionByName, found, none), "task_id", "left")
 
 
 def substitute(question: Column, results: Column) -> Column:

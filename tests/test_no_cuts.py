@@ -44,3 +44,18 @@ def test_long_fence_languages(spark):
 def test_pages_beyond_a_thousand(spark):
     df = spark.range(3000).select(F.format_string("%04d", "id").alias("_key"), F.lit("same words").alias("content"))
     assert [r._key for r in search.bm25_search(df, "same", ["content"], min_score=0.0, top_n=1000, offset=2000).select("_key").collect()] == [f"{i:04d}" for i in range(2000, 3000)]
+
+
+def test_depths_of_many_paths_and_of_circles(spark):
+    # a ladder of diamonds: a path for each choice at each of them
+    rows = [("0", [])]
+    for i in range(0, 40, 2):
+        rows += [(f"{i + 1}a", [f"{i}"]), (f"{i + 1}b", [f"{i}"]), (f"{i + 2}", [f"{i + 1}a", f"{i + 1}b", f"{i}"])]
+    rows += [("x", ["y"]), ("y", ["x", "0"]), ("behind", ["x", "4"]), ("odd", ["elsewhere", "2", "2"])]
+    tasks = spark.createDataFrame(rows, "task_id string, dependencies array<string>")
+    got = {r.task_id: r.depth for r in batch.depths(tasks, 40).collect()}
+    assert len(got) == len(rows) and all(got[str(i)] == i for i in range(0, 41, 2)) and all(got[f"{i}b"] == i for i in range(1, 40, 2))
+    assert got["x"] is got["y"] is got["behind"] is None and got["odd"] == 3
+    near = {r.task_id: r.depth for r in batch.depths(tasks, 5).collect()}
+    assert near["6"] == 6 and near["4"] == 4 and near["7a"] is None
+    assert batch.depths(tasks.limit(0)).collect() == []
