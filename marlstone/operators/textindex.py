@@ -89,13 +89,10 @@ def _write_segment(df: DataFrame, fields: Sequence[str], path: str, buckets: int
     counted = lists.select("doc", "field", "length", F.explode("words").alias("term"), F.shiftright("doc", CHUNK_BITS).alias("chunk"))
     counted = counted.groupBy("term", "field", "chunk", "doc").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
     place = F.row_number().over(Window.partitionBy("term", "field", "chunk").orderBy("doc")) - 1
-    posting = F.struct(F.col("doc"), "tf", "length")
-    blocks = counted.withColumn("block", F.floor(place / BLOCK)).groupBy("term", "field", "chunk", "block").agg(F.array_sort(F.collect_list(posting)).alias("p"))
-    first = F.get("p.doc", F.lit(0))
-    blocks = blocks.select(
-        "term", "field", first.alias("first"), F.array_max("p.doc").alias("last"), F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.length").alias("min_length"),
-        F.transform("p.doc", lambda d: (d - first).cast("int")).alias("apart"), F.col("p.tf").alias("tf"), F.col("p.length").alias("length"),
+    of_block = counted.withColumn("block", F.floor(place / BLOCK)).groupBy("term", "field", "chunk", "block").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sort_array(F.collect_list(F.struct("doc", "tf", "length"))).alias("p")
     )
+    blocks = of_block.select("term", "field", "first", "last", "n", "max_tf", "min_length", F.transform("p.doc", lambda d: (d - F.col("first")).cast("int")).alias("apart"), F.col("p.tf").alias("tf"), F.col("p.length").alias("length"))
     blocks.write.parquet(f"{path}/unsorted")
     blocks = spark.read.parquet(f"{path}/unsorted")
     if buckets is None:
