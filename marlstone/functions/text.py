@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import jsons
+
 #: Words of letters, digits and underscores in any script.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -87,8 +89,8 @@ def lesson_key(role: Column, category: Column, identifier: Column) -> Column:
 
 
 def first_json(text: Column) -> Column:
-    """The first braces or brackets of a text as a variant, null where they hold no JSON."""
-    return F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1))
+    """The first object or array of a text as a variant, repaired where none is whole; null where there is none."""
+    return F.try_parse_json(jsons.first_json(text))
 
 
 def truncate_value(text: Column, limit: int = 100) -> Column:
