@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,29 +35,56 @@ def terms_in_order(known: DataFrame) -> DataFrame:
     return known.orderBy("term_lower")
 
 
-def _places(text: str, patterns: Sequence[tuple[str, re.Pattern]]) -> list[tuple[str, int, int]]:
-    """Matches of the longest terms first; a place that a longer one took is not matched again."""
-    taken, out = bytearray(len(text)), []
-    for term, pattern in patterns:
-        for m in pattern.finditer(text):
-            if not any(taken[m.start() : m.end()]):
-                taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-                out.append((term, m.start(), m.end()))
-    return sorted(out, key=lambda x: x[1])
+def _low(text: str) -> str:
+    """Lower case, each character for itself, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+class Finder:
+    """An automaton of all terms: one pass over a text, however many there are."""
+
+    def __init__(self, terms: Sequence[str]):
+        self.ordered = sorted((t for t in dict.fromkeys(terms) if t), key=lambda t: (-len(t), t))
+        self.automaton = ahocorasick.Automaton()
+        for rank, term in enumerate(self.ordered):
+            if (low := _low(term)) not in self.automaton:
+                self.automaton.add_word(low, rank)
+        if self.ordered:
+            self.automaton.make_automaton()
+
+    def places(self, text: str) -> list[tuple[str, int, int]]:
+        """Matches of whole words, the longest first; what overlaps a longer one, or an earlier one of equal length, is none."""
+        if not self.ordered:
+            return []
+        inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        found = []
+        for last, rank in self.automaton.iter(_low(text)):
+            begin, stop = last + 1 - len(self.ordered[rank]), last + 1
+            if not inside(begin - 1) and not inside(stop):
+                found.append((rank, begin, stop))
+        taken, out = bytearray(len(text)), []
+        for rank, begin, stop in sorted(found):
+            # what is shorter than all that is placed overlaps one of them only with an end
+            if not taken[begin] and not taken[stop - 1]:
+                taken[begin:stop] = b"\x01" * (stop - begin)
+                out.append((self.ordered[rank], begin, stop))
+        return sorted(out, key=lambda x: x[1])
 
 
 def find_terms(df: DataFrame, terms: Sequence[str], text_col: str = "text", limit: int | None = None) -> Column:
     """A column with the matches of ``terms`` in the whole text, or in its first ``limit`` characters, in order of place.
 
-    The terms are a glossary, small and part of the function that is sent out.
+    The terms are a glossary: they are part of the function that is sent out, and
+    a task makes its automaton once.
     """
-    ordered = sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t))
+    own = list(terms)
 
     @F.pandas_udf(MATCHES)
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        patterns = [(t, re.compile(rf"(?<!\w){re.escape(t)}(?!\w)", re.IGNORECASE)) for t in ordered]
+        finder = Finder(own)
         for batch in batches:
-            found = [[{"term": t, "begin": a, "stop": b} for t, a, b in _places((text or "")[:limit], patterns)] for text in batch]
+            found = [[{"term": t, "begin": a, "stop": b} for t, a, b in finder.places((text or "")[:limit])] for text in batch]
             yield pd.Series(found, dtype=object)
 
     return matches(F.col(text_col))
@@ -71,15 +98,23 @@ def unique_terms(matches: Column, top_n: int | None = None) -> Column:
 
 
 def highlight(text: Column, matches: Column, begin: str = "**", stop: str = "**", limit: int | None = None) -> Column:
-    """The text (its first ``limit`` characters, if that is given) with marks around the matches."""
-
-    def step(state: Column, m: Column) -> Column:
-        piece = F.concat(F.substring(text, state["at"] + 1, m["begin"] - state["at"]), F.lit(begin), F.substring(text, m["begin"] + 1, m["stop"] - m["begin"]), F.lit(stop))
-        return F.struct(m["stop"].alias("at"), F.concat(state["out"], piece).alias("out"))
-
-    whole = F.length(text) if limit is None else F.least(F.length(text), F.lit(limit))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(matches, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, whole - s["at"])))
+    """The text (its first ``limit`` characters, if that is given) with marks around the matches; pieces are joined once."""
+
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for own, places in zip(texts, found, strict=True):
+            if own is None:
+                out.append(None)
+                continue
+            own, at, pieces = own[:limit], 0, []
+            for m in places if places is not None else ():
+                pieces += [own[at : m["begin"]], begin, own[m["begin"] : m["stop"]], stop]
+                at = m["stop"]
+            out.append("".join([*pieces, own[at:]]))
+        return pd.Series(out, dtype=object)
+
+    return marked(text, matches)
 
 
 def create(spark: SparkSession, terms: DataFrame, known: DataFrame | None = None, truncate: bool = False) -> DataFrame:

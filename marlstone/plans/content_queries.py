@@ -90,7 +90,12 @@ query("FN-sanitize", "SELECT page_id, regexp_replace(replace(replace(replace(rep
 
 TERMS = ["the", "that", "thation", "eren", "and", "inder"]
 query("TXT-09", "SELECT doc_id, array_to_string(list_filter(['and', 'eren', 'inder', 'that', 'thation', 'the'], lambda t: regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || t || '($|[^\\p{L}\\p{N}_])')), ',') AS terms FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.array_join(glossary.unique_terms(glossary.find_terms(_docs(s, d), TERMS)), ",").alias("terms")))
-query("TXT-10")(lambda s, d: _docs(s, d).select("doc_id", "text", glossary.find_terms(_docs(s, d), TERMS).alias("m")).select("doc_id", F.sha2(glossary.highlight(F.col("text"), F.col("m")), 256).alias("marked")))
+def marked_sql(terms) -> str:
+    """A text's runs of letters and of other characters, those that are a term with marks around them."""
+    return "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda x: CASE WHEN lower(x) IN (" + ", ".join(f"'{t}'" for t in terms) + ") THEN '**' || x || '**' ELSE x END)"
+
+
+query("TXT-10", f"SELECT doc_id, sha256(array_to_string({marked_sql(TERMS)}, '')) AS marked FROM documents")(lambda s, d: _docs(s, d).select("doc_id", "text", glossary.find_terms(_docs(s, d), TERMS).alias("m")).select("doc_id", F.sha2(glossary.highlight(F.col("text"), F.col("m")), 256).alias("marked")))
 query("TXT-12", "SELECT p_type AS term, lower(p_type) AS term_lower, count(*) AS n FROM part GROUP BY p_type ORDER BY term_lower")(
     lambda s, d: glossary.terms_in_order(table(s, d, "part").groupBy(F.col("p_type").alias("term")).agg(F.count("*").alias("n")).select("term", F.lower("term").alias("term_lower"), "n"))
 )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import images, text, vector
 from marlstone.functions.stem import stems
 from marlstone.operators import batch, chunk, code, extract, glossary, graph, hybrid, memory, search, store, tables
-from marlstone.plans.content_queries import TABLES, _tables
+from marlstone.plans.content_queries import TABLES, _tables, marked_sql
 from marlstone.plans.core_queries import ASK, COS, FIELDS, GRAPH_LIST, PAIRS, TERMS, fused_sql, graph_list, ranked_lists, text_list, vector_list
 from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, turn_edges, vectors
 
@@ -53,7 +53,7 @@ query("TXT-05", "SELECT item_id::VARCHAR AS _key, 1.0::DOUBLE AS keyword_score F
 )
 query("DDL-07")(lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(stems(text.tokens("text")), " ").alias("stems")))
 query("TXT-11", "SELECT item_id, len(list_filter(['the', 'and', 'eren'], lambda t: regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || t || '($|[^\\p{L}\\p{N}_])')))::INT AS terms FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", F.size(glossary.unique_terms(glossary.find_terms(table(s, d, "benchmark"), ["the", "and", "eren"]))).alias("terms")))
-query("TXT-17", None)(lambda s, d: (b := table(s, d, "benchmark")).select("item_id", "text", glossary.find_terms(b, ["the", "and", "eren"]).alias("m")).select("item_id", glossary.highlight(F.col("text"), F.col("m")).alias("marked"), F.size("m").alias("n")))
+query("TXT-17", f"SELECT item_id, array_to_string({marked_sql(['the', 'and', 'eren'])}, '') AS marked, len(list_filter({marked_sql(['the', 'and', 'eren'])}, lambda x: starts_with(x, '**') AND length(x) > 4 AND x[3] <> '*'))::INT AS n FROM benchmark")(lambda s, d: (b := table(s, d, "benchmark")).select("item_id", "text", glossary.find_terms(b, ["the", "and", "eren"]).alias("m")).select("item_id", glossary.highlight(F.col("text"), F.col("m")).alias("marked"), F.size("m").alias("n")))
 query("TXT-16", "SELECT 13::BIGINT AS terms")(lambda s, d: glossary.glossary(s).agg(F.count("*").alias("terms")))
 query("VEC-12", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda s, d: rounded(vectors(s, d).alias("a").join(vectors(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", vector.cosine(F.col("embedding"), F.col("e2")).alias("score")), "score")
