@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import zlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import textindex
@@ -62,6 +66,24 @@ def turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("_key"), ident(F.col("turn")).alias("_from"), ident(F.col("_next")).alias("_to"), F.lit("NEXT").alias("type"))
 
 
+def as_pdf(text: Column) -> Column:
+    """Texts as PDF files."""
+    return F.pandas_udf(lambda batch: pd.Series([simple_pdf(t or "") for t in batch], dtype=object), "binary")(text)
+
+
+def simple_pdf(text: str, lines: int = 50) -> bytes:
+    """A PDF file of a text in Latin letters, ``lines`` to a page."""
+    rows = text.rstrip("\n").split("\n")
+    parts = [rows[i : i + lines] for i in range(0, len(rows), lines)]
+    escaped = lambda row: re.sub(rb"([\\()])", rb"\\\1", row.encode("cp1252", "replace"))
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(parts))) + b"] /Count %d >>" % len(parts), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, part in enumerate(parts):
+        shown = zlib.compress(b"BT /F1 10 Tf 12 TL 50 780 Td " + b" ".join(b"(%s) Tj T*" % escaped(row) for row in part) + b" ET")
+        bodies.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i))
+        bodies.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(shown), shown))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in enumerate(bodies, 1)) + b"trailer << /Root 1 0 R >>\n"
+
+
 DOCS = """docs AS (
     SELECT cast(d.doc_id AS VARCHAR) AS _key, 'documents/' || d.doc_id AS _id, split_part(d.text, chr(10), 1) AS title, d.text AS content,
            list_filter([d.lang, d.source, 'q' || l.quality, 'tox' || l.toxic], lambda x: x IS NOT NULL) AS tags, d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic

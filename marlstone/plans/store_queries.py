@@ -10,8 +10,8 @@ from marlstone.operators import chunk, extract, glossary, graph, hybrid, ivf, me
 from marlstone.plans import api
 from marlstone.plans.content_queries import INTER, TABLES, _tables
 from marlstone.plans.core_queries import COS, NATIONS, PAIRS, _changes, _nations, fused_sql, ranked_lists, rounded, text_list, vector_list
-from marlstone.plans.fixtures import ASKED, DOCS, PLACES, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, vectors
-from marlstone.sources import files
+from marlstone.plans.fixtures import ASKED, DOCS, PLACES, VECTORS, as_pdf, bm25_sql, docs, place_edges, plain_docs, query_vector, table, vectors
+from marlstone.sources import files, pdf
 from marlstone.sources.shared import scratch
 
 QUERIES: dict = {}
@@ -85,6 +85,9 @@ def _html_files(s, d):
     return extract.html_headings(s.read.schema("page_id long, html string").json(path), "page_id", "html").groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("headings"))
 
 
+query("SRC-22", "SELECT item_id AS id, 1::INT AS pages, text FROM benchmark")(
+    lambda s, d: pdf.elements(table(s, d, "benchmark").select("item_id", as_pdf(F.col("text")).alias("file")), "item_id", "file").groupBy("id").agg(F.max("page").alias("pages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "block", "text"))), lambda b: b["text"]), "\n").alias("text"))
+)
 query("SRC-23", f"WITH {TABLES}, s AS (SELECT number, accuracy, (70.0 + number % 25)::DOUBLE AS other FROM t) SELECT number, CASE WHEN accuracy >= 80 OR accuracy >= other THEN 'lattice' ELSE 'stream' END AS flavor, CASE WHEN accuracy >= 80 THEN accuracy ELSE greatest(accuracy, other) END AS accuracy FROM s")(
     lambda s, d: tables.best_flavor((t := _tables(s, d).select("doc", "page", "number", "accuracy")), t.withColumn("accuracy", (F.lit(70.0) + F.col("number") % 25).cast("double"))).select("number", "flavor", "accuracy")
 )
