@@ -48,26 +48,6 @@ def metadata(code: Column | str) -> Column:
     return F.pandas_udf(_described, METADATA)(code)
 
 
-#: How functions are declared; the groups are the name and the parameters.
-DECLARATIONS = {
-    "javascript": r"(?:function\s+|(?:const|let|var)\s+)([A-Za-z_$][\w$]*)\s*(?:=\s*(?:async\s*)?)?\(([^)]*)\)",
-    "java": r"(?:public|private|protected|static|final|\s)+[\w<>\[\]]+\s+(\w+)\s*\(([^)]*)\)\s*\{",
-    "go": r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)",
-    "rust": r"fn\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)\)",
-    "c": r"\b[A-Za-z_]\w*[\s*]+(\w+)\s*\(([^)]*)\)\s*\{",
-    "python": r"def\s+(\w+)\s*\(([^)]*)\)",
-}
-
-
-def functions_in(text: Column, language: str) -> Column:
-    """(name, parameters) of the functions that a piece of code in that language declares, in order; empty for an unknown language."""
-    if language not in DECLARATIONS:
-        return F.array().cast("array<struct<name:string,parameters:array<string>>>")
-    names, inner = (F.regexp_extract_all(text, F.lit(DECLARATIONS[language]), F.lit(i)) for i in (1, 2))
-    parts = lambda p: F.filter(F.transform(F.split(p, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.zip_with(names, inner, lambda n, p: F.struct(n.alias("name"), parts(p).alias("parameters")))
-
-
 def parameter(text: Column) -> Column:
     """(name, type, default) of a parameter such as ``x: int = 5``; what is not given is null."""
     found = lambda i: F.nullif(F.trim(F.regexp_extract(text, r"^\s*\**([A-Za-z_]\w*)\s*(?::([^=]+))?(?:=(.*))?$", i)), F.lit(""))

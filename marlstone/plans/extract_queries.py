@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import images, text
-from marlstone.operators import batch, chunk, code, extract, memory, store, tables
+from marlstone.operators import batch, chunk, code, declared, extract, memory, store, tables
 from marlstone.plans.content_queries import QUALITY, TABLES, _chain, _docs, _tables
 from marlstone.plans.fixtures import table
 
@@ -53,11 +53,17 @@ def _declared(s, d):
     out = None
     for lang, body in CODE.items():
         before, after = body.format("\0").split("\0")
-        found = _nation(s, d, before, "$n_nationkey", after).select(F.lit(lang).alias("language"), F.inline(code.functions_in(F.col("t"), lang))).withColumn("parameters", F.array_join("parameters", "|"))
+        found = _nation(s, d, before, "$n_nationkey", after).select(F.lit(lang).alias("language"), F.inline(declared.functions_in(F.col("t"), lang))).withColumn("parameters", F.array_join("parameters", "|"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+query("EXT-08-comments", """SELECT 'f' || doc_id AS name, 'a|b = "(,)"' AS parameters, doc_id % 7 AS depth FROM documents""")(
+    # a text as a comment before a function, in as many blocks
+    lambda s, d: table(s, d, "documents")
+    .select(declared.declared(F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" function no() {} */\n"), F.repeat(F.lit("{ "), (F.col("doc_id") % 7).cast("int")), F.lit("function f"), "doc_id", F.lit('(a, // no(\n b = "(,)") {')), "javascript")[0].alias("f"))
+    .select("f.name", F.array_join("f.shown", "|").alias("parameters"), F.col("f.depth").cast("long").alias("depth"))
+)
 query("EXT-47", "SELECT n_nationkey, 'x' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'int' END AS type, CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey::VARCHAR END AS default_value FROM nation")(
     lambda s, d: table(s, d, "nation")
     .select("n_nationkey", code.parameter(F.concat(F.lit("x"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, ": int").otherwise(""), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(" = "), "n_regionkey")).otherwise(""))).alias("p"))
