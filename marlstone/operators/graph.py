@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import collection_of
+from marlstone.sources.shared import written
 
 DIRECTIONS = ("OUTBOUND", "INBOUND", "ANY")
 
@@ -37,7 +38,8 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 def traverse(edges: DataFrame, starts: DataFrame, min_depth: int = 1, max_depth: int = 1, direction: str = "OUTBOUND", unique: str = "path") -> DataFrame:
     """Walks from the vertices of ``starts`` (_id): (start, vertex, edge, depth, vertices, edges).
 
-    One join per step on the frontier's vertex. ``unique``: an edge once on a
+    One join per step on the frontier's vertex; walks of more than two steps write
+    each frontier and end where there is none. ``unique``: an edge once on a
     path ("path", the default of graph query languages), or a vertex once for a
     start at its least depth ("global", breadth first). Depth 0 is the start
     itself with a null edge. A direction or range that makes no sense gives no rows.
@@ -57,6 +59,12 @@ def traverse(edges: DataFrame, starts: DataFrame, min_depth: int = 1, max_depth:
         if unique == "global":
             first = Window.partitionBy("start", "vertex").orderBy("edges")
             paths = paths.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").join(seen, ["start", "vertex"], "left_anti").select(out.columns)
+        if depth < max_depth and max_depth > 2:
+            # a level starts from what the one before it wrote, not from the start
+            paths = written(paths, "frontier")
+            if paths.isEmpty():
+                break
+        if unique == "global":
             seen = seen.unionByName(paths.select("start", "vertex"))
         out = out.unionByName(paths)
     return out.filter(F.col("depth") >= min_depth)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,33 @@ def test_traversal(spark, chain):
     assert sorted(r.vertex for r in graph.traverse(chain, start(spark), 1, 3, "ANY", "global").collect()) == ["d/one", "d/two"]
 
 
+def test_deep_walks_equal_brute_force(spark):
+    rnd = random.Random(8)
+    links = [(f"e{i}", f"d/{rnd.randint(0, 3) if i % 4 == 0 else rnd.randint(0, 60)}", f"d/{rnd.randint(0, 60)}", "LINK") for i in range(110)]  # four hubs
+    edges = spark.createDataFrame(links, "_key string, _from string, _to string, type string")
+    starts = ["d/0", "d/17", "d/99"]
+    near = {}
+    for s in starts:
+        depth, level = {s: 0}, [s]
+        for k in range(1, 7):
+            level = sorted({b for _, a, b, _ in links if a in level} - set(depth))
+            depth |= dict.fromkeys(level, k)
+        near |= {(s, v): k for v, k in depth.items()}
+    df = spark.createDataFrame([(s,) for s in starts], "_id string")
+    assert {(r.start, r.vertex): r.depth for r in graph.traverse(edges, df, 0, 6, unique="global").collect()} == near
+
+    def walks(v, used):
+        yield tuple(used)
+        if len(used) < 4:
+            for key, a, b, _ in links:
+                if a == v and key not in used:
+                    yield from walks(b, [*used, key])
+
+    one = spark.createDataFrame([("d/17",)], "_id string")
+    assert sorted(tuple(r.edges) for r in graph.traverse(edges, one, 0, 4).collect()) == sorted(walks("d/17", []))
+    assert graph.traverse(edges, one.limit(0), 0, 9).collect() == []
+
+
 def test_edges(spark, chain):
     assert graph.relationships(chain, "d/root").count() == 2 and graph.relationships(chain, "d/root", "LINK", "OUTBOUND").count() == 1
     assert graph.without_vertex(chain, "d/root").count() == 1 and graph.without_edge(chain, "e1").count() == 2
