@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import count_tokens, section_title
+from marlstone.operators import rst
 from marlstone.operators.html import elements
 
 #: File extensions and their languages.
@@ -147,10 +148,19 @@ def image(text: Column) -> Column:
 
 
 def rst_code(text: Column) -> Column:
-    """Code of ``code-block`` directives and of literal blocks, each once, in order."""
+    """Code by indentation (``rst.blocks``), and what the pattern of directives and literal blocks finds beyond it; each once, blanks aside."""
     block = r"(?m)^(?:\.\. (?:code-block|code|sourcecode)::[^\n]*|[^\n]*::)\n(?:[ \t]+:[^\n]*\n)*\n((?:(?:[ \t]+[^\n]*)?\n?)+?)(?=^\S|\z)"
     found = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(block), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda c: F.regexp_replace(F.regexp_replace(c, r"(?m)^[ \t]{1,4}", ""), r"^\n+|\s+$", "")), lambda c: c != ""))
+    by_pattern = F.filter(F.transform(found, lambda c: F.regexp_replace(F.regexp_replace(c, r"(?m)^[ \t]{1,4}", ""), r"^\n+|\s+$", "")), lambda c: c != "")
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+
+    def united(x: Column) -> Column:
+        known = F.transform(x["tree"], bare)
+        return F.array_distinct(F.concat(x["tree"], F.filter(x["pattern"], lambda c: ~F.exists(known, lambda k: F.contains(k, bare(c))))))
+
+    # both are bound once, as the one element of an array
+    both = F.struct(F.transform(rst.blocks(text), lambda b: b["code"]).alias("tree"), by_pattern.alias("pattern"))
+    return F.get(F.transform(F.array(both), united), F.lit(0))
 
 
 def notebook_cells(df: DataFrame, id_col: str, json_col: str) -> DataFrame:

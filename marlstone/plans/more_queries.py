@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import images, text, vector
 from marlstone.functions.stem import stems
-from marlstone.operators import batch, chunk, code, extract, glossary, graph, hybrid, memory, search, store, tables
+from marlstone.operators import batch, chunk, code, extract, glossary, graph, hybrid, memory, rst, search, store, tables
 from marlstone.plans.content_queries import TABLES, _tables, marked_sql
 from marlstone.plans.core_queries import ASK, COS, FIELDS, GRAPH_LIST, PAIRS, TERMS, fused_sql, graph_list, ranked_lists, text_list, vector_list
 from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, turn_edges, vectors
@@ -144,6 +144,12 @@ query("SRC-20", "SELECT n_nationkey AS id, 1 AS cell, n_name AS code, 'about ' |
 query("SRC-21", "SELECT n_nationkey, 'x = ' || n_regionkey AS code FROM nation")(
     lambda s, d: table(s, d, "nation").select("n_nationkey", extract.rst_code(F.concat(F.lit("Text::\n\n    x = "), "n_regionkey", F.lit("\n\nEnd\n")))[0].alias("code"))
 )
+query("SRC-21-nested", r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS code FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''""")(
+    # each text as a line of code in a note in a list
+    lambda s, d: (t := table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("line")).filter("line <> ''"))
+    .select("doc_id", F.inline(rst.blocks(F.concat(F.lit("* item\n\n  .. note::\n\n     .. code-block:: text\n        :linenos:\n\n        "), "line", F.lit("\n\nEnd ")))))
+    .select("doc_id", "code")
+)
 query("EXT-24", f"WITH {TABLES} SELECT number, round(least(greatest(accuracy / 100, 0), 1), 6) AS accuracy_score, 1.0::DOUBLE AS completeness, two::INT::DOUBLE AS consistency, round((100 - whitespace) / 100, 6) AS whitespace_score FROM t")(
     lambda s, d: tables.quality(_tables(s, d)).select("number", F.round("accuracy_score", 6).alias("accuracy_score"), "completeness", "consistency", F.round("whitespace_score", 6).alias("whitespace_score"))
 )
