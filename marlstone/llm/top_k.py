@@ -37,7 +37,7 @@ SCALE, K, LISTS = 64, 20, 2
 #: Rows of a block at most, and products of a tile at most.
 QUERY_ROWS, CANDIDATE_ROWS, TILE = 16_384, 65_536, 2_000_000
 #: Blocks that small tables are dealt to, and the least rows that are worth one.
-BLOCKS, LEAST_ROWS = 48, 256
+BLOCKS, LEAST_ROWS, LEAST_QUERIES = 48, 256, 64
 #: One candidate of so many is looked at for the cutoffs.
 LOOK = 8
 NO_CUTOFF = -(2**62)
@@ -117,8 +117,8 @@ class Cell:
         return pd.concat(out, ignore_index=True)
 
 
-def _blocks(n: int, most: int, least_blocks: int) -> int:
-    return max(1, -(-n // most), min(least_blocks, n // LEAST_ROWS))
+def _blocks(n: int, most: int, least_blocks: int, least_rows: int = LEAST_ROWS) -> int:
+    return max(1, -(-n // most), min(least_blocks, n // least_rows))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, lists: int = LISTS) -> DataFrame:
@@ -132,11 +132,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", v
     kind = _kind(most, length)
     rows = materialize(good.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), packed.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")), "rows")
     asked = rows.filter("asks").select("row", "id", "x")
-    groups = _blocks(bound["queries"], QUERY_ROWS, 1)
 
-    def met(queries: DataFrame, candidates: DataFrame, n: int, schema: str, of_cell) -> DataFrame:
+    def met(queries: DataFrame, candidates: DataFrame, groups: int, blocks: int, schema: str, of_cell) -> DataFrame:
         """What a function gives of each cell of queries and candidates."""
-        blocks = _blocks(n, CANDIDATE_ROWS, BLOCKS)
         dealt = lambda col, parts: F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")
         every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
         own = queries.select("*", dealt("row", groups).alias("group"), every(blocks).alias("block"))
@@ -151,10 +149,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", v
         return own.groupBy("group", "block").cogroup(others.groupBy("group", "block")).applyInPandas(one, schema)
 
     look = rows.filter(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(LOOK)) == 0)
-    gathered = met(asked, look, bound["n"] // LOOK, "query_row long, score long", Cell.gathered)
+    # each cell gives k scores of a query: few blocks of candidates, and small tables are dealt out by their queries
+    gathered = met(asked, look, _blocks(bound["queries"], QUERY_ROWS, BLOCKS, LEAST_QUERIES), _blocks(bound["n"] // LOOK, CANDIDATE_ROWS, 1), "query_row long, score long", Cell.gathered)
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score")))
     cutoffs = gathered.withColumn("place", place).filter(F.col("place") == k).select(F.col("query_row").alias("row"), F.col("score").alias("cutoff"))
     ready = materialize(asked.join(cutoffs, "row", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NO_CUTOFF))), "queries")
-    found = met(ready, rows, bound["n"], "query_row long, query_id long, row long, id long, score long", Cell.found)
+    found = met(ready, rows, _blocks(bound["queries"], QUERY_ROWS, 1), _blocks(bound["n"], CANDIDATE_ROWS, BLOCKS), "query_row long, query_id long, row long, id long, score long", Cell.found)
     best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
