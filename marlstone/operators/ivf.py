@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import vector
 from marlstone.operators import search
-from marlstone.sources.shared import application_dir, scratch, source_version
+from marlstone.sources.shared import application_dir, exists, scratch, source_version
 
 LEAST_ROWS, SEED, WORDS, PIECE = 3, 11, 256, 4
 #: Bytes of the sample, at 8 a component.
@@ -38,8 +38,9 @@ PAGE_ROWS = 32
 
 @dataclass(frozen=True)
 class Index:
-    """Vectors and codes, their count, the centroids (of unit length), and the codewords of each piece."""
+    """The folder of an index, its vectors and codes, their count, the centroids (of unit length), and the codewords of each piece."""
 
+    path: str
     rows: DataFrame
     codes: DataFrame
     n: int
@@ -143,16 +144,16 @@ def build(df: DataFrame, lists: int | None = None, embedding_field: str = "embed
     rows = df.sparkSession.read.parquet(f"{path}/rows")
     coded = rows.select("_row", _coded(F.col(embedding_field), centroids, words).alias("c")).select("_row", "c.cell", "c.code")
     coded.repartitionByRange("cell", "_row").sortWithinPartitions("cell", "_row").write.parquet(f"{path}/codes")
-    return Index(rows, df.sparkSession.read.parquet(f"{path}/codes"), rows.count(), centroids, words)
+    return Index(path, rows, df.sparkSession.read.parquet(f"{path}/codes"), rows.count(), centroids, words)
 
 
 _KNOWN: dict[str, Index | None] = {}
 
 
 def stored(df: DataFrame, source: str, lists: int | None = None, embedding_field: str = "embedding") -> Index | None:
-    """The index of ``df``, which is read from the files of ``source``: built once for an application, and anew when files change."""
+    """The index of ``df``, which is read from the files of ``source``: built once for an application, and anew when files change or it was deleted."""
     name = hashlib.sha256("\0".join([application_dir(df.sparkSession), source_version(df.sparkSession, source), *df.columns, str(lists), embedding_field]).encode()).hexdigest()
-    if name not in _KNOWN:
+    if name not in _KNOWN or (known := _KNOWN[name]) is not None and not exists(df.sparkSession, known.path):
         _KNOWN[name] = build(df, lists, embedding_field)
     return _KNOWN[name]
 

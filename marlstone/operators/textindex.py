@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.fuzzy import fuzzy_ratio
 from marlstone.functions.text import tokens
 from marlstone.operators import search
-from marlstone.sources.shared import application_dir, delete, scratch, source_version
+from marlstone.sources.shared import application_dir, delete, exists, scratch, source_version
 
 BLOCK, CHUNK_BITS, RANGE_BITS = 128, 16, 12
 #: Ranges that are scored first, for the score that others must reach; with no more than these there is nothing to pass over.
@@ -127,9 +127,9 @@ _KNOWN: dict[str, TextIndex] = {}
 
 
 def stored(df: DataFrame, source: str, fields: Sequence[str] = search.FIELDS) -> TextIndex:
-    """The index of ``df``, which is read from the files of ``source``: built once for an application, and anew when files or fields change."""
+    """The index of ``df``, which is read from the files of ``source``: built once for an application, and anew when files or fields change or it was deleted."""
     name = hashlib.sha256("\0".join([application_dir(df.sparkSession), source_version(df.sparkSession, source), *df.columns, *fields]).encode()).hexdigest()
-    if name not in _KNOWN:
+    if name not in _KNOWN or not exists(df.sparkSession, _KNOWN[name].segments[0]):
         _KNOWN[name] = build(df, fields)
     return _KNOWN[name]
 

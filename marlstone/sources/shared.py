@@ -43,6 +43,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of any store is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that the library has written to the shared folder for this application; what was not read yet can't be read after it."""
     delete(spark, application_dir(spark))

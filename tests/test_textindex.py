@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.fuzzy import ratio
 from marlstone.operators import hybrid, search, textindex
+from marlstone.sources import shared
 
 FIELDS = ["title", "content"]
 
@@ -97,6 +98,9 @@ def test_empty_tables_and_changed_sources(spark, tmp_path):
     spark.createDataFrame([("1", "one")], "_key string, content string").write.parquet(path)
     first = textindex.stored(read(), path)
     assert textindex.stored(read(), path) is first
+    shared.delete(spark, first.segments[0])
+    assert textindex.stored(read(), path) is not first
+    first = textindex.stored(read(), path)
     spark.createDataFrame([("2", "one more")], "_key string, content string").write.mode("append").parquet(path)
     assert textindex.hits(textindex.stored(read(), path), "one", 0.0).count() == 2
     assert {r["_key"] for r in textindex.hits(first, "one", 0.0).collect()} == {"1"}
