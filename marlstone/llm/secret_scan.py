@@ -84,5 +84,6 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path_cols: list[str
     kinds = F.transform(F.array_intersect("rules", F.lit(current_rules())), lambda r: F.split_part(r, F.lit("@"), F.lit(1)))
     valid = ledger.select("blob", kinds.alias("kinds"), "findings").select("blob", F.filter("findings", lambda s: F.array_contains("kinds", s["kind"])).alias("findings"))
     of_blob = valid.groupBy("blob").agg(spans.by_start(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    found = paths.join(of_blob, "blob", "left")
+    # as a new value it is dealt out for the join, so that the paths of a blob that very many share can be split
+    found = paths.join(of_blob.select(F.substring("blob", 1, 32).alias("blob"), "findings"), "blob", "left")
     return found.select(*(F.col(i).alias(c) for c, i in zip(path_cols, inside, strict=True)), "blob", "findings")
