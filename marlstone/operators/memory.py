@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from marlstone.functions import vector
 from marlstone.functions.text import collection_of, shorten
 from marlstone.operators.graph import traverse
+from marlstone.sources.shared import written
 
-#: New memories that are compared with the known ones at once, as one matrix.
-BLOCK = 2048
+#: Vectors of a block of new and of known memories, and new ones that a product of matrices takes at once.
+ASKED, KNOWN, ROWS = 8192, 32_768, 256
 SORTABLE = ("created_at", "timestamp", "turn", "role", "_key")
 
 
@@ -88,47 +89,52 @@ def memory_edges(conversations: DataFrame) -> DataFrame:
     return pair.select(F.inline(edges))
 
 
-def _nearest(known: DataFrame, block: list[tuple[str, Sequence[float]]], threshold: float, top_n: int) -> DataFrame:
-    """(_from, _to, score): for each vector of a block the best known ones of every batch, by products of matrices."""
-    sizes = {len(v) for _, v in block}
-    groups = {n: ([k for k, v in block if len(v) == n], np.array([v for _, v in block if len(v) == n], dtype=np.float64)) for n in sizes}
-    shared = known.sparkSession.sparkContext.broadcast(groups)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1)) == 0, np.inf, size)[:, None]
-        for batch in batches:
-            lengths = batch["embedding"].map(len).to_numpy()
-            for n, (names, own) in shared.value.items():
-                part = batch[lengths == n]
-                if not len(part):
-                    continue
-                keys = part["_key"].to_numpy()
-                # rounded, so that equal vectors tie whatever the order of the sums is
-                scores = np.round(unit(own) @ unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T, 12)
-                by_key = np.argsort(keys.astype(str), kind="stable")
-                for name, row in zip(names, scores, strict=True):
-                    near = by_key[(row[by_key] > threshold) & (keys[by_key] != name)]
-                    near = near[np.argsort(-row[near], kind="stable")][:top_n]
-                    if len(near):
-                        yield pd.DataFrame({"_from": name, "_to": keys[near], "score": row[near]})
-
-    return known.select("_key", "embedding").filter("embedding IS NOT NULL").mapInPandas(compare, "_from string, _to string, score double")
+def _vectors(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """(_key, embedding, _block): vectors dealt to blocks of about ``size`` rows, and how many blocks; those that are null or hold null are left out.
+
+    Rows are numbered and written first, so that a block has the same rows whenever it is read again.
+    """
+    whole = df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    rows = written(whole.select("_key", F.col("embedding").cast("array<double>").alias("embedding"), F.monotonically_increasing_id().alias("_row")), name)
+    blocks = max(1, -(-rows.count() // size))
+    return rows.select("_key", "embedding", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int").alias("_block")), blocks
+
+
+def _nearest(asked: pd.DataFrame, known: pd.DataFrame, threshold: float, top_n: int) -> pd.DataFrame:
+    """(_from, _to, score): for each vector asked for the best of the known ones of its length, by products of matrices."""
+    unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1)) == 0, np.inf, size)[:, None]
+    known = known.sort_values("_key", kind="stable")
+    found = [pd.DataFrame({"_from": [], "_to": [], "score": []}).astype({"_from": object, "_to": object, "score": float})]
+    lengths, own_lengths = known["embedding"].map(len).to_numpy(), asked["embedding"].map(len).to_numpy()
+    for n in np.intersect1d(lengths, own_lengths):
+        part, own = known[lengths == n], asked[own_lengths == n]
+        keys, matrix = part["_key"].to_numpy(), unit(np.stack(part["embedding"].to_numpy()))
+        for low in range(0, len(own), ROWS):
+            rows = own.iloc[low : low + ROWS]
+            # rounded, so that equal vectors tie whatever the order of the sums is
+            scores = np.round(unit(np.stack(rows["embedding"].to_numpy())) @ matrix.T, 12)
+            for name, row in zip(rows["_key"], scores, strict=True):
+                near = np.flatnonzero(row > threshold)
+                near = near[keys[near] != name]
+                near = near[np.argsort(-row[near], kind="stable")][:top_n]
+                found.append(pd.DataFrame({"_from": name, "_to": keys[near], "score": row[near]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def similarity_edges(new: DataFrame, known: DataFrame, threshold: float = 0.7, strong: float = 0.85, top_n: int = 5, kind: str = "similar") -> DataFrame:
     """Edges from new memories to their nearest known ones: (_from, _to, type, score, rationale).
 
-    ``new`` is the query set. It is taken in blocks of BLOCK vectors, each sent to
-    the known ones in one pass that keeps the ``top_n`` best of every batch, so
-    what is ranked at the end is small however many pairs there are.
+    ``new`` is the query set. Both sides are dealt to blocks by the number of
+    their row, and each pair of blocks is one product of matrices in a task, which
+    keeps the ``top_n`` best of a vector; so neither side passes through the driver,
+    a block is sent once for each block of the other side, and what is ranked
+    at the end is ``top_n`` rows for a vector and block.
     """
-    new = new.select("_key", "embedding").filter("embedding IS NOT NULL")
-    blocks = max(1, -(-new.count() // BLOCK))
-    numbered = new.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-    parts = [_nearest(known, [(r._key, r.embedding) for r in numbered.filter(F.col("_block") == k).collect()], threshold, top_n) for k in range(blocks)]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    (asked, n_asked), (held, n_held) = _vectors(new, ASKED, "asked"), _vectors(known, KNOWN, "known")
+    asked = asked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1))))
+    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    cells = asked.groupBy("_block", "_other").cogroup(held.groupBy("_other", "_block"))
+    scored = cells.applyInPandas(lambda a, k: _nearest(a, k, threshold, top_n), "_from string, _to string, score double")
     best = Window.partitionBy("_from").orderBy(F.desc("score"), F.asc("_to"))
     top = scored.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top_n).drop("_n")
     name = F.when(F.col("score") > strong, f"strong_{kind}").otherwise(kind)

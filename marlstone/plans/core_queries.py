@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text, vector
 from marlstone.operators import graph, hybrid, memory, search, store, textindex
-from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, turn_edges, vectors
+from marlstone.plans.fixtures import ASKED, DOCS, PLACES, TRADE, TURNS, VECTORS, bm25_sql, docs, place_edges, plain_docs, query_vector, table, text_index, trade_edges, turn_edges, vectors
 
 ASK, TERMS, FIELDS = "thinghat eren stand that", ["thinghat", "eren", "stand", "that"], ["title", "content"]
 QUERIES: dict = {}
@@ -223,6 +223,12 @@ query("GRF-01", f"WITH RECURSIVE {PLACES}, {OUT}, {WALK.format(start='region/1',
 query("GRF-01-any", f"WITH RECURSIVE {TURNS}, {ANY}, {WALK.format(start='messages/2-1', depth=3)} SELECT vertex, edge, depth FROM walk")(
     lambda s, d: graph.traverse(turn_edges(s, d), one(s, "messages/2-1"), 0, 3, "ANY").select("vertex", "edge", "depth")
 )
+#: Each kind of vertex stands on one level, so a level is what the one before leads to.
+_by = "arg_min(p.path || '>' || e._to, (e._key, e._from)) AS path, min(e._key) AS edge"
+_levels = ", ".join(f"l{k} AS (SELECT e._to AS vertex, {_by} FROM l{k - 1} p JOIN trade e ON e._from = p.vertex GROUP BY e._to)" for k in range(1, 6))
+query("GRF-01-deep", f"WITH {TRADE}, l0 AS (SELECT 'region/1' AS vertex, 'region/1' AS path), {_levels} " + " UNION ALL ".join(f"SELECT vertex, edge, {k} AS depth, path FROM l{k}" for k in range(1, 6)))(
+    lambda s, d: graph.traverse(trade_edges(s, d), one(s, "region/1"), 1, 5, "OUTBOUND", "global").select("vertex", "edge", "depth", F.array_join("vertices", ">").alias("path"))
+)
 query("GRF-02", f"WITH {PLACES} SELECT _key, _from, _to, type FROM edges WHERE (_from = 'nation/3' OR _to = 'nation/3') AND type = 'HAS_NATION'")(
     lambda s, d: graph.relationships(place_edges(s, d), "nation/3", "HAS_NATION").select("_key", "_from", "_to", "type")
 )

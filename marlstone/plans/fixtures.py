@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,20 @@ def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges above, and on from customer to order, part and supplier; parts and suppliers have many edges."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    ident = lambda kind, c: F.concat(F.lit(kind + "/"), c)
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    edge = lambda df, key, a, b, kind: df.select(key.alias("_key"), a.alias("_from"), b.alias("_to"), F.lit(kind).alias("type"))
+    parts = [
+        edge(orders, ident("o", F.col("o_orderkey")), ident("customer", F.col("o_custkey")), ident("order", F.col("o_orderkey")), "PLACED"),
+        edge(items, ident("p", line), ident("order", F.col("l_orderkey")), ident("part", F.col("l_partkey")), "HOLDS"),
+        edge(items, ident("s", line), ident("part", F.col("l_partkey")), ident("supplier", F.col("l_suppkey")), "FROM_SUPPLIER"),
+    ]
+    return reduce(DataFrame.unionByName, parts, place_edges(spark, sf_dir))
+
+
 def turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NEXT edges between the turns of a conversation."""
     from pyspark.sql import Window
@@ -93,6 +108,12 @@ ASKED = "asked AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 PLACES = """edges AS (
     SELECT 'n' || n_nationkey AS _key, 'region/' || n_regionkey AS _from, 'nation/' || n_nationkey AS _to, 'HAS_NATION' AS type FROM nation
     UNION ALL SELECT 'c' || c_custkey, 'nation/' || c_nationkey, 'customer/' || c_custkey, 'HAS_CUSTOMER' FROM customer)"""
+LINE = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+TRADE = f"""{PLACES}, trade AS (
+    SELECT _key, _from, _to FROM edges
+    UNION ALL SELECT 'o/' || o_orderkey, 'customer/' || o_custkey, 'order/' || o_orderkey FROM orders
+    UNION ALL SELECT 'p/' || {LINE}, 'order/' || l_orderkey, 'part/' || l_partkey FROM lineitem
+    UNION ALL SELECT 's/' || {LINE}, 'part/' || l_partkey, 'supplier/' || l_suppkey FROM lineitem)"""
 TURNS = """edges AS (
     SELECT conv_id || '-' || turn AS _key, 'messages/' || conv_id || '-' || turn AS _from, 'messages/' || conv_id || '-' || nxt AS _to, 'NEXT' AS type
     FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL)"""

@@ -51,7 +51,8 @@ def test_keyword_search_equals_brute_force(spark):
 
 
 def test_similarity_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(memory, "BLOCK", 7)
+    monkeypatch.setattr(memory, "ASKED", 7)
+    monkeypatch.setattr(memory, "KNOWN", 16)
     rng = np.random.default_rng(5)
     points = rng.normal(size=(60, 8))
     points[50:] = points[:10]  # ties

@@ -98,6 +98,37 @@ def test_deep_walks_equal_brute_force(spark):
     assert graph.traverse(edges, one.limit(0), 0, 9).collect() == []
 
 
+def test_hubs_are_dealt_out_and_paths_rebuilt_from_parents(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 4)
+    rnd = random.Random(3)
+    links = [(f"e{i:03}", f"d/{rnd.choice([0, 1, rnd.randint(0, 40)])}", f"d/{rnd.randint(0, 40)}", "LINK") for i in range(150)]
+    edges = spark.createDataFrame(links, "_key string, _from string, _to string, type string")
+    steps, hubs = graph.dealt(graph.oriented(edges, "ANY"))
+    degree = {}
+    for _, a, b, _ in links:
+        for v in (a, b):
+            degree[v] = degree.get(v, 0) + 1
+    assert {r.src: r.parts for r in hubs.collect()} == {v: -(-n // 4) for v, n in degree.items() if n > 4}
+    assert steps.count() == 300 and steps.select("src", "part").distinct().count() > len(degree) + 20
+    ends = {key: (a, b) for key, a, b, _ in links}
+    for direction in ("OUTBOUND", "ANY"):
+        rows = graph.traverse(edges, start(spark, "d/7"), 0, 5, direction, "global").collect()
+        near, level = {"d/7": 0}, {"d/7"}
+        for k in range(1, 6):
+            level = ({b for _, a, b, _ in links if a in level} | {a for _, a, b, _ in links if b in level and direction == "ANY"}) - set(near)
+            near |= dict.fromkeys(level, k)
+        assert {r.vertex: r.depth for r in rows} == near and len(rows) == len(near)
+        for r in rows:
+            assert len(r.edges) == r.depth and len(r.vertices) == r.depth + 1 and r.vertices[0] == "d/7" and r.vertices[-1] == r.vertex
+            assert (r.edges[-1] if r.edges else None) == r.edge
+            for a, b, key in zip(r.vertices, r.vertices[1:], r.edges, strict=False):
+                assert (a, b) == ends[key] or (direction == "ANY" and (b, a) == ends[key])
+    whole = graph.traverse(edges, start(spark, "d/7"), 1, 3).count()
+    monkeypatch.setattr(graph, "HUB", 1000)
+    assert graph.traverse(edges, start(spark, "d/7"), 1, 3).count() == whole
+    assert graph.reached(edges, start(spark), 1, 2, "UP").count() == 0 and graph.reached(edges, start(spark), 3, 2).count() == 0
+
+
 def test_edges(spark, chain):
     assert graph.relationships(chain, "d/root").count() == 2 and graph.relationships(chain, "d/root", "LINK", "OUTBOUND").count() == 1
     assert graph.without_vertex(chain, "d/root").count() == 1 and graph.without_edge(chain, "e1").count() == 2
@@ -127,3 +158,28 @@ def test_memory(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "_key string, embedding array<double>")
     close = memory.similarity_edges(vectors.filter("_key = 'a'"), vectors).collect()
     assert [(e["_to"], e.type) for e in close] == [("b", "strong_similar")]
+
+
+def test_similarity_edges_in_many_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(memory, "ASKED", 7)
+    monkeypatch.setattr(memory, "KNOWN", 20)
+    rnd = random.Random(4)
+    rows = [(f"v{i}", [rnd.gauss(0, 1) for _ in range(3 if i % 10 else 2)]) for i in range(90)]
+    rows += [("copy", rows[1][1]), ("zero", [0.0, 0.0, 0.0]), ("none", None), ("gap", [1.0, None, 2.0]), ("v3", rows[5][1])]  # a key that comes twice
+    df = spark.createDataFrame(rows, "_key string, embedding array<double>")
+    asked = df.filter("_key IN ('zero', 'copy', 'none', 'gap') OR substring(_key, 2) % 3 = 0")
+    want = set()
+    names = {r["_key"] for r in asked.collect()}
+    usable = [(k, v) for k, v in rows if v is not None and None not in v]
+    for k in names:
+        near = []
+        for mine, v in usable:
+            for other, w in usable:
+                if mine == k and other != k and len(v) == len(w) and any(v) and any(w):
+                    score = sum(x * y for x, y in zip(v, w, strict=True)) / (sum(x * x for x in v) * sum(x * x for x in w)) ** 0.5
+                    near.append((-round(score, 12), other))
+        near = sorted(x for x in near if -x[0] > 0.3)[:4]
+        want |= {(k, other, round(-score, 9)) for score, other in near}
+    got = memory.similarity_edges(asked, df, 0.3, 0.9, 4).collect()
+    assert {(e["_from"], e["_to"], round(e.score, 9)) for e in got} == want
+    assert memory.similarity_edges(asked.limit(0), df).count() == 0 and memory.similarity_edges(asked, df.limit(0)).count() == 0
