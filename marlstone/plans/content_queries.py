@@ -37,8 +37,29 @@ query("CHK-04", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(tri
 )
 query("CHK-05", "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents")(lambda s, d: _docs(s, d).select("doc_id", text.count_tokens(F.col("text")).alias("tokens")))
 query("CHK-07", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("hash")))
-query("CHK-03")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text", 120).select("id", "section", "chunk", "code_token_count", "section_id"))
-query("CHK-14")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text").groupBy("id").agg(F.count("*").alias("chunks"), F.sum("code_token_count").alias("tokens")))
+
+
+def chunks_sql(limit: int) -> str:
+    """Common table expressions that end in ``chunked`` (id, section, chunk, code, tokens).
+
+    Sections are told by their header lines. A fold has what is joined so far as
+    one text, chunks apart by character 1; character 2 is before what stands alone.
+    """
+    last = "string_split(a, chr(1))[-1]"
+    full = f"(length({last}) + 1 + length(x)) // 4 > {limit}"
+    words = f"list_reduce(string_split(s, ' '), lambda a, x: a || CASE WHEN {last} = '' THEN '' WHEN {full} THEN chr(1) ELSE ' ' END || x)"
+    pack = f"list_reduce(p, lambda a, x: a || CASE WHEN x[1] = chr(2) OR {last}[1] = chr(2) OR {full} THEN chr(1) ELSE ' ' END || x)"
+    filled = "list_filter({}, lambda x: {} <> '')".format
+    return rf"""cut AS (SELECT doc_id AS id, {filled("string_split(regexp_replace(text, '(?m)(^[*][*][0-9]+([.][0-9]+)*[.]?[ \t\n]+[A-Z0-9][^\n*]+?[ \t\n]*[*][*][ \t]*$)', chr(3) || '\1', 'g'), chr(3))", "trim(x, ' ')")} AS parts FROM documents),
+sects AS (SELECT id, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS section FROM cut),
+sents AS (SELECT id, section, {filled(r"string_split(regexp_replace(trim(content, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", "x")} AS ss FROM sects),
+pieces AS (SELECT id, section, flatten(list_transform(ss, lambda s: CASE WHEN length(s) // 4 > {limit} THEN list_transform({filled(f"string_split({words}, chr(1))", "x")}, lambda w: chr(2) || w) ELSE [s] END)) AS p FROM sents),
+packs AS (SELECT id, section, string_split({pack}, chr(1)) AS cs FROM pieces WHERE len(p) > 0),
+chunked AS (SELECT id, section, chunk, code, length(code) // 4 AS tokens FROM (SELECT id, section, ltrim(unnest(cs), chr(2)) AS code, generate_subscripts(cs, 1) - 1 AS chunk FROM packs))"""
+
+
+query("CHK-03", f"WITH {chunks_sql(120)} SELECT id, section, chunk, tokens AS code_token_count, sha256(code) AS section_id FROM chunked")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text", 120).select("id", "section", "chunk", "code_token_count", "section_id"))
+query("CHK-14", f"WITH {chunks_sql(500)} SELECT id, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM chunked GROUP BY id")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text").groupBy("id").agg(F.count("*").alias("chunks"), F.sum("code_token_count").alias("tokens")))
 query("CHK-09")(lambda s, d: _docs(s, d).select("doc_id", F.size(chunk.overlapping_chunks(text.sentences(F.col("text")), 100)).alias("chunks")))
 query("CHK-10")(lambda s, d: chunk.summarize(_docs(s, d), "doc_id", "text", lambda c: text.shorten(c, 200), 500, 600))
 query("CHK-12", "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY source")(
@@ -64,7 +85,11 @@ SELECT page_id, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN t ELSE t ||
 query("EXT-02", "SELECT doc_id, CASE WHEN title = '' THEN 'Unnamed Section' ELSE title END AS title FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1f\\x7f]', '', 'g'), ' ') AS title FROM documents)")(
     lambda s, d: _docs(s, d).select("doc_id", text.section_title(F.substring_index("text", "\n", 1)).alias("title"))
 )
-query("EXT-10")(lambda s, d: extract.blocks(_docs(s, d), "doc_id", "text").groupBy("id", "type").agg(F.count("*").alias("blocks")))
+query("EXT-10", r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+f AS (SELECT *, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY n) AS fences FROM l),
+k AS (SELECT *, CASE WHEN fences % 2 = 1 OR fence THEN 'code' WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN 'heading' WHEN trim(line, ' ') = '' THEN 'blank' ELSE 'paragraph' END AS type FROM f),
+o AS (SELECT *, lag(type) OVER (PARTITION BY id ORDER BY n) AS before FROM k)
+SELECT id, type, count(*) AS blocks FROM o WHERE type <> 'blank' AND (before IS DISTINCT FROM type OR type = 'heading' OR (fence AND fences % 2 = 1)) GROUP BY id, type""")(lambda s, d: extract.blocks(_docs(s, d), "doc_id", "text").groupBy("id", "type").agg(F.count("*").alias("blocks")))
 query("EXT-04", r"""WITH h AS (SELECT page_id AS id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>', 0)) AS h, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>', 0), 1) - 1 AS position FROM pages)
 SELECT id, position, regexp_extract(h, '(?i)^<h([1-6])', 1)::INT AS level, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS title FROM h""")(
     lambda s, d: extract.html_headings(table(s, d, "pages"), "page_id", "html")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import images, text
 from marlstone.operators import batch, chunk, code, declared, extract, memory, store, tables
-from marlstone.plans.content_queries import QUALITY, TABLES, _chain, _docs, _tables
+from marlstone.plans.content_queries import QUALITY, TABLES, _chain, _docs, _tables, chunks_sql
 from marlstone.plans.fixtures import table
 
 QUERIES: dict = {}
@@ -133,21 +133,17 @@ query("AGG-07", f"WITH {TABLES} SELECT round(avg(0.4 * {QUALITY} + 0.3 + 0.3 * t
 
 # ---- chunks
 
-_bare = lambda c: F.regexp_replace(c, r"\s", "")
-query("CHK-01", "SELECT DISTINCT doc_id AS id, true AS lossless FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''")(
-    lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text")
-    .groupBy("id")
-    .agg(F.array_sort(F.collect_list(F.struct("section", "chunk", "code"))).alias("c"))
-    .join(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id")
-    .select("id", (_bare(F.array_join(F.transform("c", lambda c: c["code"]), "")) == _bare(F.col("text"))).alias("lossless"))
-)
+query("CHK-01", f"WITH {chunks_sql(500)} SELECT id, section, chunk, code FROM chunked")(lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text").select("id", "section", "chunk", "code"))
 query("CHK-06", "SELECT doc_id AS id, length(text) // 4 AS code_token_count, sha256(text) AS section_id FROM documents")(lambda s, d: chunk.whole(_docs(s, d), "doc_id", "text").select("id", "code_token_count", "section_id"))
-query("CHK-08", "SELECT DISTINCT doc_id AS id, true AS within FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''")(
-    # a chunk beyond the limit is one word
-    lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text", 50).groupBy("id").agg(F.bool_and((F.col("code_token_count") <= 50) | ~F.trim("code").contains(" ")).alias("within"))
-)
-query("TWN-08", "SELECT source || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.py' ELSE '.txt' END AS path, CASE doc_id % 3 WHEN 0 THEN 'sections' WHEN 1 THEN 'metadata' ELSE 'chunks' END AS kind, true AS some FROM documents")(
-    lambda s, d: chunk.process(_docs(s, d).select(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".py").otherwise(".txt")).alias("path"), F.col("text").alias("content"))).select("path", "kind", (F.col("parts") > 0).alias("some"))
+query("CHK-08", f"WITH {chunks_sql(50)} SELECT id, section, count(*) AS chunks, max(tokens) AS longest, sha256(string_agg(code, chr(10) ORDER BY chunk)) AS joined FROM chunked GROUP BY id, section")(
+    lambda s, d: chunk.chunk_rows(_docs(s, d), "doc_id", "text", 50)
+    .groupBy("id", "section")
+    .agg(F.count("*").alias("chunks"), F.max("code_token_count").alias("longest"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda c: c["code"]), "\n"), 256).alias("joined"))
+)
+query("TWN-08", f"""WITH {chunks_sql(500)}, n AS (SELECT id, count(*) AS chunks, count(DISTINCT section) AS sections FROM chunked GROUP BY id)
+SELECT source || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.py' ELSE '.txt' END AS path, CASE doc_id % 3 WHEN 0 THEN 'sections' WHEN 1 THEN 'metadata' ELSE 'chunks' END AS kind,
+       CASE doc_id % 3 WHEN 0 THEN coalesce(sections, 0) WHEN 1 THEN 1 ELSE coalesce(chunks, 0) END AS parts FROM documents LEFT JOIN n ON id = doc_id""")(
+    lambda s, d: chunk.process(_docs(s, d).select(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".py").otherwise(".txt")).alias("path"), F.col("text").alias("content")))
 )
 
 # ---- callbacks and batches

@@ -58,7 +58,19 @@ query("TXT-16", "SELECT 13::BIGINT AS terms")(lambda s, d: glossary.glossary(s).
 query("VEC-12", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda s, d: rounded(vectors(s, d).alias("a").join(vectors(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", vector.cosine(F.col("embedding"), F.col("e2")).alias("score")), "score")
 )
-query("VEC-17", "SELECT item_id, 1024::INT AS dims, NULL::VARCHAR AS embedding_error FROM benchmark")(lambda s, d: store.with_embedding(table(s, d, "benchmark")).select("item_id", F.size("embedding").alias("dims"), "embedding_error"))
+query("VEC-17", "SELECT min(item_id) AS first, count(*) AS same, 1024::INT AS dims, 1.0::DOUBLE AS norm, NULL::VARCHAR AS embedding_error FROM benchmark GROUP BY trim(text, ' ')")(
+    # equal texts have equal vectors, others have not
+    lambda s, d: store.with_embedding(table(s, d, "benchmark"))
+    .groupBy(F.sha2(F.to_json(F.array("embedding")), 256).alias("digest"), "embedding_error")
+    .agg(F.min("item_id").alias("first"), F.count("*").alias("same"), F.max(F.size("embedding")).alias("dims"), F.round(F.avg(vector.norm(F.col("embedding"))), 5).alias("norm"))
+    .drop("digest")
+)
+_SIZE = "sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
+query("VEC-17-given", f"SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'missing embedding' WHEN 1 THEN 'dimension 63 instead of 64' END AS embedding_error, CASE WHEN vec_id % 4 > 1 THEN round((embedding[1] / {_SIZE})::FLOAT::DOUBLE, 5) END AS first FROM embeddings")(
+    lambda s, d: store.with_embedding(vectors(s, d).withColumn("embedding", F.when(F.col("vec_id") % 4 == 1, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 4 > 1, F.col("embedding"))), generate=False, dimensions=64).select(
+        "vec_id", "embedding_error", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first")
+    )
+)
 query("AGG-05", f"WITH {VECTORS}, {ASKED}, top AS (SELECT label, {COS} AS score FROM vectors, asked ORDER BY score DESC, _key LIMIT 25) SELECT label, round(sum(score * score), 6) AS votes FROM top WHERE score > 0 GROUP BY label")(
     lambda s, d: rounded(search.semantic_search(vectors(s, d), query_vector(s, d), min_score=-2, top_n=25).filter("score > 0").groupBy("label").agg(F.sum(F.col("score") * F.col("score")).alias("votes")), "votes")
 )

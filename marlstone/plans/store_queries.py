@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text, vector
 from marlstone.operators import chunk, extract, glossary, graph, hybrid, ivf, memory, search, store, tables
 from marlstone.plans import api
-from marlstone.plans.content_queries import INTER, TABLES, _tables
+from marlstone.plans.content_queries import INTER, TABLES, _tables, chunks_sql
 from marlstone.plans.core_queries import COS, NATIONS, PAIRS, _changes, _nations, fused_sql, ranked_lists, rounded, text_list, vector_list
 from marlstone.plans.fixtures import ASKED, DOCS, PLACES, VECTORS, as_pdf, bm25_sql, docs, place_edges, plain_docs, query_vector, table, vectors
 from marlstone.sources import files, pdf
@@ -46,11 +46,16 @@ query("SRC-06", "SELECT doc_id, n_chars FROM documents WHERE source = 'src0' ORD
 )
 
 
-@query("SRC-09", "SELECT 'bench_item_' || item_id AS _key, 1024::INT AS dims FROM benchmark WHERE trim(text) <> ''")
+@query("SRC-09", """SELECT 'bench_item_' || item_id AS _key, text AS lesson, CASE WHEN vec_id IS NULL THEN 1024 ELSE len(embedding) END::INT AS dims, embedding[1]::DOUBLE AS given, CASE WHEN vec_id IS NULL THEN 1.0::DOUBLE END AS made
+FROM benchmark LEFT JOIN embeddings ON vec_id = item_id AND vec_id % 2 = 0 WHERE trim(text) <> ''""")
 def _seeded(s, d):
-    lessons = table(s, d, "benchmark").select(F.lit("bench").alias("role"), F.lit("item").alias("category"), F.col("item_id").alias("identifier"), F.col("text").alias("lesson"))
+    # every other lesson brings its vector, the others have one made
+    own = vectors(s, d).filter("vec_id % 2 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("lesson_embedding"))
+    lessons = table(s, d, "benchmark").join(own, "item_id", "left").select(F.lit("bench").alias("role"), F.lit("item").alias("category"), F.col("item_id").alias("identifier"), F.col("text").alias("lesson"), "lesson_embedding")
     known = lessons.limit(3).select(text.lesson_key(F.col("role"), F.col("category"), F.col("identifier").cast("string")).alias("_key"), F.lit("old").alias("lesson"), F.array(F.lit(0.0)).alias("lesson_embedding"))
-    return store.seed(known, lessons).select("_key", F.size("lesson_embedding").alias("dims"))
+    e = F.col("lesson_embedding")
+    brought = F.size(e) != vector.DIMENSIONS
+    return store.seed(known, lessons).select("_key", "lesson", F.size(e).alias("dims"), F.when(brought, F.get(e, F.lit(0))).alias("given"), F.when(~brought, F.round(vector.norm(e), 6)).alias("made"))
 
 
 def _tree(s, d):
@@ -294,8 +299,10 @@ query("DML-07", "SELECT count(*) FILTER (vec_id % 5 <> 0) AS created, count(*) F
 query("DML-08", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 99 ELSE label END AS label, round(CASE WHEN vec_id % 4 = 0 THEN 0.5 ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings")(
     lambda s, d: store.replace_keeping_vector((v := vectors(s, d).select("_key", "vec_id", "label", "embedding")), v.filter("vec_id % 2 = 0").withColumns({"label": F.lit(99), "embedding": F.when(F.col("vec_id") % 4 == 0, F.array(F.lit(0.5).cast("float")))})).select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 )
-query("DML-09", "SELECT item_id::VARCHAR AS _key, 1024::INT AS dims FROM benchmark")(
-    lambda s, d: store.create_checked((b := store.with_embedding(table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("_key"), F.col("text").alias("content"))).drop("embedding_error")).limit(0), b)[0].select("_key", F.size("embedding").alias("dims"))
+query("DML-09", "SELECT vec_id::VARCHAR AS _key, label::INT AS label, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last FROM embeddings WHERE vec_id % 5 <> 0")(
+    # of five vectors one has lost an entry, and is not created
+    lambda s, d: store.create_checked((v := vectors(s, d)).limit(0), v.withColumn("embedding", F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))), 64)[0]
+    .select("_key", F.col("label").cast("int").alias("label"), F.get("embedding", F.lit(0)).cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"))
 )
 query("DML-10", f"WITH {NATIONS} SELECT _key, coalesce(c.name, n.name) AS name FROM n LEFT JOIN c USING (_key) WHERE _key <> '3' UNION ALL SELECT 'new', 'NEW'")(
     lambda s, d: store.delete(store.update(store.insert(_nations(s, d), s.createDataFrame([("new", "NEW")], "_key string, name string")), _changes(s, d)), s.createDataFrame([("3",)], "_key string")).select("_key", "name")
@@ -322,5 +329,5 @@ query("TWN-02", f"WITH {DOCS}, {VECTORS}, {ASKED}, {ranked_lists(8)} SELECT _key
 )
 query("TWN-03", f"WITH {PAIRS} SELECT conv_id || '-' || turn AS _key, length('User: ' || u || chr(10) || 'Agent: ' || a)::INT AS size FROM x")(lambda s, d: memory.memories(table(s, d, "conversations")).select("_key", F.length("content").alias("size")))
 query("TWN-04", "SELECT conv_id || '-' || turn AS _key, role AS message_type FROM conversations WHERE conv_id = 4 AND turn = 2")(lambda s, d: store.get(memory.messages(table(s, d, "conversations")), "4-2").select("_key", "message_type"))
-query("TWN-06", "SELECT DISTINCT doc_id AS id FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''")(lambda s, d: chunk.chunk_rows(table(s, d, "documents"), "doc_id", "text").select("id").distinct())
+query("TWN-06", f"WITH {chunks_sql(500)} SELECT id, section, chunk, tokens AS code_token_count FROM chunked")(lambda s, d: chunk.chunk_rows(table(s, d, "documents"), "doc_id", "text").select("id", "section", "chunk", "code_token_count"))
 query("TWN-07", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.try_variant_get(text.first_json(F.concat(F.lit("said: "), "props", F.lit(" end"))), "$.k", "long").alias("k")))
