@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import images, text
 from marlstone.operators import batch, chunk, code, declared, extract, memory, store, tables
+from marlstone.plans.content_queries import SQL as CONTENT_SQL
 from marlstone.plans.content_queries import QUALITY, TABLES, _chain, _docs, _tables, chunks_sql
 from marlstone.plans.fixtures import table
 
@@ -30,7 +31,22 @@ _nation = lambda s, d, *parts: table(s, d, "nation").select("n_nationkey", F.con
 # ---- structured texts
 
 
-@query("EXT-03")
+def paths_sql() -> str:
+    """Common table expressions that end in ``placed`` (id, position, number, path): of each level above a heading the last since a higher one."""
+    own, rest = r"regexp_extract(title, '^([0-9]+(?:[.][0-9]+)*)[.]?\s', 1)", r"trim(regexp_replace(regexp_replace(title, '^[0-9]+(?:[.][0-9]+)*[.]?\s*', ''), '[\x00-\x1f\x7f]', '', 'g'), ' ')"
+    plain = r"trim(regexp_replace(title, '[\x00-\x1f\x7f]', '', 'g'), ' ')"
+    return f"""heads AS ({CONTENT_SQL['EXT-04']}),
+named AS (SELECT id, position, level, {own} AS own, CASE WHEN {own} <> '' THEN {rest} ELSE {plain} END AS t FROM heads),
+e AS (SELECT id, position, level, own, CASE WHEN t = '' THEN 'Unnamed Section' ELSE t END AS title FROM named),
+since AS (SELECT r.id, r.position, k, coalesce(max(p.position) FILTER (p.level < k), -1) AS any_above, coalesce(max(p.position) FILTER (p.level < k AND p.own = ''), -1) AS counted_above
+    FROM e r JOIN e p ON p.id = r.id AND p.position <= r.position, range(1, 7) ks(k) WHERE k <= r.level GROUP BY ALL),
+parts AS (SELECT s.id, s.position, k, arg_max(p.title, p.position) FILTER (p.level = k AND p.position > any_above) AS title, count(*) FILTER (p.level = k AND p.own = '' AND p.position > counted_above) AS n
+    FROM since s JOIN e p ON p.id = s.id AND p.position <= s.position GROUP BY ALL),
+placed AS (SELECT id, position, CASE WHEN any_value(own) <> '' THEN any_value(own) ELSE coalesce(string_agg(n::VARCHAR, '.' ORDER BY k) FILTER (n > 0), '') END AS number,
+    list(parts.title ORDER BY k) FILTER (parts.title IS NOT NULL) AS path FROM parts JOIN e USING (id, position) GROUP BY id, position)"""
+
+
+@query("EXT-03", f"WITH {paths_sql()} SELECT id, position::INT AS first_line, number, array_to_string(list_transform(path, lambda p: sha256(p)), '>') AS section_hash_path FROM placed")
 def _hierarchy(s, d):
     heads = extract.html_headings(table(s, d, "pages"), "page_id", "html")
     rows = heads.select("id", F.col("position").cast("int").alias("first_line"), F.lit("heading").alias("type"), F.col("title").alias("content"), "level")
