@@ -89,10 +89,26 @@ def seeds(text: Column) -> Column:
     )
 
 
+def _apart(tokens: Column, known: Column) -> Column:
+    """Those of ``tokens`` that meet none of ``known``: both are merged by start, and each token is held against
+    the farthest end before it and the next start after it, so a long listing takes no quadratic time."""
+    far = 2**31 - 1
+    is_token = lambda s: s["rank"] == 4
+
+    def free(merged: Column) -> Column:
+        ends = spans.running(F.transform(merged, lambda s: F.when(is_token(s), 0).otherwise(s["end"])), lambda x, y: F.greatest(x, y))
+        nearness = spans.running(F.transform(F.reverse(merged), lambda s: F.when(is_token(s), 0).otherwise(F.lit(far) - s["start"])), lambda x, y: F.greatest(x, y))
+        placed = F.zip_with(F.zip_with(merged, ends, lambda s, end: F.struct(s.alias("s"), end.alias("end"))), F.reverse(nearness), lambda x, n: F.struct(x["s"].alias("s"), x["end"].alias("end"), (F.lit(far) - n).alias("next")))
+        return F.transform(F.filter(placed, lambda x: is_token(x["s"]) & (x["end"] <= x["s"]["start"]) & (x["next"] >= x["s"]["end"])), lambda x: x["s"])
+
+    # the merged spans are bound once, as the one element of an array
+    return F.flatten(F.transform(F.array(spans.by_start(F.concat(tokens, known))), free))
+
+
 def _candidates(text: Column, known: Column) -> Column:
     """Tokens that look like identifiers and do not meet a seed."""
     found = spans.find(text, "learned", 4, TOKEN, lambda m: (F.length(m) >= 6) & ((F.length(_digits(m)) >= 4) | m.rlike(HANDLE)), hint="[0-9_@]")
-    return F.filter(found, lambda s: ~F.exists(known, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    return F.flatten(F.transform(F.array(found), lambda tokens: F.when((F.size(tokens) == 0) | (F.size(known) == 0), tokens).otherwise(_apart(tokens, known))))
 
 
 def _patterns(two_left: Column, one_left: Column, one_right: Column) -> Column:

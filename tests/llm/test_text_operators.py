@@ -166,6 +166,29 @@ def test_pii_seeds_equal_brute_force(spark):
         assert r.s == brute_pii(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_pii_tokens_apart_from_seeds_equal_brute_force(spark):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(120):
+        at, tokens = 0, []
+        for _ in range(rnd.randint(0, 300 if k % 20 == 0 else 8)):
+            at += rnd.randint(0, 9)
+            tokens.append((at, 4, "learned", at := at + rnd.randint(1, 9)))
+        known = [(a, rank, kind, a + rnd.randint(1, 12)) for _ in range(rnd.randint(0, 200 if k % 20 == 0 else 5)) for rank, kind in [rnd.choice([(0, "email"), (2, "card")])] for a in [rnd.randint(0, at + 5)]]
+        rows.append((k, tokens, sorted(known, key=lambda x: (x[1], x[0]))))
+    df = spark.createDataFrame(rows, f"k int, tokens {spans.SPAN}, known {spans.SPAN}")
+    for r in df.select("k", pii._apart(F.col("tokens"), F.col("known")).alias("free")).collect():
+        _, tokens, known = rows[r.k]
+        assert [tuple(x) for x in r.free] == [t for t in tokens if not any(a < t[3] and t[0] < b for a, _, _, b in known)]
+
+
+def test_pii_of_a_long_listing(spark):
+    text = " ".join(f"call +4420{7000000 + i} or @user_{i} now," for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.entities(df, [F.col("doc_id")]).select("doc_id", F.size("seeds").alias("seeds"), F.transform("mentions", lambda m: m["kind"]).alias("kinds")).collect()}
+    assert found[1].seeds == 3000 and found[1].kinds.count("learned") == 3000 and not found[2].kinds and not found[3].kinds
+
+
 def test_pii_learns_contexts(spark):
     rows = [f"call the office line 1.2.3.{i} today" for i in range(12)] + ["call the office line ID-99887766 today", "nothing here 5550001"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
