@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,18 @@ def test_deletions(spark):
     got = spark.sql("SELECT 'abca' AS w").select(textindex.deletions(F.col("w"))).first()[0]
     assert sorted(got) == sorted({"abca", "bca", "aca", "aba", "abc", "ca", "ba", "bc", "aa", "ac", "ab"})
     assert spark.sql("SELECT '' AS w").select(textindex.deletions(F.col("w"))).first()[0] == [""]
+
+
+@pytest.mark.parametrize("words", [1, 7, 1000])
+def test_a_task_gives_blocks_and_never_a_row_for_each_posting(words):
+    texts = [(8, ["a", "b", "a"]), (3, []), (5, ["b"] * 9), (70, ["a"]), (6, ["b", "c"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([w for _, w in part], pa.list_(pa.string()))], ["doc", "words0"]) for part in (texts[:3], texts[3:], [])]
+    got = [r for b in textindex._blocks_of(["content"], words, 2, 5)(iter(batches)) for r in b.to_pylist()]
+    postings = sorted((r["term"], r["first"] + a, tf, n) for r in got if r["term"] for a, tf, n in zip(r["apart"], r["tf"], r["length"], strict=True))
+    assert postings == [("a", 8, 2, 3), ("a", 70, 1, 1), ("b", 5, 9, 9), ("b", 6, 1, 2), ("b", 8, 1, 3), ("c", 6, 1, 2)]
+    for r in got:
+        if r["term"]:
+            assert r["n"] == len(r["tf"]) <= 2 and r["last"] == r["first"] + r["apart"][-1] and r["first"] >> 5 == r["last"] >> 5 and r["max_tf"] == max(r["tf"]) and r["min_length"] == min(r["length"])
+    assert sum(r["first"] for r in got if r["term"] is None) == 5 and sum(r["words"] for r in got if r["term"] is None) == 15
+    if words == 1000:
+        assert len([r for r in got if r["term"]]) == 5  # a twice for its chunks, b twice for its three postings, c
