@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,7 +185,7 @@ def geometric_merges(tables: DataFrame, geometry: DataFrame, near_top: float = 2
     return placed.withColumn("joins", F.coalesce(joins, F.lit(False))).select(*tables.columns, "joins")
 
 
-RUNS = "doc {doc}, page {page}, number {number}, first {number}"
+RUNS = "doc {doc}, number {number}, first {number}"
 
 
 def merge_chain(tables: DataFrame, instructions: DataFrame | None = None, least: float = 80) -> DataFrame:
@@ -205,20 +208,28 @@ def merge_chain(tables: DataFrame, instructions: DataFrame | None = None, least:
         joined = members.groupBy("doc", "number").agg(F.min("first").alias("first")).withColumn("source", F.lit("human_merged"))
         rest = tables.join(joined, ["doc", "number"], "left_anti")
 
-    def chains(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page", "number"], ignore_index=True)
-        firsts, head, last = [], None, None
-        for number, page, header in zip(group["number"], group["page"], group["header"], strict=True):
-            words = [str(h).lower() for h in header] if header is not None else []
-            near = head is not None and page <= last + 1 and len(words) == len(head) and ratio(" ".join(sorted(" ".join(words).split())), " ".join(sorted(" ".join(head).split()))) > least
-            if not near:
-                head, first = words, number
-            firsts.append(first)
-            last = page
-        return pd.DataFrame({"doc": group["doc"], "page": group["page"], "number": group["number"], "first": firsts})
-
-    shape = RUNS.format(doc=kinds["doc"], page=kinds["page"], number=kinds["number"])
-    runs = rest.select("doc", "page", "number", "header").groupBy("doc").applyInPandas(chains, shape).select("doc", "number", "first", F.lit("extracted").alias("source"))
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by document and place; what is kept from one to the next is the header of the chain's first table and the last page."""
+        sorted_words = lambda words: " ".join(sorted(" ".join(words).split()))
+        near_words = lru_cache(4096)(lambda a, b: ratio(sorted_words(a), sorted_words(b)) > least)
+        begun, doc, head, last, first = False, None, None, None, None
+        for batch in batches:
+            firsts = []
+            for own, page, number, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or own != doc:
+                    begun, doc, head, last = True, own, None, None
+                words = tuple(str(h).lower() for h in header) if header is not None else ()
+                near = head is not None and page is not None and last is not None and page <= last + 1 and len(words) == len(head) and near_words(words, head)
+                if not near:
+                    head, first = words, number
+                firsts.append(first)
+                last = page
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(firsts, batch.column(2).type)], names=["doc", "number", "first"])
+
+    shape = RUNS.format(doc=kinds["doc"], number=kinds["number"])
+    # a document's tables stand together in one task, in order; a group of its own for each document costs far more than its rows
+    placed = rest.select("doc", "page", "number", "header").repartition("doc").sortWithinPartitions("doc", F.asc_nulls_last("page"), F.asc_nulls_last("number"))
+    runs = placed.mapInArrow(chains, shape).select("doc", "number", "first", F.lit("extracted").alias("source"))
     runs = runs if joined is None else runs.unionByName(joined.select(runs.columns))
     parts = tables.join(runs, ["doc", "number"]).groupBy("doc", "first").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.array_sort(F.collect_list(F.struct("page", "number", "body"))).alias("parts"), F.min_by("header", F.struct("page", "number")).alias("header"), F.max("source").alias("source"))
     return parts.select("doc", "first", "first_page", "last_page", F.transform("parts", lambda p: p["number"]).alias("numbers"), "header", F.flatten(F.transform("parts", lambda p: p["body"])).alias("body"), "source")
