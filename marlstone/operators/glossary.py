@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Sequence
+from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.batches import parts
+
 #: The colour terms that a new glossary starts with.
 COLOURS = {
     "red": "the colour of blood", "green": "the colour of grass", "blue": "the colour of a clear sky", "yellow": "the colour of lemons", "orange": "between red and yellow",
@@ -55,6 +61,10 @@ class Finder:
 
     def places(self, text: str) -> list[tuple[str, int, int]]:
         """Matches of whole words, the longest first; what overlaps a longer one, or an earlier one of equal length, is none."""
+        return [(self.ordered[rank], begin, stop) for rank, begin, stop in self.ranked(text)]
+
+    def ranked(self, text: str) -> list[tuple[int, int, int]]:
+        """The places, with the rank of the term in ``ordered``."""
         if not self.ordered:
             return []
         inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
@@ -68,24 +78,37 @@ class Finder:
             # what is shorter than all that is placed overlaps one of them only with an end
             if not taken[begin] and not taken[stop - 1]:
                 taken[begin:stop] = b"\x01" * (stop - begin)
-                out.append((self.ordered[rank], begin, stop))
+                out.append((rank, begin, stop))
         return sorted(out, key=lambda x: x[1])
 
 
+@lru_cache(4)
+def _finder(terms: tuple[str, ...]) -> Finder:
+    return Finder(terms)
+
+
 def find_terms(df: DataFrame, terms: Sequence[str], text_col: str = "text", limit: int | None = None) -> Column:
     """A column with the matches of ``terms`` in the whole text, or in its first ``limit`` characters, in order of place.
 
     The terms are a glossary: they are part of the function that is sent out, and
-    a task makes its automaton once.
+    a worker makes its automaton once.
     """
-    own = list(terms)
-
-    @F.pandas_udf(MATCHES)
-    def matches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = Finder(own)
-        for batch in batches:
-            found = [[{"term": t, "begin": a, "stop": b} for t, a, b in finder.places((text or "")[:limit])] for text in batch]
-            yield pd.Series(found, dtype=object)
+    own = tuple(terms)
+
+    @F.arrow_udf(MATCHES)
+    def matches(texts: pa.Array) -> pa.Array:
+        # places are kept as numbers, not as an object for each match
+        finder, ranks, begins, stops, ends = _finder(own), array("i"), array("i"), array("i"), array("i", [0])
+        for first, last in parts(texts):
+            for text in texts.slice(first, last - first).to_pylist():
+                for rank, begin, stop in finder.ranked((text or "")[:limit]):
+                    ranks.append(rank)
+                    begins.append(begin)
+                    stops.append(stop)
+                ends.append(len(ranks))
+        numbers = lambda x: pa.array(np.frombuffer(x, np.int32) if x else [], pa.int32())
+        found = pa.StructArray.from_arrays([pa.array(finder.ordered, pa.string()).take(numbers(ranks)), numbers(begins), numbers(stops)], ["term", "begin", "stop"])
+        return pa.ListArray.from_arrays(numbers(ends), found)
 
     return matches(F.col(text_col))
 
@@ -100,19 +123,26 @@ def unique_terms(matches: Column, top_n: int | None = None) -> Column:
 def highlight(text: Column, matches: Column, begin: str = "**", stop: str = "**", limit: int | None = None) -> Column:
     """The text (its first ``limit`` characters, if that is given) with marks around the matches; pieces are joined once."""
 
-    @F.pandas_udf("string")
-    def marked(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for own, places in zip(texts, found, strict=True):
-            if own is None:
-                out.append(None)
-                continue
-            own, at, pieces = own[:limit], 0, []
-            for m in places if places is not None else ():
-                pieces += [own[at : m["begin"]], begin, own[m["begin"] : m["stop"]], stop]
-                at = m["stop"]
-            out.append("".join([*pieces, own[at:]]))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def marked(texts: pa.Array, found: pa.Array) -> pa.Array:
+        done = []
+        for first, last in parts(texts):
+            places, out = found.slice(first, last - first), []
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)).tolist()
+            flat = places.flatten()
+            begins, stops, i = flat.field("begin").to_pylist(), flat.field("stop").to_pylist(), 0
+            for own, end in zip(texts.slice(first, last - first).to_pylist(), ends, strict=True):
+                if own is None:
+                    out.append(None)
+                else:
+                    own, at, pieces = own[:limit], 0, []
+                    for x, y in zip(begins[i:end], stops[i:end], strict=True):
+                        pieces += [own[at:x], begin, own[x:y], stop]
+                        at = y
+                    out.append("".join([*pieces, own[at:]]))
+                i = end
+            done.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return marked(text, matches)
 
