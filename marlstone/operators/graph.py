@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import collection_of
-from marlstone.sources.shared import written
+from marlstone.sources.shared import bucketed, written
 
 DIRECTIONS = ("OUTBOUND", "INBOUND", "ANY")
 
@@ -46,7 +46,8 @@ def dealt(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = written(hubs, "hubs")
     # hubs are at most one of HUB steps, and all but a few graphs have none: the join sends what the planner finds small
     own = steps.join(hubs, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("edge", "dst"), F.col("parts")).cast("int"), F.lit(0)))
-    return written(own.select("src", "part", "dst", "edge"), "steps"), hubs
+    # each step of a walk joins by these keys: the steps are shuffled here and not again
+    return bucketed(own.select("src", "part", "dst", "edge"), "steps", "src", "part"), hubs
 
 
 def stepped(frontier: DataFrame, steps: DataFrame, hubs: DataFrame | None = None) -> DataFrame:

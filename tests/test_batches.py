@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from marlstone.functions.batches import parts
 from marlstone.functions.fuzzy import ratio
-from marlstone.operators import glossary, html, tables
+from marlstone.operators import glossary, graph, html, tables
 
 
 def test_parts_hold_few_bytes_and_all_rows():
@@ -50,3 +50,14 @@ def test_glossary_and_pages_over_several_parts(spark):
     pages = spark.createDataFrame([(i, None if i == 3 else "<p>" + "y" * 900_000 + f"</p><p>{i}</p>") for i in range(8)], "i int, page string").coalesce(1)
     got = html.elements(pages, "i", "page", ["p"]).collect()
     assert sorted((r["id"], r["position"], len(r["code"]), r["tag"]) for r in got) == sorted((i, k, n, "p") for i in range(8) if i != 3 for k, n in ((1, 900_000), (2, 1)))
+
+
+def test_steps_of_a_walk_are_shuffled_once(spark):
+    edges = spark.createDataFrame([(f"e{i}", f"v/{i % 50}", f"v/{i * 7 % 50}", "t") for i in range(200)], "_key string, _from string, _to string, type string")
+    steps, hubs = graph.dealt(graph.oriented(edges, "OUTBOUND"))
+    frontier = spark.createDataFrame([("v/1", "v/1")], "start string, vertex string")
+    joined = graph.stepped(frontier, steps.hint("merge"), hubs)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert "Bucketed: true" in plan and len(exchanges) == 1, plan  # that of the frontier
+    assert sorted(r["edge"] for r in joined.collect()) == ["e1", "e101", "e151", "e51"]
