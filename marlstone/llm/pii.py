@@ -160,15 +160,23 @@ def edges_of(found: DataFrame) -> DataFrame:
     return pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
+def _mark(kind: int, *words: Column) -> Column:
+    """A number for a pattern of a kind; equal patterns have equal ones."""
+    return F.xxhash64(F.lit(kind), *words)
+
+
 def followers(df: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """How many different ordinary words stand at the place of each of ``patterns`` (pattern), for those that have some: (pattern, others)."""
     words = _words(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARKED, " \uE000 "))
     inside = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i >= 1) & (i < F.size("w")))
     at = F.transform(inside, lambda i: F.struct(F.when(i > 1, F.get("w", i - 2)).alias("two"), F.get("w", i - 1).alias("one"), F.get("w", i).alias("word"), F.get("w", i + 1).alias("next")))
     places = df.select(words.alias("w")).select(F.inline(at)).filter("word <> '\uE000' AND one <> '\uE000'")
-    # a place counts only if the word before it begins a pattern's place at all
-    heads = patterns.select(F.regexp_extract("pattern", r"(\S+) _", 1).alias("one")).distinct()
-    placed = places.join(heads, "one", "left_semi").select("word", F.explode(_patterns(F.col("two"), F.col("one"), F.col("next"))).alias("pattern"))
+    # a place is held against whole patterns, by a number for each; a join by the word before alone would keep most of the corpus for one pattern of "the"
+    own, piece = F.split("pattern", " "), lambda i: F.get(F.split("pattern", " "), F.lit(i))
+    mark = F.when(F.size(own) == 2, _mark(0, piece(0))).when(piece(1) == "_", _mark(2, piece(0), piece(2))).otherwise(_mark(1, piece(0), piece(1)))
+    marks = F.array(_mark(0, F.col("one")), _mark(1, F.col("two"), F.col("one")), _mark(2, F.col("one"), F.col("next")))
+    met = places.select("*", F.explode(marks).alias("mark")).join(patterns.select(mark.alias("mark")).distinct(), "mark", "left_semi")
+    placed = met.select("word", F.explode(_patterns(F.col("two"), F.col("one"), F.col("next"))).alias("pattern"))
     return placed.join(patterns.select("pattern"), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
 
 

@@ -210,6 +210,27 @@ def test_pii_does_not_learn_what_ordinary_words_follow(spark, monkeypatch):
         assert [found[i] for i in (36, 37, 38)] == ["", "learned:7:19", "learned:19:28"]
 
 
+def test_followers_are_held_against_whole_patterns(spark):
+    words = ["the", "of", "a", "pin", "b"]
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = ["the pin _", "the _ pin", "of _", "b a _", "zz the _", "pin _ zz"]
+    patterns = spark.createDataFrame([(p,) for p in asked], "pattern string")
+    want = {}
+    for t in texts:
+        w = t.split()
+        for i in range(1, len(w)):
+            own = [f"{w[i - 1]} _"] + ([f"{w[i - 2]} {w[i - 1]} _"] if i > 1 else []) + ([f"{w[i - 1]} _ {w[i + 1]}"] if i + 1 < len(w) else [])
+            for p in set(own) & set(asked):
+                want.setdefault(p, set()).add(w[i])
+    found = pii.followers(df, patterns)
+    assert {r["pattern"]: r["others"] for r in found.collect()} == {p: len(x) for p, x in want.items()}
+    # no join by the word before alone
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi, (one#" not in plan and "Join LeftSemi, (mark#" in plan
+
+
 def test_pii_bootstraps_and_measures_held_out_seeds(spark):
     # the seeds teach "server _"; what that finds teaches "node _", which no seed has
     rows = [f"server 10.0.0.{i} up" for i in range(60)] + [f"server KX-{i}7650 up" for i in range(6)] + [f"on node KX-{i}7650" for i in range(6)] + ["on node QZ-998877"] * 2
