@@ -1,6 +1,7 @@
 """The stored text index against scans of the texts, with blocks passed over, segments and fuzzy words."""
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -138,3 +139,38 @@ def test_a_task_gives_blocks_and_never_a_row_for_each_posting(words):
     assert sum(r["first"] for r in got if r["term"] is None) == 5 and sum(r["words"] for r in got if r["term"] is None) == 15
     if words == 1000:
         assert len([r for r in got if r["term"]]) == 5  # a twice for its chunks, b twice for its three postings, c
+
+
+@pytest.mark.parametrize("era_bits", [7, 20])
+def test_blocks_are_full_over_batches_and_partitions(spark, monkeypatch, era_bits):
+    for name, value in {"WORDS": 50, "BLOCK": 8, "CHUNK_BITS": 7, "ERA_BITS": era_bits, "BUCKET_BYTES": 1000}.items():
+        monkeypatch.setattr(textindex, name, value)
+    data = rows(300, 3)
+    own = textindex.build(table(spark, data), FIELDS)
+    assert own.buckets > 5
+    keys = {r["doc"]: r["_key"] for r in own.table("documents").collect()}
+    assert sorted(keys) == list(range(300))  # no gaps between partitions
+    blocks = own.table("blocks").select("term", "field", "first", "last", "n", "max_tf", "min_length", *map(textindex._numbers, textindex.LISTS)).collect()
+    got, held = {}, Counter()
+    for r in blocks:
+        assert r["n"] == len(r["apart"]) == len(r["tf"]) == len(r["length"]) <= 8 and r["first"] >> 7 == r["last"] >> 7
+        assert r["last"] == r["first"] + r["apart"][-1] and r["max_tf"] == max(r["tf"]) and r["min_length"] == min(r["length"])
+        held[r["term"], r["field"], r["first"] >> 7] += 1
+        got |= {(r["term"], r["field"], keys[r["first"] + a]): (tf, n) for a, tf, n in zip(r["apart"], r["tf"], r["length"], strict=True)}
+    words = {(f, k): (t or "").lower().split() for k, title, content in data for f, t in (("title", title), ("content", content))}
+    assert got == {(w, f, k): (n, len(ws)) for (f, k), ws in words.items() for w, n in Counter(ws).items()}
+    doc = {k: d for d, k in keys.items()}
+    postings = Counter((w, f, doc[k] >> 7) for w, f, k in got)
+    assert held == {x: -(-n // 8) for x, n in postings.items()}
+
+
+def test_blocks_that_interleave_are_joined_in_order():
+    texts = [(8, ["a", "b", "a"]), (3, ["é", "a"]), (5, ["b"] * 9), (70, ["a"]), (6, ["b", "c", "a"])]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([w for _, w in part], pa.list_(pa.string()))], ["doc", "words0"])
+    packed = [r for part in (texts[::2], texts[1::2]) for b in textindex._packed(textindex._blocks_of(["content"], 1000, 2, 5), 1, 20)(iter([batch(part)])) for r in b.to_pylist()]
+    assert sum(r["rows"] for r in packed if r["blocks"] is None) == 5 and sum(r["words"] for r in packed if r["blocks"] is None) == 18
+    joined = textindex._joined(2, 5)(pa.Table.from_pylist([r for r in packed if r["blocks"] is not None])).to_pylist()
+    ints = lambda b: [int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)]
+    assert [(r["term"], [r["first"] + a for a in ints(r["apart"])], ints(r["tf"]), ints(r["length"])) for r in joined] == [
+        ("a", [3, 6], [1, 1], [2, 3]), ("a", [8], [2], [3]), ("a", [70], [1], [1]), ("b", [5, 6], [9, 1], [9, 3]), ("b", [8], [1], [3]), ("c", [6], [1], [3]), ("é", [3], [1], [2]),
+    ]
