@@ -6,21 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import bpe, decontamination, pii, quality_classifier, simhash_dedup
-from marlstone.llm.common import materialize
+from marlstone.llm.common import materialize, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labelled ones, does not reject."""
+    small_batches(spark)
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: shingles of five words, Jaccard similarity 0.8 or more."""
+    small_batches(spark)
     return simhash_dedup.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    small_batches(spark)
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -31,6 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document the count of tokens and the digests of the ids and of the decoded text."""
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import slices
+from marlstone.llm.common import give_back, slices
 
 NO_PAIR = np.int32(2**31 - 1)
 #: Pieces longer than this are merged one by one, all safe occurrences of a pair in a round.
 WIDEST = 128
-#: Cells of a matrix, and pieces that a worker remembers.
-CELLS, MEMO = 1_000_000, 600_000
+#: Cells of a matrix, and pieces that a task remembers.
+CELLS, MEMO = 1_000_000, 200_000
+#: Characters of texts encoded at once.
+SLICE = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,7 +259,9 @@ def encode(df: DataFrame, text_col: str, vocabulary_path: str, pattern: str, ids
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(content, pattern)
         for batch in texts:
-            yield pd.Series([ids for _, part in slices(batch) for ids in encoder.encode(part)], dtype=object)
+            yield pd.Series([ids for _, part in slices(batch, SLICE) for ids in encoder.encode(part)], dtype=object)
+        encoder.forget()
+        give_back()
 
     return df.withColumn(ids_col, ids_of(F.col(text_col)))
 
@@ -285,9 +289,11 @@ def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, id_col: str =
         encoder = _encoder(content, pattern)
         for batch in texts:
             rows = []
-            for _, part in slices(batch):
+            for _, part in slices(batch, SLICE):
                 coded = encoder.encode(part)
                 rows += [(len(ids), _sha256(ids.astype("<u4").tobytes()), _sha256(text)) for ids, text in zip(coded, encoder.codec.decode(coded), strict=True)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
+        give_back()
 
     return df.select(F.col(id_col).alias("_id"), digests(F.col(text_col)).alias("_digests")).select(F.col("_id").alias(id_col), "_digests.*")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +55,23 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, application_dir(spark))
 
 
+#: Rows of an Arrow batch of texts, at most; Spark's default of 10,000 rows is held by the JVM, by Arrow and as strings at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends BATCH_ROWS rows to Python at once, or fewer if it is set so; the JVM and the workers share an executor's memory."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return to the system what a worker has freed: it waits for further tasks beside the JVM, and would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so, in either case."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, slices
+from marlstone.llm.common import give_back, materialize, slices
 
 SIMILARITY = 0.8
 #: Independent walks, tables of each walk, places that a table samples.
@@ -445,6 +445,7 @@ def _hits(spark: SparkSession, items: DataFrame, block: int, similarity: float):
         for batch in batches:
             rows = [[{"item_id": i, "edit_distance": d, "similarity": s} for i, d, s in found] for _, part in slices(batch, 2_000_000) for found in searcher.search(part)]
             yield pd.Series(rows, dtype=object)
+        give_back()
 
     return hits, shared
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import give_back, materialize
 
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 THRESHOLD = 0.3
@@ -74,6 +74,7 @@ def with_statistics(df: DataFrame, keep: list, text_col: str = "text") -> DataFr
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([statistics(t or "") for t in batch], dtype=object)
+        give_back()
 
     return df.select(*keep, stats(F.col(text_col)).alias("stats"))
 
@@ -210,5 +211,6 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for batch in batches:
             stats = np.array([statistics(t or "") for t in batch]).reshape(-1, N_STATISTICS)
             yield pd.Series(shared.value.score(stats) >= THRESHOLD)
+        give_back()
 
     return df.filter(good(F.col(text_col)))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import shingles
-from marlstone.llm.common import free_name, materialize, slices
+from marlstone.llm.common import free_name, give_back, materialize, slices
 from marlstone.llm.components import connected_components, unite
 
 SHINGLE, RADIUS = 3, 3
@@ -189,6 +189,7 @@ def _clusters(df: DataFrame, id_col: str, text_col: str, row: Column, shingle: i
                 sets = [np.unique(h) for h in hashes]
                 parts.append(pd.DataFrame({"cls": [shingles.class_of(s) for s in sets], "fp": simhash(hashes).view(np.int64), "bands": pd.Series([shingles.bands(s, similarity) for s in sets], dtype=object)}))
             yield pd.concat(parts[1:] or parts)
+        give_back()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)

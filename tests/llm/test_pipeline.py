@@ -4,11 +4,13 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontamination, pii, quality_classifier, queries
+from marlstone.llm import bpe, decontamination, pii, quality_classifier, queries
+from marlstone.llm.common import BATCH_ROWS
 from test_shingles import brute_clusters
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -60,3 +62,43 @@ def test_stages_take_nulls_ties_and_clashing_names(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, SF).count() == len(rows) and last(spark, docs.limit(0), SF).count() == 0
+
+
+def _largest_batch(df):
+    """Rows of the largest Arrow batch that Python gets."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows] * batch.num_rows})
+
+    return df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES if name != "personal data"])
+def test_stages_send_small_batches(spark, name):
+    """A stage whose texts go to Python lowers the session's rows of a batch, and leaves a lower number as it is."""
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    rows = spark.range(0, 12_000, 1, 1)
+    try:
+        for given, least, most in ((None, BATCH_ROWS, BATCH_ROWS), ("0", BATCH_ROWS, BATCH_ROWS), ("7", 7, 7)):
+            spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+            dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), SF)
+            assert least <= _largest_batch(rows) <= most
+    finally:
+        spark.conf.unset(key)
+
+
+def test_workers_forget_pieces(spark):
+    """When a task of the last stage is over, its worker holds no pieces of texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(e.memo) + len(e.flat) for e in bpe._ENCODERS.values())] * batch.num_rows, "encoders": [len(bpe._ENCODERS)] * batch.num_rows})
+
+    try:
+        assert len(corpus_pipeline.tokens(spark, docs, SF).collect()) == docs.count()
+        rows = spark.range(0, 64, 1, 16).mapInArrow(held, "n long, encoders long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r.encoders for r in rows) == 1 and max(r.n for r in rows) == 0
