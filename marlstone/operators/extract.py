@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import count_tokens, section_title
 from marlstone.operators import rst
-from marlstone.operators.html import elements
+from marlstone.operators.html import elements, snippets
+from marlstone.sources.shared import written
 
 #: File extensions and their languages.
 LANGUAGES = {
@@ -22,6 +23,8 @@ LANGUAGES = {
     "kt": "kotlin", "swift": "swift", "sh": "bash", "sql": "sql", "r": "r", "lua": "lua", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "rst": "rst",
 }
 HEADING, FENCE = r"^(#{1,6})\s+(.+)$", "```"
+#: A line of code that ``markdown`` marked, as it would read as a fence.
+FENCE_MARK = r"(?md)^\\(\\*```)"
 
 
 def language(ext: Column) -> Column:
@@ -93,16 +96,19 @@ def code_rows(df: DataFrame, id_col: str, text_col: str, repo_link: str = "") ->
     joined = rows.join(heads, ["id", "first_line"], "left")
     joined = joined.withColumn("in_section", F.last("section", True).over(w))
     described = joined.withColumn("description", F.last(F.when(F.col("type") == "paragraph", F.struct("content", "first_line", "last_line")), True).over(w))
+    return described.filter("type = 'code'").select(F.col("id").alias("file_path"), F.lit(repo_link).alias("repo_link"), *_item())
+
+
+def _item() -> list[Column]:
+    """What a row says of its block, from a block with its section and the paragraph before it."""
     path = F.coalesce("in_section.path", F.array().cast("array<string>"))
-    hashes = F.transform(path, lambda p: F.sha2(p, 256))
-    return described.filter("type = 'code'").select(
-        F.col("id").alias("file_path"), F.lit(repo_link).alias("repo_link"),
+    return [
         F.struct((F.col("first_line") + 1).alias("start"), (F.col("last_line") + 1).alias("end")).alias("code_line_span"),
         F.struct((F.col("description.first_line") + 1).alias("start"), (F.col("description.last_line") + 1).alias("end")).alias("description_line_span"),
         F.col("content").alias("code"), F.coalesce(F.nullif("language", F.lit("")), F.lit("text")).alias("code_type"), F.coalesce("description.content", F.lit("")).alias("description"),
         count_tokens(F.col("content")).alias("code_token_count"), count_tokens(F.col("description.content")).alias("description_token_count"),
-        F.sha2("content", 256).alias("section_id"), path.alias("section_path"), hashes.alias("section_hash_path"),
-    )
+        F.sha2("content", 256).alias("section_id"), path.alias("section_path"), F.transform(path, lambda p: F.sha2(p, 256)).alias("section_hash_path"),
+    ]
 
 
 def metadata(text: Column) -> Column:
@@ -263,11 +269,35 @@ def rst_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("id", F.col("position").cast("long").alias("position"), "code", F.trim(F.regexp_replace(F.regexp_replace(told, r"(?m)^\.\. .*$", ""), r"::\s*$", ":")).alias("description"))
 
 
-def html_rows(df: DataFrame, id_col: str, html_col: str, source_col: str, selector: str = "pre") -> DataFrame:
-    """Elements of pages as rows with where they come from: (id, position, code, code_token_count, section_id, original_source, html_selector)."""
-    found = html_code(df, id_col, html_col, selector)
-    sources = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("original_source"))
-    return found.join(sources, "id").select("id", "position", "code", count_tokens(F.col("code")).alias("code_token_count"), F.sha2("code", 256).alias("section_id"), "original_source", "html_selector")
+def html_rows(df: DataFrame, id_col: str, html_col: str, source_col: str, selector: str = "pre", repo_link: str = "") -> DataFrame:
+    """Blocks of the Markdown of each element that a CSS selector meets, as rows with where they come from.
+
+    An element's snippet is the headings that begin before it and the element; it is turned
+    into Markdown, and that into blocks (``blocks``) with the section they stand in, as
+    ``code_rows`` has them, and page (a number of the row in ``df``), id, position (of the
+    element), type, original_source and html_selector. Lines are counted from the snippet's
+    first. Rows of type code are those that ``code_rows`` would give, with the paragraph of
+    the element before them as description; an element without text is one empty paragraph.
+    """
+    key = F.struct(F.monotonically_increasing_id().alias("page"), F.col(id_col).alias("id"), F.col(source_col).alias("original_source"))
+    # written, as a page's number must be the same for its headings and its elements
+    found = written(snippets(df.select(key.alias("key"), F.col(html_col).alias("html")), "key", "html", [selector]), "snippets")
+    titles = found.filter("html_selector IS NULL").select(F.col("id.page").alias("id"), F.col("position").alias("first_line"), F.lit("heading").alias("type"), F.col("markdown").alias("content"), F.substring("tag", 2, 1).cast("int").alias("level"))
+    heads = sections(titles).select(F.col("id").alias("page"), F.col("first_line").alias("heading"), F.struct("number", "title", "path").alias("in_section"))
+    own = found.filter("html_selector IS NOT NULL").select(F.struct("id.page", "id.id", "id.original_source", "html_selector", "position", "n_headings").alias("id"), "markdown")
+    w = Window.partitionBy("id").orderBy("first_line")
+    # headings before take a line and a blank one each
+    rows = blocks(own.filter("markdown <> ''"), "id", "markdown").withColumns({c: F.col(c) + 2 * F.col("id.n_headings") for c in ("first_line", "last_line")})
+    rows = rows.withColumn("heading", F.col("id.n_headings") + F.count_if(F.col("type") == "heading").over(w))
+    told = F.last(F.when(F.col("type") == "paragraph", F.struct("content", "first_line", "last_line")), True).over(w)
+    rows = rows.withColumn("description", F.when(F.col("type") == "code", told))
+    code = F.regexp_replace("content", FENCE_MARK, "$1")
+    rows = rows.withColumn("content", F.when(F.col("type") == "code", code).otherwise(F.col("content")))
+    line = 2 * F.col("id.n_headings")
+    empty = own.filter("markdown = ''").select("id", line.alias("first_line"), line.alias("last_line"), F.lit("paragraph").alias("type"), F.lit("").alias("content"), F.col("id.n_headings").alias("heading"))
+    rows = rows.unionByName(empty, allowMissingColumns=True).withColumn("page", F.col("id.page")).join(heads, ["page", "heading"], "left")
+    place = [F.col(f"id.{c}").alias(c) for c in ("id", "position", "original_source", "html_selector")]
+    return rows.select("page", *place, "type", F.lit(repo_link).alias("repo_link"), *_item())
 
 
 def content_map(df: DataFrame, path_col: str, content_col: str, kind: str, language_col: str | None = None) -> DataFrame:
